@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     # 128 MB input splits keep a task's share of a large text table in memory.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.ansi.enabled": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

@@ -123,17 +123,17 @@ select id as filing_id, issuer_id,
     when 2 then 'We expect a price between $' || cast(10 + id % 9 as string) || '.00 and $' || cast(20 + id % 9 as string) || '.00. '
     else 'No price here. ' end
   || case id % 3
-    when 0 then 'Acme, Inc. is offering {n('1000000 + id * 37')} shares of its Class A common stock and the selling stockholders identified in this prospectus are offering an aggregate of {n('500000 + issuer_id * 11')} shares. '
-    when 1 then 'We are offering {n('2000000 + id')} shares. '
+    when 0 then 'Acme, Inc. is offering ' || {n('1000000 + id * 37')} || ' shares of its Class A common stock and the selling stockholders identified in this prospectus are offering an aggregate of ' || {n('500000 + issuer_id * 11')} || ' shares. '
+    when 1 then 'We are offering ' || {n('2000000 + id')} || ' shares. '
     else 'Nothing on the shares. ' end
   || case id % 5
-    when 0 then 'The underwriters have an over-allotment option to purchase up to {n('150000 + id')} additional shares at the offering price. '
-    when 1 then 'We have granted the underwriters an option to purchase {n('330000 + id')} shares of our common stock from us to cover over-allotment options. '
+    when 0 then 'The underwriters have an over-allotment option to purchase up to ' || {n('150000 + id')} || ' additional shares at the offering price. '
+    when 1 then 'We have granted the underwriters an option to purchase ' || {n('330000 + id')} || ' shares of our common stock from us to cover over-allotment options. '
     else '' end
   || case id % 6
-    when 0 then 'We will have {n('50000000 + id * 101')} shares of our common stock outstanding immediately after this offering. '
-    when 1 then 'The number is based on {n('14000000 + id')} shares of our common stock outstanding as of December 31, 2023. '
-    when 2 then 'We will have {n('70000000 + id')} shares of our common stock outstanding on a fully diluted basis after closing. '
+    when 0 then 'We will have ' || {n('50000000 + id * 101')} || ' shares of our common stock outstanding immediately after this offering. '
+    when 1 then 'The number is based on ' || {n('14000000 + id')} || ' shares of our common stock outstanding as of December 31, 2023. '
+    when 2 then 'We will have ' || {n('70000000 + id')} || ' shares of our common stock outstanding on a fully diluted basis after closing. '
     else '' end
   || case id % 7
     when 0 then 'Lock-Up Agreements. We agreed not to sell for a period of 180 days after the date of this prospectus. '
