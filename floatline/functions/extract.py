@@ -173,3 +173,82 @@ def lockup_confidence(days, staged) -> Column:
     return (F.when(d.isNull(), F.lit("low"))
             .when(d.isin(*P.STANDARD_LOCKUP_DAYS) & ~F.coalesce(s, F.lit(False)), F.lit("high"))
             .otherwise(F.lit("medium")))
+
+
+# ── Staged extraction over a text table ───────────────────────────────────────
+# Each field's regex output is projected first and parsed in a second
+# projection, so an expensive match is evaluated once per document even when
+# its value is read several times (Catalyst keeps such projections apart
+# rather than inlining a costly expression into many uses).
+
+OFFERING_FIELDS = ["offer_price", "price_range_low", "price_range_high", "shares_offered_direct",
+                   "shares_primary", "shares_secondary", "greenshoe_shares", "bookrunners",
+                   "shares_outstanding_post_ipo", "shares_outstanding_pre_ipo", "fully_diluted_shares"]
+LOCKUP_FIELDS = ["lockup_days", "is_staged_unlock", "unlock_notes", "confidence"]
+
+
+def with_offering_fields(df, text: str = "text", fields: list[str] | None = None):
+    """Add X1-X9 columns (``shares_offered_direct`` is X3 before D12)."""
+    want = set(fields or OFFERING_FIELDS)
+    t = F.col(text)
+    raw = {
+        "offer_price": first_match(t, P.OFFER_PRICE),
+        "shares_offered_direct": first_match(t, P.SHARES_OFFERED_TOTAL),
+        "shares_primary": first_match(t, P.SHARES_PRIMARY),
+        "shares_secondary": first_match(t, P.SHARES_SECONDARY),
+        "greenshoe_shares": first_match(t, P.GREENSHOE),
+        "shares_outstanding_pre_ipo": first_match(t, P.PRE_IPO),
+        "fully_diluted_shares": first_match(t, P.FULLY_DILUTED),
+    }
+    stage1 = [raw[f].alias(f"_raw_{f}") for f in raw if f in want]
+    if want & {"price_range_low", "price_range_high"}:
+        for i, p in enumerate(P.PRICE_RANGE):
+            jpat = P.java_pattern(p, dotall=False)
+            stage1 += [F.regexp_extract(t, jpat, 1).alias(f"_pr{i}_1"), F.regexp_extract(t, jpat, 2).alias(f"_pr{i}_2")]
+    if "shares_outstanding_post_ipo" in want:
+        stage1 += [first_match(t, P.POST_IPO_TIER1).alias("_post1"),
+                   F.concat(*[all_numbers(t, p) for p in P.POST_IPO_TIER2]).alias("_post2")]
+    if "bookrunners" in want:
+        stage1.append(bookrunners(t).alias("bookrunners"))
+    s1 = df.select("*", *stage1)
+    out = [parse_number(F.col(f"_raw_{f}")).alias(f) for f in raw if f in want]
+    if want & {"price_range_low", "price_range_high"}:
+        low = high = None
+        for i in range(len(P.PRICE_RANGE)):
+            g1, g2 = F.col(f"_pr{i}_1"), F.col(f"_pr{i}_2")
+            low = (F.when if low is None else low.when)(g1 != "", g1)
+            high = (F.when if high is None else high.when)(g1 != "", g2)
+        out += [parse_number(low).alias("price_range_low"), parse_number(high).alias("price_range_high")]
+    if "shares_outstanding_post_ipo" in want:
+        out.append(F.when(F.col("_post1").isNotNull(), parse_number(F.col("_post1")))
+                   .otherwise(F.array_max("_post2")).alias("shares_outstanding_post_ipo"))
+    helpers = [c for c in s1.columns if c.startswith(("_raw_", "_pr", "_post"))]
+    return s1.select(*[c for c in s1.columns if c not in helpers], *out)
+
+
+def with_lockup_fields(df, text: str = "text", fields: list[str] | None = None):
+    """Add X10-X13 columns: lockup_days, is_staged_unlock, unlock_notes, confidence."""
+    want = set(fields or LOCKUP_FIELDS)
+    t = F.col(text)
+    s1 = df.select("*", lockup_section_start(t).alias("_start"))
+    s2 = s1.select("*", lockup_section(t, F.col("_start")).alias("_section"))
+    sec = F.col("_section")
+    stage3 = []
+    if want & {"lockup_days", "confidence"}:
+        stage3.append(lockup_day_votes(sec).alias("_vs"))
+    if want & {"is_staged_unlock", "confidence"}:
+        stage3.append(staged_unlock(sec).alias("is_staged_unlock"))
+    if "unlock_notes" in want:
+        stage3.append(unlock_notes(sec).alias("unlock_notes"))
+    s3 = s2.select("*", *stage3)
+    if want & {"lockup_days", "confidence"}:
+        votes = (F.when(F.size("_vs") > 0, F.col("_vs"))
+                 .when(F.col("_start").isNotNull(), lockup_day_votes(t)).otherwise(F.col("_vs")))
+        s4 = s3.select("*", votes.alias("_v"))
+        s3 = s4.select("*", mode_first(F.col("_v")).alias("lockup_days"))
+    if "confidence" in want:
+        s3 = s3.select("*", lockup_confidence("lockup_days", "is_staged_unlock").alias("confidence"))
+    keep = [c for c in s3.columns if c not in ("_start", "_section", "_vs", "_v")]
+    out = s3.select(*keep)
+    extra = {"is_staged_unlock", "lockup_days"} - want
+    return out.drop(*[c for c in extra if c in out.columns and c not in df.columns])

@@ -172,6 +172,11 @@ SECTION_BOUNDARY_FROM_LINE = 3
 # gives the same capture in linear time.
 _RUN_CLASS = r"[\w\s,\.]+"
 _RUN_START = r"(?<![\w\s,\.])"
+# Likewise a pattern opening with a digit run ("\d[\d,]+" or "\d+") can only
+# have its leftmost match at a position not preceded by a digit (one digit
+# earlier would match too), so other starts are skipped.
+_DIGIT_OPENERS = (r"(\d[\d,]+)", r"(\d+)", r"\d+")
+_DIGIT_START = r"(?<!\d)"
 
 
 def java_pattern(py: str, *, dotall: bool, case_insensitive: bool = True) -> str:
@@ -179,12 +184,15 @@ def java_pattern(py: str, *, dotall: bool, case_insensitive: bool = True) -> str
 
     * ``(?U)`` makes ``\\s``/``\\w``/``\\d`` Unicode-aware, as in Python 3.
     * ``\\Z`` (Python: end of text) is ``\\z`` in Java.
-    * run-start anchor for the quadratic patterns (see above).
+    * run-start / digit-run-start anchors (see above): same leftmost match,
+      fewer start positions tried.
     """
     flags = "(?" + ("i" if case_insensitive else "") + ("s" if dotall else "") + "U)"
     body = py.replace(r"\Z", r"\z")
     if body.startswith(_RUN_CLASS):
         body = _RUN_START + body
+    elif body.startswith(_DIGIT_OPENERS):
+        body = _DIGIT_START + body
     return flags + body
 
 

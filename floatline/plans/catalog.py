@@ -151,61 +151,65 @@ def _texts(spark, sf_dir) -> DataFrame:
     return _fx(spark, sf_dir)["fx_texts"]
 
 
+def _offering(spark, sf_dir, *fields):
+    return X.with_offering_fields(_texts(spark, sf_dir).select("filing_id", "text"), fields=list(fields)).drop("text")
+
+
+def _lockup(spark, sf_dir, *fields):
+    return X.with_lockup_fields(_texts(spark, sf_dir).select("filing_id", "text"), fields=list(fields)).drop("text")
+
+
 def q_offer_price(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.offer_price("text").alias("offer_price"))
+    return _offering(spark, sf_dir, "offer_price")
 
 
 def q_price_range(spark, sf_dir):
-    lo, hi = X.price_range(F.col("text"))
-    return _texts(spark, sf_dir).select("filing_id", lo.alias("price_range_low"), hi.alias("price_range_high"))
+    return _offering(spark, sf_dir, "price_range_low", "price_range_high")
 
 
 def q_shares_offered_total(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.shares_offered_total("text").alias("shares_offered_total"))
+    return _offering(spark, sf_dir, "shares_offered_direct").withColumnRenamed(
+        "shares_offered_direct", "shares_offered_total")
 
 
 def q_shares_primary_secondary(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.shares_primary("text").alias("shares_primary"),
-                                        X.shares_secondary("text").alias("shares_secondary"))
+    return _offering(spark, sf_dir, "shares_primary", "shares_secondary")
 
 
 def q_greenshoe_shares(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.greenshoe_shares("text").alias("greenshoe_shares"))
+    return _offering(spark, sf_dir, "greenshoe_shares")
 
 
 def q_bookrunners(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.bookrunners("text").alias("bookrunners"))
+    return _offering(spark, sf_dir, "bookrunners")
 
 
 def q_shares_post_ipo(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.shares_post_ipo("text").alias("shares_outstanding_post_ipo"))
+    return _offering(spark, sf_dir, "shares_outstanding_post_ipo")
 
 
 def q_shares_pre_ipo(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.shares_pre_ipo("text").alias("shares_outstanding_pre_ipo"))
+    return _offering(spark, sf_dir, "shares_outstanding_pre_ipo")
 
 
 def q_fully_diluted(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.fully_diluted_shares("text").alias("fully_diluted_shares"))
+    return _offering(spark, sf_dir, "fully_diluted_shares")
 
 
 def q_lockup_days(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.lockup_days("text").alias("lockup_days"))
+    return _lockup(spark, sf_dir, "lockup_days")
 
 
 def q_staged_unlock(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.staged_unlock(TX.lockup_section("text")).alias("is_staged_unlock"))
+    return _lockup(spark, sf_dir, "is_staged_unlock")
 
 
 def q_unlock_notes(spark, sf_dir):
-    return _texts(spark, sf_dir).select("filing_id", X.unlock_notes(TX.lockup_section("text")).alias("unlock_notes"))
+    return _lockup(spark, sf_dir, "unlock_notes")
 
 
 def q_lockup_confidence(spark, sf_dir):
-    t = _texts(spark, sf_dir)
-    f = t.select("filing_id", X.lockup_days("text").alias("lockup_days"),
-                 X.staged_unlock(TX.lockup_section("text")).alias("is_staged_unlock"))
-    return f.select("*", X.lockup_confidence("lockup_days", "is_staged_unlock").alias("confidence"))
+    return _lockup(spark, sf_dir, "lockup_days", "is_staged_unlock", "confidence")
 
 
 # ── Sources ───────────────────────────────────────────────────────────────────

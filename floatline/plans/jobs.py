@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floatline.functions import extract as X
-from floatline.functions.text import html_to_text, lockup_section
+from floatline.functions.text import html_to_text
 from floatline.operators import candidates as C
 from floatline.operators import filings as FL
 from floatline.operators import upserts as U
@@ -69,42 +69,22 @@ def parse_texts(worklist: DataFrame) -> DataFrame:
 
 
 def offering_fields(texts: DataFrame) -> DataFrame:
-    """X1-X9 then D12 over a text table (two projections, so each regex runs
-    once per document)."""
-    t = F.col("text")
-    low, high = X.price_range(t)
-    raw = texts.select(
-        "issuer_id", "filing_id", "form_type",
-        X.offer_price(t).alias("offer_price"), low.alias("price_range_low"),
-        high.alias("price_range_high"), X.shares_offered_total(t).alias("_total"),
-        X.shares_primary(t).alias("shares_primary"), X.shares_secondary(t).alias("shares_secondary"),
-        X.greenshoe_shares(t).alias("greenshoe_shares"), X.bookrunners(t).alias("bookrunners"),
-        X.shares_post_ipo(t).alias("shares_outstanding_post_ipo"),
-        X.shares_pre_ipo(t).alias("shares_outstanding_pre_ipo"),
-        X.fully_diluted_shares(t).alias("fully_diluted_shares"))
-    total, gross, ratio = U.derived_measures(F.col("offer_price"), F.col("_total"),
+    """X1-X9 then D12 over a text table."""
+    raw = X.with_offering_fields(texts.select("issuer_id", "filing_id", "form_type", "text")).drop("text")
+    total, gross, ratio = U.derived_measures(F.col("offer_price"), F.col("shares_offered_direct"),
                                              F.col("shares_primary"), F.col("shares_secondary"),
                                              F.col("shares_outstanding_post_ipo"))
     return raw.select("*", total.alias("shares_offered_total"), gross.alias("gross_proceeds"),
-                      ratio.alias("float_ratio")).drop("_total")
+                      ratio.alias("float_ratio")).drop("shares_offered_direct")
 
 
 def lockup_fields(texts: DataFrame) -> DataFrame:
     """X10-X13 and D14 over a text table."""
-    t = F.col("text")
-    staged_section = texts.select("issuer_id", "filing_id", "filing_date", "text",
-                                  lockup_section(t).alias("_section"))
-    s = F.col("_section")
-    raw = staged_section.select(
-        "issuer_id", "filing_id", "filing_date",
-        X.lockup_days(F.col("text")).alias("lockup_days"),
-        X.staged_unlock(s).alias("is_staged_unlock"),
-        X.unlock_notes(s).alias("unlock_notes"))
+    f = X.with_lockup_fields(texts.select("issuer_id", "filing_id", "filing_date", "text"))
     start, end = FL.lockup_dates(F.col("filing_date"), F.col("lockup_days"))
-    return raw.select(
+    return f.select(
         "issuer_id", "filing_id", "lockup_days", start.alias("lockup_start_date"),
-        end.alias("lockup_end_date"), "is_staged_unlock", "unlock_notes",
-        X.lockup_confidence(F.col("lockup_days"), F.col("is_staged_unlock")).alias("confidence"))
+        end.alias("lockup_end_date"), "is_staged_unlock", "unlock_notes", "confidence")
 
 
 # ── J3 ────────────────────────────────────────────────────────────────────────
