@@ -110,6 +110,8 @@ def parse_worklist(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     filing, no URL, already parsed, existing row, empty document) or
     ``failed`` (document not landed).  ``skip_existing`` (issuer_id,
     filing_id) replaces the is_parsed gate, as the lock-up job does.
+    Only a landed/empty flag per URL is joined here, never the HTML, so the
+    worklist stays one small row per issuer.
     """
     best = best_filing(filings).select(
         F.col("issuer_id"), F.col("id").alias("filing_id"), "form_type", "filing_date",
@@ -121,18 +123,19 @@ def parse_worklist(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
         done = F.coalesce("_exists", F.lit(False))
     else:
         done = F.coalesce("is_parsed", F.lit(False))
-    docs = documents.select(F.col("url").alias("_url"), F.col("html"))
+    docs = documents.select(F.col("url").alias("_url"),
+                            F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("doc_chars"))
     w = w.join(docs, w.primary_doc_url == docs._url, "left")
     reason = (F.when(F.col("filing_id").isNull(), F.lit("no_best_filing"))
               .when(F.coalesce("primary_doc_url", F.lit("")) == "", F.lit("no_url"))
               .when(done & F.lit(not force), F.lit("already_parsed"))
               .when(F.col("_url").isNull(), F.lit("document_missing"))
-              .when(F.coalesce("html", F.lit("")) == "", F.lit("empty_document")))
+              .when(F.col("doc_chars") == 0, F.lit("empty_document")))
     outcome = (F.when(reason.isNull(), F.lit("parse"))
                .when(reason == "document_missing", F.lit("failed"))
                .otherwise(F.lit("skipped")))
     return w.select("issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url",
-                    "html", outcome.alias("outcome"), reason.alias("reason"))
+                    "doc_chars", outcome.alias("outcome"), reason.alias("reason"))
 
 
 def run_stats(worklist: DataFrame) -> DataFrame:

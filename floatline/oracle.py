@@ -255,7 +255,7 @@ def worklist(force: bool, existing: str | None) -> str:
     return f"""{BEST},
 work0 as (
   select i.id as issuer_id, b.id as filing_id, b.form_type, b.filing_date, b.primary_doc_url, b.is_parsed,
-    d.url as _url, d.html
+    d.url as _url, d.html, cast(length(d.html) as bigint) as doc_chars
   from fx_issuers i left join best b on b.issuer_id = i.id
   left join raw_documents d on d.url = b.primary_doc_url),
 work1 as (
@@ -263,7 +263,7 @@ work1 as (
     when coalesce(primary_doc_url, '') = '' then 'no_url'
     when {done} then 'already_parsed'
     when _url is null then 'document_missing'
-    when coalesce(html, '') = '' then 'empty_document' end as reason
+    when doc_chars = 0 then 'empty_document' end as reason
   from work0 w),
 work as (select *, case when reason is null then 'parse' when reason = 'document_missing' then 'failed'
   else 'skipped' end as outcome from work1),
@@ -545,7 +545,7 @@ select query_id, rank, {normalize_cik('cik')} as cik, name, ticker, exchange fro
     on contains(lower(coalesce(c.name, '')), q.q) or lower(coalesce(c.ticker, '')) = q.q)
 where rank <= 10"""
     q["document_join"] = W(BEST) + """
-select b.issuer_id, b.id as filing_id, b.primary_doc_url, d.html is not null as has_document, length(d.html) as html_chars
+select b.issuer_id, b.id as filing_id, b.primary_doc_url, d.html is not null as has_document, cast(length(d.html) as bigint) as html_chars
 from best b left join raw_documents d on d.url = b.primary_doc_url"""
     q["fetch_worklist"] = W(BEST) + """
 select url, substring(sha256(url), 1, 24) as cache_key from (
@@ -575,7 +575,7 @@ select (select count(*) from fx_issuers where cik is not null) as issuer_count,
 
     # Parse jobs
     q["parse_worklist"] = W(worklist(False, None)) + """
-select issuer_id, filing_id, form_type, filing_date, primary_doc_url, outcome, reason from work"""
+select issuer_id, filing_id, form_type, filing_date, primary_doc_url, doc_chars, outcome, reason from work"""
     q["run_stats"] = W(worklist(False, None)) + """
 select count(*) as issuer_count, count(*) filter (where outcome = 'parse') as parsed,
   count(*) filter (where outcome = 'skipped') as skipped, count(*) filter (where outcome = 'failed') as failed

@@ -18,6 +18,7 @@ from floatline.functions import text as TX
 from floatline.operators import candidates as C
 from floatline.operators import filings as FL
 from floatline.operators.constraints import constraint_violations
+from floatline.operators.partitioning import spread_text
 from floatline.plans import jobs as J
 from floatline.plans import reports as R
 from floatline.session import apply_job_conf
@@ -126,29 +127,29 @@ def q_filing_urls(spark, sf_dir):
 # ── Text ──────────────────────────────────────────────────────────────────────
 
 def q_normalize_whitespace(spark, sf_dir):
-    d = _fx(spark, sf_dir)["documents"]
+    d = spread_text(_fx(spark, sf_dir)["documents"], "doc_id", text_col="text")
     return d.select("doc_id", TX.normalize_whitespace("text").alias("text"))
 
 
 def q_html_to_text(spark, sf_dir):
-    p = _fx(spark, sf_dir)["pages"]
+    p = spread_text(_fx(spark, sf_dir)["pages"], "page_id", text_col="html")
     return p.select("page_id", TX.html_to_text("html").alias("text"))
 
 
 def q_find_section(spark, sf_dir):
-    d = _fx(spark, sf_dir)["documents"]
+    d = spread_text(_fx(spark, sf_dir)["documents"], "doc_id", text_col="text")
     return d.select("doc_id", TX.find_section(F.col("text"), FIND_SECTION_TITLES).alias("section"))
 
 
 def q_lockup_section(spark, sf_dir):
-    t = _fx(spark, sf_dir)["fx_texts"]
-    return t.select("filing_id", TX.lockup_section("text").alias("section"))
+    return _texts(spark, sf_dir).select("filing_id", TX.lockup_section("text").alias("section"))
 
 
 # ── Extractors (whole fixture texts) ──────────────────────────────────────────
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return _fx(spark, sf_dir)["fx_texts"]
+    """Fixture prospectus texts, spread for the regex stage."""
+    return spread_text(_fx(spark, sf_dir)["fx_texts"], "filing_id", text_col="text")
 
 
 def _offering(spark, sf_dir, *fields):
@@ -260,7 +261,7 @@ def q_document_join(spark, sf_dir):
     j = sec.document_join(b, fx["raw_documents"])
     return j.select("issuer_id", "filing_id", "primary_doc_url",
                     F.col("html").isNotNull().alias("has_document"),
-                    F.length("html").alias("html_chars"))
+                    F.length("html").cast("long").alias("html_chars"))
 
 
 def q_fetch_worklist(spark, sf_dir):

@@ -16,7 +16,9 @@ from floatline.functions.text import html_to_text
 from floatline.operators import candidates as C
 from floatline.operators import filings as FL
 from floatline.operators import upserts as U
+from floatline.operators.partitioning import spread_text
 from floatline.plans import reports as R
+from floatline.session import materialize
 from floatline.sources import sec
 
 
@@ -60,10 +62,17 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
 
 # ── J3 / J4 shared text ───────────────────────────────────────────────────────
 
-def parse_texts(worklist: DataFrame) -> DataFrame:
+def parse_texts(worklist: DataFrame, documents: DataFrame) -> DataFrame:
     """F7 over the documents to parse: issuer_id, filing_id, form_type,
-    filing_date, text.  Only ``parse`` rows carry their HTML further."""
-    return (worklist.where(F.col("outcome") == "parse")
+    filing_date, text.  The worklist side is small (one row per issuer to
+    parse); AQE broadcasts it when it is, so the documents are not shuffled
+    for the join.  The joined pages are then spread by filing for the
+    CPU-heavy text stage, sized by their length summed on the worklist."""
+    todo = worklist.where(F.col("outcome") == "parse")
+    total_chars = todo.agg(F.sum("doc_chars")).first()[0]
+    docs = documents.select(F.col("url").alias("_url"), "html")
+    joined = todo.join(docs, todo.primary_doc_url == docs._url, "inner")
+    return (spread_text(joined, "filing_id", total_chars)
             .select("issuer_id", "filing_id", "form_type", "filing_date",
                     html_to_text("html").alias("text")))
 
@@ -95,8 +104,8 @@ def parse_offering_data(issuers: DataFrame, filings: DataFrame, documents: DataF
     """Best filing -> text -> offering and capitalization fields ->
     upserts; best filings parsed are marked."""
     d = R.as_of_col(as_of)
-    work = FL.parse_worklist(issuers, filings, documents, force=force)
-    fields = offering_fields(parse_texts(work))
+    work = materialize(FL.parse_worklist(issuers, filings, documents, force=force))
+    fields = materialize(offering_fields(parse_texts(work, documents)))
     ex = issuers.select(F.col("id").alias("_iid"), F.col("exchange"))
     fresh_off = (fields.join(ex, fields.issuer_id == ex._iid, "left")
                  .select("issuer_id", "filing_id", F.col("form_type").alias("source_form_type"),
@@ -109,7 +118,7 @@ def parse_offering_data(issuers: DataFrame, filings: DataFrame, documents: DataF
         "capitalization": U.upsert_capitalization(capitalization, fresh_cap, d),
         "filings": FL.mark_parsed(filings, work.where(F.col("outcome") == "parse")),
         "fields": fields,
-        "worklist": work.drop("html"),
+        "worklist": work,
     }, FL.run_stats(work))
 
 
@@ -121,11 +130,11 @@ def parse_lockups(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     """Best filing -> text -> lock-up fields -> upsert.  Gated on an
     existing lock-up row for the best filing (not on is_parsed)."""
     d = R.as_of_col(as_of)
-    work = FL.parse_worklist(issuers, filings, documents, force=force,
-                             skip_existing=lockups)
-    fresh = lockup_fields(parse_texts(work))
+    work = materialize(FL.parse_worklist(issuers, filings, documents, force=force,
+                                         skip_existing=lockups))
+    fresh = materialize(lockup_fields(parse_texts(work, documents)))
     return JobResult({"lockups": U.upsert_lockups(lockups, fresh, d, force=force),
-                      "fields": fresh, "worklist": work.drop("html")}, FL.run_stats(work))
+                      "fields": fresh, "worklist": work}, FL.run_stats(work))
 
 
 # ── J5 ────────────────────────────────────────────────────────────────────────

@@ -63,3 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; point it at shared storage")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="floatline-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write ``df`` to the reliable checkpoint folder and read it back.
+
+    Used at the job boundaries whose output feeds several consumers (the
+    worklist, the parsed fields): each is computed once, and a lost executor
+    later recomputes nothing upstream of it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

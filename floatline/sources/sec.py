@@ -39,7 +39,7 @@ def submission_rows(docs: DataFrame) -> DataFrame:
     rows = z.where(F.col("z.form_type").isin(*TARGET_FORMS))
     doc = F.nullif(F.col("z.primary_doc"), F.lit(""))
     return rows.select(
-        "cik10", "page", "pos", F.col("z.accession_no").alias("accession_no"),
+        "cik10", "page", F.col("pos").cast("long").alias("pos"), F.col("z.accession_no").alias("accession_no"),
         F.col("z.form_type").alias("form_type"), F.col("z.filing_date").alias("filing_date"),
         doc.alias("primary_doc"),
         filing_primary_doc_url(F.col("doc_cik"), F.col("z.accession_no"), doc).alias("primary_doc_url"),
@@ -75,7 +75,7 @@ def search_companies(companies: DataFrame, queries: DataFrame, max_results: int
     else:
         hits = _ngram_hits(c, q)
     w = Window.partitionBy("query_id").orderBy("page", "pos")
-    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results)
+    top = hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_results)
     return top.select("query_id", "rank", normalize_cik("cik").alias("cik"), "name", "ticker", "exchange")
 
 
