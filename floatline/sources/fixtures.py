@@ -106,9 +106,15 @@ def _cover(d: Dialect) -> str:
     when 1 then 'We will deliver the shares against payment in New York.' || {NL}
       || 'In alphabetical order' || {NL} || 'BOFA SECURITIES' || {NL} || '12' || {NL}
       || 'AB' || {NL} || '  CITIGROUP  ' || {NL} || '______' || {NL}
-    when 2 then 'Joint Book-Running Managers' || {NL} || 'BARCLAYS' || {NL}
-      || 'UBS INVESTMENT BANK' || {NL} || '---' || {NL} || {NL}
-    when 3 then 'Book Running Manager' || {NL} || 'Prospectus supplement' || {NL} || {NL}
+    else '' end"""
+
+
+def _managers(d: Dialect) -> str:
+    """Managers heading closing the text (the fallback block runs to the end)."""
+    return f"""case id % 6
+    when 2 then {NL} || 'Joint Book-Running Managers' || {NL} || 'BARCLAYS' || {NL}
+      || 'UBS INVESTMENT BANK' || {NL} || '---' || {NL}
+    when 3 then {NL} || 'Book Running Manager' || {NL} || 'Prospectus supplement' || {NL}
     else '' end"""
 
 
@@ -142,7 +148,8 @@ select id as filing_id, issuer_id,
     when 3 then 'Lock-Up Agreements. 25% of the shares will be released in tranches. A 365-day lock-up period applies to others. '
     when 4 then 'We agreed not to sell for 5 days after closing. '
     when 5 then 'Holders wait for 90 days after closing. Underwriting. Nothing more. '
-    else '' end as text
+    else '' end
+  || {_managers(d)} as text
 from {d.t('fx_filings')}"""
 
 
