@@ -564,6 +564,8 @@ from acts"""
     # Filings
     q["best_filing"] = W(BEST) + "select issuer_id, id as filing_id, form_type, filing_date, primary_doc_url from best"
     q["filing_sync"] = W(SYNC) + "select * from new_rows"
+    q["filing_sync_incremental"] = W(SYNC) + """
+select issuer_id, accession_no, form_type, filing_date, primary_doc_url, filing_index_url, is_parsed from new_rows"""
     q["status_transition"] = W(SYNC) + """
 select issuer_id, old_status, new_status, old_status is distinct from new_status as changed from trans"""
     q["sync_stats"] = W(SYNC) + f"""
@@ -640,6 +642,9 @@ left join {latest('fx_capitalization')} c on c.issuer_id = o.issuer_id
 left join {latest('fx_lockups')} l on l.issuer_id = o.issuer_id
 where o.offer_price is not null and o.pricing_date >= cast({AS_OF_SQL} - {R.RECENT_IPO_PRICING_LOOKBACK_DAYS} as date)"""
     q["upcoming_unlocks"] = W() + upcoming_unlocks("fx_lockups")
+    q["report_counts"] = W() + "select 'upcoming_ipos.csv' as report, count(*) as rows from (" + upcoming_ipos("fx_offerings") + """)
+union all select 'recent_ipos.csv', count(*) from (""" + q["recent_ipos"][len(W()):] + """)
+union all select 'upcoming_unlocks.csv', count(*) from (""" + upcoming_unlocks("fx_lockups") + ")"
     q["latest_per_issuer"] = W() + f"select issuer_id, id as offering_id, parsed_at, offer_price from {latest('fx_offerings')}"
     q["daily_unlocks"] = W(lockup_fields_ctes(), fresh_lk, "new_lockups as (" + upsert_sql(
         "fx_lockups", "fresh_lk", LOCKUP_COLS, LOCKUP_SET, keep_nulls=True) + ")") + upcoming_unlocks("new_lockups")

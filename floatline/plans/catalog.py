@@ -313,6 +313,25 @@ def q_filing_sync(spark, sf_dir):
     return _sync(spark, sf_dir).tables["new_filings"]
 
 
+def q_filing_sync_incremental(spark, sf_dir):
+    """The landed submissions arrive as files, a stream ingests them in
+    several micro-batches against the stored filings; the rows appended
+    equal the batch sync (ids aside: they follow batch order)."""
+    import uuid
+
+    from floatline.session import ensure_checkpoint_dir
+    from floatline.streaming.ingest import ingest_filings
+    fx = _fx(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    stored = fx["fx_filings"].where(F.col("filing_date") < F.lit(SYNC_STORED_BEFORE).cast("date"))
+    stored = stored.withColumn("filing_index_url", F.lit(None).cast("string")).select(*FL.FILING_COLS)
+    stored.write.parquet(f"{root}/filings")
+    _submissions(fx).repartition(4, "page").write.parquet(f"{root}/landing")
+    ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/_checkpoint", fx["fx_issuers"])
+    appended = spark.read.parquet(f"{root}/filings").join(stored.select("id"), "id", "left_anti")
+    return appended.drop("id")
+
+
 def q_status_transition(spark, sf_dir):
     return _sync(spark, sf_dir).tables["transitions"]
 
@@ -403,6 +422,15 @@ def q_latest_per_issuer(spark, sf_dir):
     return R.latest_per_issuer(o).select("issuer_id", F.col("id").alias("offering_id"), "parsed_at", "offer_price")
 
 
+def q_report_counts(spark, sf_dir):
+    """K2: rows per exported report (the three reports at the report date)."""
+    from floatline.sinks.csv import row_counts
+    fx = _fx(spark, sf_dir)
+    return row_counts(J.export_reports({
+        "issuers": fx["fx_issuers"], "filings": fx["fx_filings"], "offerings": fx["fx_offerings"],
+        "capitalization": fx["fx_capitalization"], "lockups": fx["fx_lockups"]}, _as_of()))
+
+
 def q_daily_unlocks(spark, sf_dir):
     """Flagship: best filing -> document text -> lock-up fields -> upsert ->
     lock-ups ending in the next 30 days."""
