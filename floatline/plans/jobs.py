@@ -22,6 +22,18 @@ from floatline.session import materialize
 from floatline.sources import sec
 
 
+class LazyTables(dict):
+    """Output tables built on first access: a caller reading one table does
+    not pay for the others (an upsert runs id-assignment actions)."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if callable(value):
+            value = value()
+            super().__setitem__(key, value)
+        return value
+
+
 @dataclass
 class JobResult:
     tables: dict
@@ -54,10 +66,10 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
                               F.coalesce(F.sum("skipped"), F.lit(0)).cast("long").alias("filings_skipped")),
                    how="left")
              .join(failed.agg(F.count(F.lit(1)).alias("filings_failed")), how="left"))
-    return JobResult({"filings": filings.unionByName(new_rows),
-                      "new_filings": new_rows,
-                      "issuers": FL.apply_status(issuers, transitions),
-                      "transitions": transitions}, stats)
+    return JobResult(LazyTables({"filings": lambda: filings.unionByName(new_rows),
+                                 "new_filings": new_rows,
+                                 "issuers": lambda: FL.apply_status(issuers, transitions),
+                                 "transitions": transitions}), stats)
 
 
 # ── J3 / J4 shared text ───────────────────────────────────────────────────────
@@ -113,13 +125,13 @@ def parse_offering_data(issuers: DataFrame, filings: DataFrame, documents: DataF
     fresh_cap = fields.select("issuer_id", "filing_id", "shares_outstanding_post_ipo",
                               "shares_outstanding_pre_ipo", "fully_diluted_shares",
                               F.col("shares_offered_total").alias("free_float_at_ipo"), "float_ratio")
-    return JobResult({
-        "offerings": U.upsert_offerings(offerings, fresh_off, d),
-        "capitalization": U.upsert_capitalization(capitalization, fresh_cap, d),
-        "filings": FL.mark_parsed(filings, work.where(F.col("outcome") == "parse")),
+    return JobResult(LazyTables({
+        "offerings": lambda: U.upsert_offerings(offerings, fresh_off, d),
+        "capitalization": lambda: U.upsert_capitalization(capitalization, fresh_cap, d),
+        "filings": lambda: FL.mark_parsed(filings, work.where(F.col("outcome") == "parse")),
         "fields": fields,
         "worklist": work,
-    }, FL.run_stats(work))
+    }), FL.run_stats(work))
 
 
 # ── J4 ────────────────────────────────────────────────────────────────────────
@@ -133,8 +145,8 @@ def parse_lockups(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     work = materialize(FL.parse_worklist(issuers, filings, documents, force=force,
                                          skip_existing=lockups))
     fresh = materialize(lockup_fields(parse_texts(work, documents)))
-    return JobResult({"lockups": U.upsert_lockups(lockups, fresh, d, force=force),
-                      "fields": fresh, "worklist": work}, FL.run_stats(work))
+    return JobResult(LazyTables({"lockups": lambda: U.upsert_lockups(lockups, fresh, d, force=force),
+                                 "fields": fresh, "worklist": work}), FL.run_stats(work))
 
 
 # ── J5 ────────────────────────────────────────────────────────────────────────
