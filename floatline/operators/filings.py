@@ -40,34 +40,48 @@ def best_filing(filings: DataFrame) -> DataFrame:
 
 # ── Sync (S3 rows -> filings) ─────────────────────────────────────────────────
 
-def sync_filings(found: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insert found filings not yet stored under (issuer_id, accession_no,
-    form_type).  Rows without accession or form are ignored; a key repeated
-    inside the landed documents is inserted once and counted as skipped.
+
+def _sync_order():
+    # Processing order of the tracked job: issuer, date descending ('' last),
+    # then position in the landed documents.
+    return [F.col("issuer_id"), F.coalesce("filing_date", F.lit("")).desc(), F.col("page"), F.col("pos")]
+
+
+def new_filings(found: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D5 (selection): found filings not yet stored under (issuer_id,
+    accession_no, form_type).  Rows without accession or form are ignored; a
+    key repeated inside the landed documents is kept once and the rest count
+    as skipped.
 
     ``found``: issuer_id, accession_no, form_type, filing_date (string),
     primary_doc_url, filing_index_url, page, pos.
-    Returns (new filing rows, per-issuer counts inserted/skipped).
+    Returns (new rows without ids, per-issuer counts inserted/skipped).
     """
     valid = found.where((F.coalesce("accession_no", F.lit("")) != "")
                         & (F.coalesce("form_type", F.lit("")) != ""))
-    # Processing order of the tracked job: issuer, date descending ('' last),
-    # then position in the landed documents.
-    order = [F.col("issuer_id"), F.coalesce("filing_date", F.lit("")).desc(), F.col("page"), F.col("pos")]
     key = ["issuer_id", "accession_no", "form_type"]
-    first = first_per_key(valid, key, order[1:])
-    stored = filings.select(*key)
-    new = first.join(stored, key, "left_anti")
-    new_rows = assign_ids(new, order, max_id(filings)).select(
-        "id", "issuer_id", "accession_no", "form_type",
-        F.col("filing_date").try_cast("date").alias("filing_date"),
-        "primary_doc_url", "filing_index_url", F.lit(False).alias("is_parsed"))
+    first = first_per_key(valid, key, _sync_order()[1:])
+    new = first.join(filings.select(*key), key, "left_anti")
     counts = (valid.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("_valid"))
-              .join(new_rows.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("inserted")),
+              .join(new.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("inserted")),
                     "issuer_id", "left")
               .select("issuer_id", F.coalesce("inserted", F.lit(0)).alias("inserted"),
                       (F.col("_valid") - F.coalesce("inserted", F.lit(0))).alias("skipped")))
-    return new_rows, counts
+    return new, counts
+
+
+def number_filings(new: DataFrame, filings: DataFrame) -> DataFrame:
+    """D5 (insert): new rows numbered after the stored max id, in job order."""
+    return assign_ids(new, _sync_order(), max_id(filings)).select(
+        "id", "issuer_id", "accession_no", "form_type",
+        F.col("filing_date").try_cast("date").alias("filing_date"),
+        "primary_doc_url", "filing_index_url", F.lit(False).alias("is_parsed"))
+
+
+def sync_filings(found: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new filing rows with ids, per-issuer counts)."""
+    new, counts = new_filings(found, filings)
+    return number_filings(new, filings), counts
 
 
 def derive_status(found: DataFrame, issuers: DataFrame) -> DataFrame:

@@ -405,6 +405,10 @@ trans as (
   where i.cik is not null
   group by i.id, i.status)"""
 
+def candidates_block(source: str) -> str:
+    return CANDIDATES.replace("from fx_candidates where", f"from {source} where")
+
+
 CANDIDATES = f"""dd as (
   select * from (select *, row_number() over (
       partition by upper({strip("coalesce(ticker, '')")}), lower({strip("coalesce(company_name, '')")})
@@ -556,6 +560,8 @@ where not exists (select 1 from raw_documents d where d.url = u.url)"""
     q["candidate_dedup"] = W(CANDIDATES) + f"select {cand_cols} from dd"
     q["issuer_match"] = W(CANDIDATES) + "select source_rank, ord, company_name, ticker, issuer_id, match_kind from matched"
     q["issuer_upsert"] = W(CANDIDATES) + "select * from new_issuers"
+    q["discover_from_calendars"] = W(NASDAQ, NYSE, f"cal as (select {cand_cols} from nasdaq_c union all select {cand_cols} from nyse_c)",
+                                     candidates_block("cal")) + "select * from new_issuers"
     q["discover_stats"] = W(CANDIDATES) + """
 select count(*) as total_fetched, count(*) filter (where action = 'inserted') as inserted,
   count(*) filter (where action = 'updated') as updated, count(*) filter (where action = 'skipped') as skipped
@@ -605,6 +611,10 @@ from fx_filings f"""
         "fx_lockups", "fresh_lk", LOCKUP_COLS, LOCKUP_SET, keep_nulls=True)
     q["lockup_upsert_force"] = W(lockup_fields_ctes(force=True)) + upsert_sql(
         "fx_lockups", "lfields2", LOCKUP_COLS, LOCKUP_SET, keep_nulls=True)
+    q["lockup_run_stats"] = W(worklist(False, "fx_lockups")) + """
+select count(*) as issuer_count, count(*) filter (where outcome = 'parse') as parsed,
+  count(*) filter (where outcome = 'skipped') as skipped, count(*) filter (where outcome = 'failed') as failed
+from work"""
     q["lockup_dates"] = W(lockup_fields_ctes()) + """
 select issuer_id, filing_id, lockup_days, lockup_start_date, lockup_end_date from lfields2"""
 

@@ -287,6 +287,15 @@ def _discover(spark, sf_dir):
     return J.discover_candidates(fx["fx_issuers"], fx["fx_candidates"])
 
 
+def q_discover_from_calendars(spark, sf_dir):
+    """J1 end to end: landed calendars (S1, S2) -> union -> dedup -> match ->
+    fill/insert into the stored issuers."""
+    fx = _fx(spark, sf_dir)
+    res = J.discover_candidates(fx["fx_issuers"], CAL.nasdaq_candidates(_nasdaq_docs(fx), _as_of()),
+                                CAL.nyse_candidates(_nyse_docs(fx)))
+    return res.tables["issuers"]
+
+
 def q_issuer_upsert(spark, sf_dir):
     return _discover(spark, sf_dir).tables["issuers"]
 
@@ -387,6 +396,10 @@ def q_lockup_upsert_force(spark, sf_dir):
     return _lockup_job(spark, sf_dir, force=True).tables["lockups"]
 
 
+def q_lockup_run_stats(spark, sf_dir):
+    return _lockup_job(spark, sf_dir).stats
+
+
 def q_lockup_dates(spark, sf_dir):
     f = _lockup_job(spark, sf_dir).tables["fields"]
     return f.select("issuer_id", "filing_id", "lockup_days", "lockup_start_date", "lockup_end_date")

@@ -59,15 +59,16 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
     integer, count as failed (the fetch would fail)."""
     with_cik = issuers.where(F.col("cik").isNotNull())
     found, failed = sec.issuer_filings(with_cik, submissions)
-    new_rows, counts = FL.sync_filings(found, filings)
+    new, counts = FL.new_filings(found, filings)
     transitions = FL.derive_status(found, with_cik)
     stats = (with_cik.agg(F.count(F.lit(1)).alias("issuer_count"))
              .join(counts.agg(F.coalesce(F.sum("inserted"), F.lit(0)).cast("long").alias("filings_inserted"),
                               F.coalesce(F.sum("skipped"), F.lit(0)).cast("long").alias("filings_skipped")),
                    how="left")
              .join(failed.agg(F.count(F.lit(1)).alias("filings_failed")), how="left"))
-    return JobResult(LazyTables({"filings": lambda: filings.unionByName(new_rows),
-                                 "new_filings": new_rows,
+    numbered = LazyTables({"rows": lambda: FL.number_filings(new, filings)})
+    return JobResult(LazyTables({"filings": lambda: filings.unionByName(numbered["rows"]),
+                                 "new_filings": lambda: numbered["rows"],
                                  "issuers": lambda: FL.apply_status(issuers, transitions),
                                  "transitions": transitions}), stats)
 

@@ -11,6 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floatline.functions.scalars import normalize_cik
+
+
+def _by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the document key before assembling documents.
+
+    Serializing payloads is CPU work on little data, which AQE would
+    coalesce into very few tasks; an explicit count keeps it spread (and the
+    aggregation then needs no further shuffle)."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
 
 def ordered_list(value: Column, order: Column, where: Column | None = None) -> Column:
     """Aggregate: ``value`` of the group's rows sorted by ``order``."""
@@ -23,22 +34,23 @@ def ordered_list(value: Column, order: Column, where: Column | None = None) -> C
 def land_nasdaq(rows: DataFrame) -> DataFrame:
     """(month, page, json): ``{"data": {priced, upcoming.upcomingTable, filed,
     withdrawn}}`` with calendar rows; absent fields are left out."""
-    def row(date_key: str) -> Column:
-        return F.struct(F.col("dealID"), F.col("companyName"), F.col("proposedTickerSymbol"),
-                        F.col("proposedExchange"), F.col("dateText").alias(date_key))
-
-    k = F.col("row_key")
-    sec = F.col("section")
-    docs = rows.groupBy("month", "page").agg(
-        ordered_list(row("pricedDate"), k, sec == "priced").alias("priced"),
-        ordered_list(row("expectedPriceDate"), k, sec == "upcoming").alias("upcoming"),
-        ordered_list(row("filedDate"), k, sec == "filed").alias("filed"),
-        ordered_list(row("withdrawnDate"), k, sec == "withdrawn").alias("withdrawn"))
+    item = F.struct(F.col("section"), F.col("dealID"), F.col("companyName"),
+                    F.col("proposedTickerSymbol"), F.col("proposedExchange"), F.col("dateText"))
+    docs = _by(rows, "month", "page").groupBy("month", "page").agg(ordered_list(item, F.col("row_key")).alias("_rows"))
+
+    def section(name: str, date_key: str) -> Column:
+        picked = F.filter("_rows", lambda r: r["section"] == name)
+        return F.transform(picked, lambda r: F.struct(
+            r["dealID"].alias("dealID"), r["companyName"].alias("companyName"),
+            r["proposedTickerSymbol"].alias("proposedTickerSymbol"),
+            r["proposedExchange"].alias("proposedExchange"), r["dateText"].alias(date_key)))
+
     data = F.struct(
-        F.struct(F.col("priced").alias("rows")).alias("priced"),
-        F.struct(F.struct(F.col("upcoming").alias("rows")).alias("upcomingTable")).alias("upcoming"),
-        F.struct(F.col("filed").alias("rows")).alias("filed"),
-        F.struct(F.col("withdrawn").alias("rows")).alias("withdrawn"))
+        F.struct(section("priced", "pricedDate").alias("rows")).alias("priced"),
+        F.struct(F.struct(section("upcoming", "expectedPriceDate").alias("rows")).alias("upcomingTable"))
+        .alias("upcoming"),
+        F.struct(section("filed", "filedDate").alias("rows")).alias("filed"),
+        F.struct(section("withdrawn", "withdrawnDate").alias("rows")).alias("withdrawn"))
     return docs.select("month", "page", F.to_json(F.struct(data.alias("data"))).alias("json"))
 
 
@@ -46,7 +58,7 @@ def land_nyse(rows: DataFrame) -> DataFrame:
     """(page, json): ``{"calendarList": [...]}``."""
     item = F.struct("issuer_nm", "symbol", "custom_group_exchange_nm", "deal_status_flg",
                     "price_dt", "init_file_dt")
-    docs = rows.groupBy("page").agg(ordered_list(item, F.col("row_key")).alias("calendarList"))
+    docs = _by(rows, "page").groupBy("page").agg(ordered_list(item, F.col("row_key")).alias("calendarList"))
     return docs.select("page", F.to_json(F.struct("calendarList")).alias("json"))
 
 
@@ -55,18 +67,15 @@ def land_submissions(rows: DataFrame) -> DataFrame:
 
     On every fifth page the primaryDocument array is one short, as a
     truncated payload would be; readers must pad it with null."""
-    k = F.col("row_key")
-    docs = rows.groupBy("cik", "page").agg(
-        ordered_list(F.col("accession_no"), k).alias("accessionNumber"),
-        ordered_list(F.col("form"), k).alias("form"),
-        ordered_list(F.col("filingDate"), k).alias("filingDate"),
-        ordered_list(F.col("primaryDocument"), k).alias("primaryDocument"))
+    item = F.struct("accession_no", "form", "filingDate", "primaryDocument")
+    docs = _by(rows, "cik", "page").groupBy("cik", "page").agg(ordered_list(item, F.col("row_key")).alias("_rows"))
+    col = lambda f: F.transform("_rows", lambda r: r[f])
     short = F.col("page") % 5 == 0
-    docs = docs.withColumn("primaryDocument", F.when(
-        short, F.slice("primaryDocument", 1, F.size("primaryDocument") - 1)).otherwise(F.col("primaryDocument")))
-    recent = F.struct("accessionNumber", "form", "filingDate", "primaryDocument")
+    docs_all = col("primaryDocument")
+    primary = F.when(short, F.slice(docs_all, 1, F.size("_rows") - 1)).otherwise(docs_all)
+    recent = F.struct(col("accession_no").alias("accessionNumber"), col("form").alias("form"),
+                      col("filingDate").alias("filingDate"), primary.alias("primaryDocument"))
     payload = F.struct(F.col("cik"), F.struct(recent.alias("recent")).alias("filings"))
-    from floatline.functions.scalars import normalize_cik
     return docs.select(normalize_cik("cik").alias("cik10"), "page", F.to_json(payload).alias("json"))
 
 
@@ -76,6 +85,6 @@ COMPANY_FIELDS = ["cik", "name", "ticker", "exchange"]
 def land_company_list(rows: DataFrame) -> DataFrame:
     """(page, json): ``{"fields": [...], "data": [[...], ...]}``."""
     item = F.array(*[F.col(c).cast("string") for c in COMPANY_FIELDS])
-    docs = rows.groupBy("page").agg(ordered_list(item, F.col("row_key")).alias("data"))
+    docs = _by(rows, "page").groupBy("page").agg(ordered_list(item, F.col("row_key")).alias("data"))
     fields = F.array(*[F.lit(c) for c in COMPANY_FIELDS])
     return docs.select("page", F.to_json(F.struct(fields.alias("fields"), F.col("data"))).alias("json"))
