@@ -101,7 +101,7 @@ def _ngram_hits(c: DataFrame, q: DataFrame, max_results: int = 10) -> DataFrame:
     first_rows = top.withColumn("_slot", F.row_number().over(Window.orderBy("page", "pos")) - 1)
     empty = (q.where(F.length("q") == 0)
              .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(max_results - 1)))))
-    by_empty = first_rows.join(F.broadcast(empty), "_slot").drop("_slot")
+    by_empty = empty.join(F.broadcast(first_rows), "_slot").drop("_slot")  # 10 rows by construction
     cols = c.columns + ["query_id", "q"]
     out = (by_gram.select(*cols).unionByName(by_ticker.select(*cols))
            .unionByName(by_empty.select(*cols)))

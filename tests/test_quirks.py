@@ -111,3 +111,20 @@ def test_lockup_votes_equal_python_re(spark):
             votes += [int(m.group(1)) for m in re.finditer(p, t, flags) if 30 <= int(m.group(1)) <= 730]
         want.append(votes)
     assert got == want
+
+
+def test_company_search_paths_agree(spark):
+    """The broadcast path and the n-gram equi-join path give the same rows."""
+    from floatline.sources import sec
+    comps = spark.createDataFrame(
+        [(0, i, str(100 + i), n, t, "X") for i, (n, t) in enumerate(
+            [("Acme Holdings", "ACM"), ("Beta Acme", "BTA"), ("Gamma", "AC"), ("Delta", None),
+             ("ac", "Z"), (None, "ACME")])],
+        "page long, pos long, cik string, name string, ticker string, exchange string")
+    queries = spark.createDataFrame([("q1", "acme"), ("q2", " AC "), ("q3", "a"), ("q4", ""),
+                                     ("q5", "zz"), ("q6", "Delta")], "query_id string, query string")
+    fast = sec.search_companies(comps, queries, max_results=3)
+    grams = sec.search_companies(comps, queries, max_results=3, broadcast_max_queries=0)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(fast) == key(grams)
+    assert {r.query_id for r in fast.collect()} == {"q1", "q2", "q3", "q4", "q6"}
