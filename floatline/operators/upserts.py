@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floatline.functions.scalars import keep_new
 from floatline.operators.ranking import assign_ids, max_id
 
 OFFERING_COLS = ["id", "issuer_id", "filing_id", "source_form_type", "offer_price",
@@ -63,7 +64,7 @@ def _upsert(stored: DataFrame, fresh: DataFrame, cols: list[str], set_cols: list
         if c not in set_cols:
             return F.col(c)
         new = F.col(f"_new_{c}")
-        return F.when(hit, new if keep_nulls else F.coalesce(new, F.col(c))).otherwise(F.col(c))
+        return F.when(hit, new if keep_nulls else keep_new(new, F.col(c))).otherwise(F.col(c))
 
     kept = j.select(*[merged(c).alias(c) if c != "parsed_at"
                       else F.when(hit, as_of).otherwise(F.col(c)).alias(c) for c in cols])

@@ -42,14 +42,6 @@ class Dialect:
     def idiv(self, a: str, b: str) -> str:
         return f"cast(floor(({a}) / {b}) as bigint)"
 
-    def epoch_ms(self, ts: str) -> str:
-        if self.name == "spark":
-            return f"unix_millis(cast({ts} as timestamp))"
-        return f"epoch_ms(cast({ts} as timestamp))"
-
-    def date_lit(self, s: str) -> str:
-        return f"date '{s}'"
-
 
 class DuckDialect(Dialect):
     name = "duckdb"
