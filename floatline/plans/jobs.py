@@ -75,17 +75,23 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
 
 # ── J3 / J4 shared text ───────────────────────────────────────────────────────
 
+# Worklist rows are ~100 bytes; up to this many are broadcast into the scan
+# of the documents (no shuffle of the documents).  Beyond it both sides are
+# shuffled by URL (Spark's runtime bloom filter then trims the document side).
+BROADCAST_MAX_WORK_ROWS = 500_000
+
+
 def parse_texts(worklist: DataFrame, documents: DataFrame) -> DataFrame:
     """F7 over the documents to parse: issuer_id, filing_id, form_type,
-    filing_date, text.  The worklist side is small (one row per issuer to
-    parse); AQE broadcasts it when it is, so the documents are not shuffled
-    for the join.  The joined pages are then spread by filing for the
+    filing_date, text.  The joined pages are spread by filing for the
     CPU-heavy text stage, sized by their length summed on the worklist."""
-    todo = worklist.where(F.col("outcome") == "parse")
-    total_chars = todo.agg(F.sum("doc_chars")).first()[0]
+    todo = worklist.where(F.col("outcome") == "parse").select(
+        "issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url", "doc_chars")
+    size = todo.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_chars").alias("chars")).first()
+    side = F.broadcast(todo) if size["n"] <= BROADCAST_MAX_WORK_ROWS else todo
     docs = documents.select(F.col("url").alias("_url"), "html")
-    joined = todo.join(docs, todo.primary_doc_url == docs._url, "inner")
-    return (spread_text(joined, "filing_id", total_chars)
+    joined = docs.join(side, docs._url == side.primary_doc_url, "inner")
+    return (spread_text(joined, "filing_id", size["chars"])
             .select("issuer_id", "filing_id", "form_type", "filing_date",
                     html_to_text("html").alias("text")))
 
