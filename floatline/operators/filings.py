@@ -137,8 +137,11 @@ def parse_worklist(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
         done = F.coalesce("_exists", F.lit(False))
     else:
         done = F.coalesce("is_parsed", F.lit(False))
+    # Size recorded at landing (n_chars) when present: the worklist then reads
+    # two small columns of the documents table, never the pages themselves.
+    size = F.col("n_chars") if "n_chars" in documents.columns else F.length("html")
     docs = documents.select(F.col("url").alias("_url"),
-                            F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("doc_chars"))
+                            F.coalesce(size, F.lit(0)).cast("long").alias("doc_chars"))
     w = w.join(docs, w.primary_doc_url == docs._url, "left")
     reason = (F.when(F.col("filing_id").isNull(), F.lit("no_best_filing"))
               .when(F.coalesce("primary_doc_url", F.lit("")) == "", F.lit("no_url"))

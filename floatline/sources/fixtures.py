@@ -212,12 +212,14 @@ select source_rank, ord, company_name, ticker, exchange, source_url from (
 
 
 def raw_documents(d: Dialect) -> str:
-    """Landed filing documents: one HTML page per filing URL, some missing."""
+    """Landed filing documents: one HTML page per filing URL (some missing),
+    with its size recorded at landing so sizing work never reads the HTML."""
     return f"""
-select f.primary_doc_url as url,
-  '<html><head><title>t</title></head><body><p>' || t.text || '</p></body></html>' as html
-from {d.t('fx_filings')} f join {d.t('fx_texts')} t on t.filing_id = f.id
-where f.primary_doc_url is not null and t.filing_id % 13 <> 0"""
+select url, html, cast(length(html) as bigint) as n_chars from (
+  select f.primary_doc_url as url,
+    '<html><head><title>t</title></head><body><p>' || t.text || '</p></body></html>' as html
+  from {d.t('fx_filings')} f join {d.t('fx_texts')} t on t.filing_id = f.id
+  where f.primary_doc_url is not null and t.filing_id % 13 <> 0) docs"""
 
 
 # Calendar rows: one per customer.  Months 2001-01..2001-08, four sections.
