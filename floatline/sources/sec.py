@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from floatline.functions.scalars import (filing_index_url, filing_primary_doc_url,
                                          normalize_cik, py_strip)
 from floatline.operators.filings import TARGET_FORMS
+from floatline.operators.ranking import first_per_key
 
 _SA = T.ArrayType(T.StringType())
 SUBMISSIONS_SCHEMA = T.StructType([
@@ -81,7 +82,7 @@ def search_companies(companies: DataFrame, queries: DataFrame, max_results: int
 
 def _ngram_hits(c: DataFrame, q: DataFrame, max_results: int = 10) -> DataFrame:
     """Exact substring matches through equi-joins.  A query of length >= 3
-    joins the names holding its first trigram and is then verified; shorter
+    joins the names holding its rarest trigram and is then verified; shorter
     ones join the names' 1- and 2-grams directly.  An empty query matches
     every name: it takes the first ``max_results`` companies, joined on a
     slot number (0..max_results-1) rather than paired with every row."""
@@ -92,7 +93,15 @@ def _ngram_hits(c: DataFrame, q: DataFrame, max_results: int = 10) -> DataFrame:
     name_grams = c.select("*", F.explode(F.array_distinct(F.concat(
         grams(F.col("_name"), 1), grams(F.col("_name"), 2), grams(F.col("_name"), 3)))).alias("_g"))
     filled = q.where(F.length("q") > 0)
-    qg = filled.withColumn("_g", F.when(F.length("q") >= 3, F.substring("q", 1, 3)).otherwise(F.col("q")))
+    # Each query joins on its rarest trigram (fewest names hold it), so the
+    # candidate pairs per query are as few as any single gram allows; every
+    # candidate is then verified, so the match stays exact.
+    freq = name_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    qgrams = (filled.select("query_id", "q", F.explode(F.when(F.length("q") >= 3, grams(F.col("q"), 3))
+                                                        .otherwise(F.array(F.col("q")))).alias("_g"))
+              .join(freq, "_g", "left"))
+    qg = first_per_key(qgrams.where(F.col("_df").isNotNull()), ["query_id"],
+                       [F.col("_df"), F.col("_g")]).select("query_id", "q", "_g")
     by_gram = name_grams.join(qg, "_g").where(F.col("_name").contains(F.col("q"))).drop("_g")
     by_ticker = c.join(filled, c._ticker == filled.q)
     # The first companies in list order: a distributed top-k (limit is the
