@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.ansi.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Batch jobs: no web UI; checkpoint files go when their data is no longer referenced.
+    "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
