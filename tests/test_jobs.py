@@ -117,3 +117,52 @@ def test_discover_is_idempotent(spark, fx):
     r2 = J.discover_candidates(issuers, fx["fx_candidates"])
     s = r2.stats.first()
     assert s.inserted == 0 and s.updated == 0
+
+
+def test_duplicate_key_in_one_document_inserted_once(spark):
+    found = spark.createDataFrame(
+        [(1, "a1", "S-1", "2024-01-02", "u1", "i1", 0, 0), (1, "a1", "S-1", "2024-01-02", "u2", "i1", 0, 3),
+         (1, "a2", "RW", "", None, "", 0, 1), (1, "", "S-1", "2024-01-01", None, "", 0, 2)],
+        "issuer_id long, accession_no string, form_type string, filing_date string, "
+        "primary_doc_url string, filing_index_url string, page long, pos int")
+    stored = spark.createDataFrame([(7, 1, "zz", "S-1", dt.date(2020, 1, 1), None, None, False)],
+                                   "id long, issuer_id long, accession_no string, form_type string, "
+                                   "filing_date date, primary_doc_url string, filing_index_url string, is_parsed boolean")
+    rows, counts = FL.sync_filings(found, stored)
+    got = sorted((r.id, r.accession_no, r.primary_doc_url, r.filing_date) for r in rows.collect())
+    # '' date sorts last in the job order; the repeated key keeps its first row
+    assert got == [(8, "a1", "u1", dt.date(2024, 1, 2)), (9, "a2", None, None)]
+    [c] = counts.collect()
+    assert (c.inserted, c.skipped) == (2, 1)
+
+
+def test_lockup_job_ignores_is_parsed_and_offering_dates_stay_empty(spark):
+    issuers = spark.createDataFrame([(1, "a", None, None, "NYSE", "filed", None)], ISSUER_SCHEMA)
+    filings = spark.createDataFrame(
+        [(10, 1, "424B4", dt.date(2024, 3, 1), "u10", True)],
+        "id long, issuer_id long, form_type string, filing_date date, primary_doc_url string, is_parsed boolean")
+    docs = spark.createDataFrame([("u10", "<p>Lock-Up Agreements. We agreed not to sell for a period of "
+                                          "180 days after the date of this prospectus. Price to the public $12.00 "
+                                          "per share.</p>")], "url string, html string")
+    empty_lk = spark.createDataFrame([], "id long, issuer_id long, filing_id long, lockup_days int, "
+                                         "lockup_start_date date, lockup_end_date date, is_staged_unlock boolean, "
+                                         "unlock_notes string, unlock_shares_estimate double, confidence string, "
+                                         "parsed_at date")
+    lk = J.parse_lockups(issuers, filings, docs, empty_lk, "2024-03-10")
+    [row] = lk.tables["lockups"].collect()
+    assert (row.lockup_days, row.lockup_end_date, row.confidence) == (180, dt.date(2024, 8, 28), "high")
+    # the offering job honours is_parsed; with force it parses, and never writes pricing dates
+    stored_off = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in [
+        ("id", "long"), ("issuer_id", "long"), ("filing_id", "long"), ("source_form_type", "string"),
+        ("offer_price", "double"), ("pricing_date", "date"), ("expected_trade_date", "date"),
+        ("price_range_low", "double"), ("price_range_high", "double"), ("shares_offered_total", "double"),
+        ("shares_primary", "double"), ("shares_secondary", "double"), ("greenshoe_shares", "double"),
+        ("gross_proceeds", "double"), ("bookrunners", "string"), ("exchange", "string"), ("parsed_at", "date")]))
+    stored_cap = spark.createDataFrame([], "id long, issuer_id long, filing_id long, shares_outstanding_pre_ipo double, "
+                                           "shares_outstanding_post_ipo double, free_float_at_ipo double, "
+                                           "float_ratio double, fully_diluted_shares double, parsed_at date")
+    off = J.parse_offering_data(issuers, filings, docs, stored_off, stored_cap, "2024-03-10")
+    assert off.stats.first().parsed == 0
+    off = J.parse_offering_data(issuers, filings, docs, stored_off, stored_cap, "2024-03-10", force=True)
+    [o] = off.tables["offerings"].collect()
+    assert (o.offer_price, o.pricing_date, o.expected_trade_date, o.exchange) == (12.0, None, None, "NYSE")

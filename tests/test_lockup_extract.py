@@ -93,3 +93,20 @@ def test_section_window(spark):
     df = spark.createDataFrame([("Intro. LOCK-UP agreements: " + "y" * 7000,)], "text string")
     sec = df.select(lockup_section(F.col("text"))).first()[0]
     assert sec.lower().startswith("lock-up agreements") and len(sec) == 6000
+
+
+def test_one_sentence_votes_twice(spark):
+    # "not to sell ... for 90 days after" matches two patterns (2 votes) and
+    # outweighs one 180 vote that appears first.
+    text = "Lock-Up Agreements. A 180-day restricted period applies. Holders agreed not to sell for 90 days after."
+    [r] = _fields(spark, [text])
+    assert r["lockup_days"] == 90
+
+
+def test_inline_tags_split_tokens(spark):
+    from floatline.functions.text import html_to_text
+    df = spark.createDataFrame([("<p>Lock-Up Agreements. A <b>180</b>-day lock-up period applies.</p>",)], "html string")
+    text = df.select(html_to_text("html").alias("text")).first().text
+    assert text == "Lock-Up Agreements. A\n180\n-day lock-up period applies."
+    [r] = _fields(spark, [text])
+    assert r["lockup_days"] is None
