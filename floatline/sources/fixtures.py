@@ -113,7 +113,7 @@ def _managers(d: Dialect) -> str:
 def fx_texts(d: Dialect) -> str:
     n = d.num
     return f"""
-select id as filing_id, issuer_id,
+select id as filing_id, issuer_id, primary_doc_url,
   {_cover(d)}
   || case id % 4
     when 0 then 'The initial public offering price per share of our common stock is $' || cast(10 + id % 40 as string) || '.50. '
@@ -216,10 +216,10 @@ def raw_documents(d: Dialect) -> str:
     with its size recorded at landing so sizing work never reads the HTML."""
     return f"""
 select url, html, cast(length(html) as bigint) as n_chars from (
-  select f.primary_doc_url as url,
-    '<html><head><title>t</title></head><body><p>' || t.text || '</p></body></html>' as html
-  from {d.t('fx_filings')} f join {d.t('fx_texts')} t on t.filing_id = f.id
-  where f.primary_doc_url is not null and t.filing_id % 13 <> 0) docs"""
+  select primary_doc_url as url,
+    '<html><head><title>t</title></head><body><p>' || text || '</p></body></html>' as html
+  from {d.t('fx_texts')}
+  where primary_doc_url is not null and filing_id % 13 <> 0) docs"""
 
 
 # Calendar rows: one per customer.  Months 2001-01..2001-08, four sections.
