@@ -658,6 +658,7 @@ union all select 'upcoming_unlocks.csv', count(*) from (""" + upcoming_unlocks("
     q["latest_per_issuer"] = W() + f"select issuer_id, id as offering_id, parsed_at, offer_price from {latest('fx_offerings')}"
     q["daily_unlocks"] = W(lockup_fields_ctes(), fresh_lk, "new_lockups as (" + upsert_sql(
         "fx_lockups", "fresh_lk", LOCKUP_COLS, LOCKUP_SET, keep_nulls=True) + ")") + upcoming_unlocks("new_lockups")
+    q["daily_shared_unlocks"] = q["daily_unlocks"]
     q["daily_upcoming_ipos"] = W(offering_fields_ctes(), fresh_off, "new_offerings as (" + upsert_sql(
         "fx_offerings", "fresh_off", OFFERING_COLS, OFFERING_SET, keep_nulls=False) + ")") + upcoming_ipos("new_offerings")
     return q

@@ -452,6 +452,16 @@ def q_daily_unlocks(spark, sf_dir):
     return R.upcoming_unlocks(fx["fx_issuers"], fx["fx_offerings"], fx["fx_filings"], lk, _as_of())
 
 
+def q_daily_shared_unlocks(spark, sf_dir):
+    """The daily parse with one text table for J3 and J4 -> upcoming unlocks
+    (must equal ``daily_unlocks``)."""
+    from floatline.plans.daily import parse_filings
+    fx = _fx(spark, sf_dir)
+    out = parse_filings(fx["fx_issuers"], fx["fx_filings"], fx["raw_documents"], fx["fx_offerings"],
+                        fx["fx_capitalization"], fx["fx_lockups"], _as_of())
+    return R.upcoming_unlocks(fx["fx_issuers"], fx["fx_offerings"], fx["fx_filings"], out["lockups"], _as_of())
+
+
 def q_daily_upcoming_ipos(spark, sf_dir):
     """Offering parse -> upsert -> upcoming listings report on the new state."""
     fx = _fx(spark, sf_dir)
