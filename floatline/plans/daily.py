@@ -31,13 +31,18 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     work_off = materialize(FL.parse_worklist(issuers, filings, documents, force=force))
     work_lk = materialize(FL.parse_worklist(issuers, filings, documents, force=force,
                                             skip_existing=lockups))
-    todo = lambda w: w.where(F.col("outcome") == "parse").select(*_WORK_COLS)
-    needed = todo(work_off).unionByName(todo(work_lk)).dropDuplicates(["issuer_id", "filing_id"])
-    needed = needed.withColumn("outcome", F.lit("parse"))
-    texts = materialize(J.parse_texts(needed, documents))
-    keys = lambda w: w.where(F.col("outcome") == "parse").select("issuer_id", "filing_id")
-    off_fields = materialize(J.offering_fields(texts.join(keys(work_off), ["issuer_id", "filing_id"], "left_semi")))
-    lk_fields = materialize(J.lockup_fields(texts.join(keys(work_lk), ["issuer_id", "filing_id"], "left_semi")))
+    # One row per document to parse, flagged with the job(s) needing it; the
+    # flags ride along the text table so each extraction is a narrow filter
+    # on it (a join here would shuffle the texts and let AQE fold the CPU-heavy
+    # extraction into a single task).
+    todo = lambda w, off, lk: (w.where(F.col("outcome") == "parse").select(*_WORK_COLS)
+                               .withColumn("_off", F.lit(off)).withColumn("_lk", F.lit(lk)))
+    needed = (todo(work_off, True, False).unionByName(todo(work_lk, False, True))
+              .groupBy(*_WORK_COLS).agg(F.max("_off").alias("_off"), F.max("_lk").alias("_lk"))
+              .withColumn("outcome", F.lit("parse")))
+    texts = materialize(J.parse_texts(needed, documents, carry=("_off", "_lk")))
+    off_fields = materialize(J.offering_fields(texts.where("_off")))
+    lk_fields = materialize(J.lockup_fields(texts.where("_lk")))
     ex = issuers.select(F.col("id").alias("_iid"), F.col("exchange"))
     fresh_off = (off_fields.join(ex, off_fields.issuer_id == ex._iid, "left")
                  .select("issuer_id", "filing_id", F.col("form_type").alias("source_form_type"),
@@ -45,14 +50,14 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     fresh_cap = off_fields.select("issuer_id", "filing_id", "shares_outstanding_post_ipo",
                                   "shares_outstanding_pre_ipo", "fully_diluted_shares",
                                   F.col("shares_offered_total").alias("free_float_at_ipo"), "float_ratio")
-    return {
-        "offerings": U.upsert_offerings(offerings, fresh_off, d),
-        "capitalization": U.upsert_capitalization(capitalization, fresh_cap, d),
-        "lockups": U.upsert_lockups(lockups, lk_fields, d, force=force),
-        "filings": FL.mark_parsed(filings, work_off.where(F.col("outcome") == "parse")),
+    return J.LazyTables({
+        "offerings": lambda: U.upsert_offerings(offerings, fresh_off, d),
+        "capitalization": lambda: U.upsert_capitalization(capitalization, fresh_cap, d),
+        "lockups": lambda: U.upsert_lockups(lockups, lk_fields, d, force=force),
+        "filings": lambda: FL.mark_parsed(filings, work_off.where(F.col("outcome") == "parse")),
         "offering_stats": FL.run_stats(work_off),
         "lockup_stats": FL.run_stats(work_lk),
-    }
+    })
 
 
 def daily_run(tables: dict, documents: DataFrame, submissions: DataFrame | None = None,

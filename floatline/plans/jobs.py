@@ -81,18 +81,19 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
 BROADCAST_MAX_WORK_ROWS = 500_000
 
 
-def parse_texts(worklist: DataFrame, documents: DataFrame) -> DataFrame:
+def parse_texts(worklist: DataFrame, documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """F7 over the documents to parse: issuer_id, filing_id, form_type,
-    filing_date, text.  The joined pages are spread by filing for the
-    CPU-heavy text stage, sized by their length summed on the worklist."""
+    filing_date, text (and the ``carry`` columns of the worklist).  The
+    joined pages are spread by filing for the CPU-heavy text stage, sized by
+    their length summed on the worklist."""
     todo = worklist.where(F.col("outcome") == "parse").select(
-        "issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url", "doc_chars")
+        "issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url", "doc_chars", *carry)
     size = todo.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_chars").alias("chars")).first()
     side = F.broadcast(todo) if size["n"] <= BROADCAST_MAX_WORK_ROWS else todo
     docs = documents.select(F.col("url").alias("_url"), "html")
     joined = docs.join(side, docs._url == side.primary_doc_url, "inner")
     return (spread_text(joined, "filing_id", size["chars"])
-            .select("issuer_id", "filing_id", "form_type", "filing_date",
+            .select("issuer_id", "filing_id", "form_type", "filing_date", *carry,
                     html_to_text("html").alias("text")))
 
 
