@@ -41,19 +41,27 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
               .groupBy(*_WORK_COLS).agg(F.max("_off").alias("_off"), F.max("_lk").alias("_lk"))
               .withColumn("outcome", F.lit("parse")))
     texts = materialize(J.parse_texts(needed, documents, carry=("_off", "_lk")))
-    off_fields = materialize(J.offering_fields(texts.where("_off")))
-    lk_fields = materialize(J.lockup_fields(texts.where("_lk")))
+    fields = J.LazyTables({
+        "off": lambda: materialize(J.offering_fields(texts.where("_off"))),
+        "lk": lambda: materialize(J.lockup_fields(texts.where("_lk"))),
+    })
     ex = issuers.select(F.col("id").alias("_iid"), F.col("exchange"))
-    fresh_off = (off_fields.join(ex, off_fields.issuer_id == ex._iid, "left")
-                 .select("issuer_id", "filing_id", F.col("form_type").alias("source_form_type"),
-                         *[c for c in U.OFFERING_SET if c != "source_form_type"]))
-    fresh_cap = off_fields.select("issuer_id", "filing_id", "shares_outstanding_post_ipo",
-                                  "shares_outstanding_pre_ipo", "fully_diluted_shares",
-                                  F.col("shares_offered_total").alias("free_float_at_ipo"), "float_ratio")
+
+    def fresh_off():
+        f = fields["off"]
+        return (f.join(ex, f.issuer_id == ex._iid, "left")
+                .select("issuer_id", "filing_id", F.col("form_type").alias("source_form_type"),
+                        *[c for c in U.OFFERING_SET if c != "source_form_type"]))
+
+    def fresh_cap():
+        return fields["off"].select("issuer_id", "filing_id", "shares_outstanding_post_ipo",
+                                    "shares_outstanding_pre_ipo", "fully_diluted_shares",
+                                    F.col("shares_offered_total").alias("free_float_at_ipo"), "float_ratio")
+
     return J.LazyTables({
-        "offerings": lambda: U.upsert_offerings(offerings, fresh_off, d),
-        "capitalization": lambda: U.upsert_capitalization(capitalization, fresh_cap, d),
-        "lockups": lambda: U.upsert_lockups(lockups, lk_fields, d, force=force),
+        "offerings": lambda: U.upsert_offerings(offerings, fresh_off(), d),
+        "capitalization": lambda: U.upsert_capitalization(capitalization, fresh_cap(), d),
+        "lockups": lambda: U.upsert_lockups(lockups, fields["lk"], d, force=force),
         "filings": lambda: FL.mark_parsed(filings, work_off.where(F.col("outcome") == "parse")),
         "offering_stats": FL.run_stats(work_off),
         "lockup_stats": FL.run_stats(work_lk),
