@@ -542,7 +542,7 @@ select filing_id, lockup_days, is_staged_unlock, {confidence('lockup_days', 'is_
     q["candidates_union"] = W(NASDAQ, NYSE) + f"select {cand_cols} from nasdaq_c union all select {cand_cols} from nyse_c"
     q["target_filings"] = W(SUBMISSIONS) + "select * from target2"
     q["company_search"] = W() + f"""
-select query_id, rank, {normalize_cik('cik')} as cik, name, ticker, exchange from (
+select query_id, rank, {normalize_cik("coalesce(cik, '0')")} as cik, name, ticker, exchange from (
   select q.query_id, c.*, row_number() over (partition by q.query_id order by c.page, c.pos) as rank
   from (select *, row_number() over (partition by page order by row_key) - 1 as pos from company_rows) c
   join (select query_id, lower({strip("coalesce(query, '')")}) as q from company_queries) q

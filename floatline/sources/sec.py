@@ -77,7 +77,9 @@ def search_companies(companies: DataFrame, queries: DataFrame, max_results: int
         hits = _ngram_hits(c, q)
     w = Window.partitionBy("query_id").orderBy("page", "pos")
     top = hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_results)
-    return top.select("query_id", "rank", normalize_cik("cik").alias("cik"), "name", "ticker", "exchange")
+    # a row without a CIK field reads as CIK 0
+    return top.select("query_id", "rank", normalize_cik(F.coalesce("cik", F.lit("0"))).alias("cik"),
+                      "name", "ticker", "exchange")
 
 
 def _ngram_hits(c: DataFrame, q: DataFrame, max_results: int = 10) -> DataFrame:

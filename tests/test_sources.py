@@ -64,11 +64,12 @@ def test_submissions_zip_pads_and_filters(spark):
 def test_company_list_search(spark):
     doc = json.dumps({"fields": ["cik", "name", "ticker", "exchange"],
                       "data": [[320193, "Apple Inc.", "AAPL", "Nasdaq"], [1713445, "Reddit, Inc.", "RDDT", "NYSE"],
-                               [1, "Pineapple Co", "PINE", None]]})
+                               [1, "Pineapple Co", "PINE", None], [None, "Apple Pie", None, None]]})
     docs = spark.createDataFrame([(0, doc)], "page long, json string")
     comps = sec.company_list_rows(docs)
     q = spark.createDataFrame([("a", "apple"), ("b", "rddt"), ("c", "Inc.")], "query_id string, query string")
     got = sorted((r.query_id, r.rank, r.cik, r.name) for r in sec.search_companies(comps, q, max_results=10).collect())
     assert got == [("a", 1, "0000320193", "Apple Inc."), ("a", 2, "0000000001", "Pineapple Co"),
+                   ("a", 3, "0000000000", "Apple Pie"),
                    ("b", 1, "0001713445", "Reddit, Inc."),
                    ("c", 1, "0000320193", "Apple Inc."), ("c", 2, "0001713445", "Reddit, Inc.")]
