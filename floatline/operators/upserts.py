@@ -68,7 +68,7 @@ def _upsert(stored: DataFrame, fresh: DataFrame, cols: list[str], set_cols: list
 
     kept = j.select(*[merged(c).alias(c) if c != "parsed_at"
                       else F.when(hit, as_of).otherwise(F.col(c)).alias(c) for c in cols])
-    new = fresh.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+    new = fresh.join(stored.select(*KEY), KEY, "left_anti")
     numbered = assign_ids(new, [F.col("issuer_id"), F.col("filing_id")], max_id(stored))
     inserted = numbered.select(*[F.col(c) if c in fresh.columns or c == "id"
                                  else (as_of.alias(c) if c == "parsed_at"
@@ -93,5 +93,5 @@ def upsert_lockups(stored: DataFrame, fresh: DataFrame, as_of: Column, force: bo
     skipped existing ones); with force stored rows are overwritten including
     nulls, unlock_shares_estimate kept."""
     if not force:
-        fresh = fresh.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+        fresh = fresh.join(stored.select(*KEY), KEY, "left_anti")
     return _upsert(stored, fresh, LOCKUP_COLS, LOCKUP_SET, as_of, keep_nulls=True)
