@@ -258,10 +258,9 @@ def _best(fx: Fixtures) -> DataFrame:
 def q_document_join(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     b = _best(fx).select("issuer_id", F.col("id").alias("filing_id"), "primary_doc_url")
-    j = sec.document_join(b, fx["raw_documents"])
-    return j.select("issuer_id", "filing_id", "primary_doc_url",
-                    F.col("html").isNotNull().alias("has_document"),
-                    F.length("html").cast("long").alias("html_chars"))
+    j = sec.document_join(b, fx["raw_documents"], columns=("n_chars",))
+    return j.select("issuer_id", "filing_id", "primary_doc_url", "has_document",
+                    F.col("n_chars").alias("html_chars"))
 
 
 def q_fetch_worklist(spark, sf_dir):

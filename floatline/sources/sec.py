@@ -128,10 +128,13 @@ def company_list_rows(docs: DataFrame) -> DataFrame:
     return e.select("page", "pos", *[m.getItem(k).alias(k) for k in ["cik", "name", "ticker", "exchange"]])
 
 
-def document_join(best: DataFrame, documents: DataFrame) -> DataFrame:
-    """Best filings with their landed document (html null if absent)."""
-    d = documents.select(F.col("url"), F.col("html"))
-    return best.join(d, best.primary_doc_url == d.url, "left").drop("url")
+def document_join(best: DataFrame, documents: DataFrame, columns: tuple[str, ...] = ("html",)) -> DataFrame:
+    """Best filings with their landed document (null if absent).  Only
+    the requested document columns are read (e.g. ``n_chars`` alone never
+    touches the pages)."""
+    d = documents.select(F.col("url").alias("_doc_url"), *columns)
+    return best.join(d, best.primary_doc_url == d._doc_url, "left").withColumn(
+        "has_document", F.col("_doc_url").isNotNull()).drop("_doc_url")
 
 
 def fetch_worklist(needed: DataFrame, documents: DataFrame) -> DataFrame:
