@@ -15,11 +15,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floatline.session import parallelism
+
 TEXT_CHARS_PER_TASK = 16 * 1024 * 1024
 
 
 def text_partitions(spark, total_chars: int | None) -> int:
-    floor = 2 * spark.sparkContext.defaultParallelism
+    floor = 2 * parallelism(spark)
     return max(floor, math.ceil((total_chars or 0) / TEXT_CHARS_PER_TASK))
 
 

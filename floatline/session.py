@@ -53,7 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder must be shared storage named by
     ``spark.checkpoint.dir``; we never invent a machine-local one there.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Connect session has no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -68,6 +74,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (default parallelism of the cluster)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Connect session
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def materialize(df):
     """Write ``df`` to the reliable checkpoint folder and read it back.
 

@@ -1,4 +1,5 @@
-"""K3: table snapshots as versioned parquet folders.
+"""K3: table snapshots as versioned parquet folders (listing uses the
+Hadoop FileSystem of a classic session).
 
 Plain parquet has no MERGE.  An upsert writes the whole new table state to
 ``<table>/v=<n+1>`` and readers take the highest version, so a path being

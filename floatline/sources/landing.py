@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floatline.functions.scalars import normalize_cik
+from floatline.session import parallelism
 
 
 def _by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -20,7 +21,7 @@ def _by(rows: DataFrame, *keys: str) -> DataFrame:
     Serializing payloads is CPU work on little data, which AQE would
     coalesce into very few tasks; an explicit count keeps it spread (and the
     aggregation then needs no further shuffle)."""
-    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+    return rows.repartition(2 * parallelism(rows.sparkSession), *keys)
 
 
 def ordered_list(value: Column, order: Column, where: Column | None = None) -> Column:
