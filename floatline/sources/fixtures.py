@@ -4,9 +4,12 @@ The driver tables hold no filings, so the jobs run on views derived from
 ``customer`` (issuers, candidates, calendars) and ``orders`` (filings and
 their prospectus text).  Each view is written once and rendered for two
 dialects: Spark SQL (the views feed the jobs) and DuckDB (the views become
-CTEs of the oracle).  The modulo rules below only assign attributes so that
-nulls, ties, skips and every form type occur; no rule drops rows to make a
-check cheaper, and every view grows with its source table.
+CTEs of the oracle).  The modulo rules below assign attributes (form types,
+nulls, ties) and decide domain state: which filings already have stored
+offering / capitalization / lock-up rows, which documents are not landed yet,
+which customers appear in which calendar.  None exists to make a check
+cheaper; every view grows with its source table and every query reads whole
+views.
 """
 
 from __future__ import annotations
