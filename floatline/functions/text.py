@@ -19,11 +19,10 @@ def normalize_whitespace(c) -> Column:
 
 
 # ── F7: HTML -> text ──────────────────────────────────────────────────────────
-# Elements dropped with their content, then comments; every run of tags then
+# Non-content elements are dropped with their content; every run of tags then
 # becomes one line break, as a text-node join with "\n" would give.
 DROPPED_ELEMENTS = ["script", "style", "head"]
 TAG_RUN = r"(?:<[/!?]?[A-Za-z][^>]*>)+"
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 
 # FIXED VALUES: named character references decoded in text ("&amp;" last so
 # an escaped reference stays literal).
@@ -36,22 +35,28 @@ ENTITIES = [
 ]
 
 
-def element_pattern(name: str) -> str:
+def element_pattern(name: str, flags: bool = True) -> str:
     """An element with its content; an unclosed one runs to the end."""
-    return rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)"
+    return ("(?is)" if flags else "") + rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)"
+
+
+# Scripts, styles and comments in one left-to-right pass: whichever starts
+# first is removed whole, so a comment inside a script stays script text and
+# a script inside a comment stays comment text, as in an HTML parser.
+NON_CONTENT = ("(?is)" + element_pattern("script", False) + "|" + element_pattern("style", False)
+               + r"|<!--.*?(?:-->|\z)")
 
 
 def html_to_text(html) -> Column:
     """visible text of an HTML page, one text node per line.
 
-    Steps: drop script/style, comments, head; tags -> line break; decode
-    entities; unify line ends; collapse 3+ line breaks to 2; strip trailing
-    spaces per line; strip the whole text.  Null/empty html -> ''.
+    Steps: drop scripts, styles and comments (one pass), then head; tags ->
+    line break; decode entities; unify line ends; collapse 3+ line breaks to
+    2; strip trailing spaces per line; strip the whole text.  Null/empty
+    html -> ''.
     """
     x = F.coalesce(col_of(html), F.lit(""))
-    for name in ["script", "style"]:
-        x = F.regexp_replace(x, element_pattern(name), "")
-    x = F.regexp_replace(x, COMMENT, "")
+    x = F.regexp_replace(x, NON_CONTENT, "")
     x = F.regexp_replace(x, element_pattern("head"), "")
     x = F.regexp_replace(x, TAG_RUN, "\n")
     for ent, ch in ENTITIES:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from floatline.functions import patterns as P
 from floatline.functions.scalars import DATE_FORMATS, MAX_VALID_EPOCH_MS, PY_WS, PY_WS_NO_NL
-from floatline.functions.text import DROPPED_ELEMENTS, ENTITIES, TAG_RUN
+from floatline.functions.text import DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, TAG_RUN
 from floatline.operators.filings import FILING_FORMS, FORM_TIERS, TARGET_FORMS
 from floatline.plans import catalog as CAT
 from floatline.plans import reports as R
@@ -96,9 +96,7 @@ def normalize_ws(e: str) -> str:
 
 def html_to_text(e: str) -> str:
     x = f"coalesce({e}, '')"
-    for name in ["script", "style"]:
-        x = f"regexp_replace({x}, {lit(_element(name))}, '', 'g')"
-    x = f"regexp_replace({x}, {lit('(?s)<!--.*?(?:-->|\\z)')}, '', 'g')"
+    x = f"regexp_replace({x}, {lit(NON_CONTENT)}, '', 'g')"
     x = f"regexp_replace({x}, {lit(_element('head'))}, '', 'g')"
     x = f"regexp_replace({x}, {lit(TAG_RUN)}, {NL}, 'g')"
     for ent, ch in ENTITIES:

@@ -128,3 +128,10 @@ def test_company_search_paths_agree(spark):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(fast) == key(grams)
     assert {r.query_id for r in fast.collect()} == {"q1", "q2", "q3", "q4", "q6"}
+
+
+def test_html_non_content_leftmost_first(spark):
+    from floatline.functions.text import html_to_text
+    html = ("<body><script>var c = '<!-- not a comment';</script><p>one</p>"
+            "<!-- <script> not a script --><p>two</p><style>p{}</style><p>three</p></body>")
+    assert one_column(spark, [html], html_to_text) == ["one\ntwo\nthree"]
