@@ -31,7 +31,10 @@ ENTITIES = [
     ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
     ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&hellip;", "…"), ("&amp;", "&"),
+    ("&rdquo;", "”"), ("&hellip;", "…"), ("&bull;", "•"), ("&sect;", "§"),
+    ("&para;", "¶"), ("&trade;", "™"), ("&deg;", "°"), ("&times;", "×"),
+    ("&euro;", "€"), ("&pound;", "£"), ("&cent;", "¢"), ("&yen;", "¥"),
+    ("&amp;", "&"),
 ]
 
 
@@ -47,11 +50,36 @@ NON_CONTENT = ("(?is)" + element_pattern("script", False) + "|" + element_patter
                + r"|<!--.*?(?:-->|\z)")
 
 
+# Numeric character references (decimal or hex) and "&amp;", decoded in one
+# pass so that nothing a reference produces is decoded again.  A numeric one
+# becomes its character (code point 0, surrogates and values past U+10FFFF
+# become U+FFFD), built from the code point with unhex + decode; the text
+# between references is zipped back around them.
+NUMERIC_REF = r"&(?:#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|amp);"
+REPLACEMENT_CHAR = "\uFFFD"
+
+
+def decode_numeric_refs(x: Column) -> Column:
+    codes = F.regexp_extract_all(x, F.lit(NUMERIC_REF), F.lit(1))
+    points = F.transform(codes, lambda c: F.when(F.lower(F.substring(c, 1, 1)) == "x",
+                                                 F.conv(F.substring(c, 2, 16), 16, 10))
+                         .otherwise(c).try_cast("long"))
+    valid = lambda n: (n >= 1) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    chars = F.transform(F.arrays_zip(codes.alias("c"), points.alias("n")), lambda z: (
+        F.when(F.coalesce(z["c"], F.lit("")) == "", F.lit("&"))
+        .when(valid(z["n"]), F.decode(F.unhex(F.lpad(F.hex(z["n"]), 8, "0")), "UTF-32"))
+        .otherwise(F.lit(REPLACEMENT_CHAR))))
+    pieces = F.zip_with(F.split(x, NUMERIC_REF), chars,
+                        lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.coalesce(c, F.lit(""))))
+    return F.when(F.instr(x, "&") > 0, F.array_join(pieces, "")).otherwise(x)
+
+
 def html_to_text(html) -> Column:
     """visible text of an HTML page, one text node per line.
 
     Steps: drop scripts, styles and comments (one pass), then head; tags ->
-    line break; decode entities; unify line ends; collapse 3+ line breaks to
+    line break; decode named then numeric references ("&amp;" last); unify
+    line ends; collapse 3+ line breaks to
     2; strip trailing spaces per line; strip the whole text.  Null/empty
     html -> ''.
     """
@@ -59,8 +87,9 @@ def html_to_text(html) -> Column:
     x = F.regexp_replace(x, NON_CONTENT, "")
     x = F.regexp_replace(x, element_pattern("head"), "")
     x = F.regexp_replace(x, TAG_RUN, "\n")
-    for ent, ch in ENTITIES:
+    for ent, ch in ENTITIES[:-1]:
         x = F.replace(x, F.lit(ent), F.lit(ch))
+    x = decode_numeric_refs(x)                 # and "&amp;", last
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
     x = F.regexp_replace(x, rf"(?md)[{PY_WS_NO_NL}]+$", "")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from floatline.functions import patterns as P
 from floatline.functions.scalars import DATE_FORMATS, MAX_VALID_EPOCH_MS, PY_WS, PY_WS_NO_NL
-from floatline.functions.text import DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, TAG_RUN
+from floatline.functions.text import DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, NUMERIC_REF, TAG_RUN
 from floatline.operators.filings import FILING_FORMS, FORM_TIERS, TARGET_FORMS
 from floatline.plans import catalog as CAT
 from floatline.plans import reports as R
@@ -99,14 +99,26 @@ def html_to_text(e: str) -> str:
     x = f"regexp_replace({x}, {lit(NON_CONTENT)}, '', 'g')"
     x = f"regexp_replace({x}, {lit(_element('head'))}, '', 'g')"
     x = f"regexp_replace({x}, {lit(TAG_RUN)}, {NL}, 'g')"
-    for ent, ch in ENTITIES:
+    for ent, ch in ENTITIES[:-1]:
         x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    x = decode_numeric_refs(x)
     x = f"regexp_replace({x}, '\\r\\n?', {NL}, 'g')"
     x = f"regexp_replace({x}, '\\n{{3,}}', {NL} || {NL}, 'g')"
     x = f"regexp_replace({x}, {lit(f'(?m)[{PY_WS_NO_NL}]+$')}, '', 'g')"
     return strip(x)
 
 
+def decode_numeric_refs(x: str) -> str:
+    n = ("case when lower(substring(c, 1, 1)) = 'x' then try_cast('0x' || substring(c, 2) as bigint) "
+         "else try_cast(c as bigint) end")
+    ch = (f"case when coalesce(c, '') = '' then '&' "
+          f"when ({n}) between 1 and 1114111 and not ({n}) between 55296 and 57343 "
+          f"then chr(cast(({n}) as integer)) else chr(65533) end")
+    chars = f"list_transform(regexp_extract_all({x}, {lit(NUMERIC_REF)}, 1), lambda c: {ch})"
+    pieces = f"list_transform(string_split_regex({x}, {lit(NUMERIC_REF)}), lambda p, i: p || coalesce(({chars})[i], ''))"
+    return f"case when strpos({x}, '&') > 0 then array_to_string({pieces}, '') else {x} end"
+
+
 def _element(name: str) -> str:
     assert name in DROPPED_ELEMENTS
     return rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)"

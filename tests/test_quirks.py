@@ -135,3 +135,11 @@ def test_html_non_content_leftmost_first(spark):
     html = ("<body><script>var c = '<!-- not a comment';</script><p>one</p>"
             "<!-- <script> not a script --><p>two</p><style>p{}</style><p>three</p></body>")
     assert one_column(spark, [html], html_to_text) == ["one\ntwo\nthree"]
+
+
+def test_html_numeric_references(spark):
+    from floatline.functions.text import html_to_text
+    html = ("<p>offering&#160;price &#8220;IPO&#x201D; A&#X2019;s &#0; &#55296; &#38;amp; &amp;#160; "
+            "&#128512;</p>")
+    assert one_column(spark, [html], html_to_text) == [
+        "offering price “IPO” A’s � � &amp; &#160; \U0001F600"]
