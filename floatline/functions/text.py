@@ -58,12 +58,30 @@ NON_CONTENT = ("(?is)" + element_pattern("script", False) + "|" + element_patter
 NUMERIC_REF = r"&(?:#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|amp);"
 REPLACEMENT_CHAR = "\uFFFD"
 
+# FIXED VALUES (HTML standard, numeric character reference end state): code
+# points 0x80-0x9F in a reference are read as Windows-1252 characters.
+C1_REMAP = {
+    0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020,
+    0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152,
+    0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022,
+    0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A,
+    0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
+}
+
+
+def _remap_c1(n: Column) -> Column:
+    out = None
+    for src, dst in C1_REMAP.items():
+        out = (F.when if out is None else out.when)(n == src, F.lit(dst).cast("long"))
+    return out.otherwise(n)
+
 
 def decode_numeric_refs(x: Column) -> Column:
     codes = F.regexp_extract_all(x, F.lit(NUMERIC_REF), F.lit(1))
     points = F.transform(codes, lambda c: F.when(F.lower(F.substring(c, 1, 1)) == "x",
                                                  F.conv(F.substring(c, 2, 16), 16, 10))
                          .otherwise(c).try_cast("long"))
+    points = F.transform(points, _remap_c1)
     valid = lambda n: (n >= 1) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     chars = F.transform(F.arrays_zip(codes.alias("c"), points.alias("n")), lambda z: (
         F.when(F.coalesce(z["c"], F.lit("")) == "", F.lit("&"))

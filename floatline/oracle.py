@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from floatline.functions import patterns as P
 from floatline.functions.scalars import DATE_FORMATS, MAX_VALID_EPOCH_MS, PY_WS, PY_WS_NO_NL
-from floatline.functions.text import DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, NUMERIC_REF, TAG_RUN
+from floatline.functions.text import C1_REMAP, DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, NUMERIC_REF, TAG_RUN
 from floatline.operators.filings import FILING_FORMS, FORM_TIERS, TARGET_FORMS
 from floatline.plans import catalog as CAT
 from floatline.plans import reports as R
@@ -109,8 +109,9 @@ def html_to_text(e: str) -> str:
 
 
 def decode_numeric_refs(x: str) -> str:
-    n = ("case when lower(substring(c, 1, 1)) = 'x' then try_cast('0x' || substring(c, 2) as bigint) "
-         "else try_cast(c as bigint) end")
+    raw = ("case when lower(substring(c, 1, 1)) = 'x' then try_cast('0x' || substring(c, 2) as bigint) "
+           "else try_cast(c as bigint) end")
+    n = f"case ({raw}) " + " ".join(f"when {a} then {b}" for a, b in C1_REMAP.items()) + f" else ({raw}) end"
     ch = (f"case when coalesce(c, '') = '' then '&' "
           f"when ({n}) between 1 and 1114111 and not ({n}) between 55296 and 57343 "
           f"then chr(cast(({n}) as integer)) else chr(65533) end")

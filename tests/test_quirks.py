@@ -143,3 +143,16 @@ def test_html_numeric_references(spark):
             "&#128512;</p>")
     assert one_column(spark, [html], html_to_text) == [
         "offering price “IPO” A’s � � &amp; &#160; \U0001F600"]
+
+
+def test_company_search_ngram_path_on_fixture(spark):
+    """The n-gram equi-join path gives the registered query's rows."""
+    from floatline.sources import landing, sec
+    from floatline.sources.fixtures import Fixtures
+    from tests.conftest import SF001
+    fx = Fixtures(spark, SF001)
+    comps = sec.company_list_rows(landing.land_company_list(fx["company_rows"]))
+    fast = sec.search_companies(comps, fx["company_queries"])
+    grams = sec.search_companies(comps, fx["company_queries"], broadcast_max_queries=0)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(fast) == rows(grams) and len(rows(fast)) > 0
