@@ -70,3 +70,35 @@ def test_status_exact_under_skew(spark, hot_filings):
         want = ("withdrawn" if "RW" in fs else cur if cur in ("priced", "trading")
                 else "filed" if fs & set(FL.FILING_FORMS) and cur != "withdrawn" else cur)
         assert got[i] == want, i
+
+
+def test_worklist_never_reads_pages(spark, tmp_path):
+    """With stored documents, the worklist scan reads (url, n_chars) only."""
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "documents")
+    fx["raw_documents"].write.parquet(path)
+    docs = spark.read.parquet(path)
+    w = FL.parse_worklist(fx["fx_issuers"], fx["fx_filings"], docs)
+    plan = spark._jvm.PythonSQLUtils.explainString(w._jdf.queryExecution(), "formatted")
+    schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema") and "n_chars" in line]
+    assert schemas == ["ReadSchema: struct<url:string,n_chars:bigint>"]
+    assert w.where("outcome = 'parse'").count() > 0
+
+
+def test_parse_join_broadcasts_the_worklist(spark, tmp_path):
+    """Pages are joined by broadcasting the (row-bounded) worklist into the
+    document scan; the only exchange is the explicit spread for text work."""
+    from floatline.plans import jobs as J
+    from floatline.session import materialize
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "documents")
+    fx["raw_documents"].write.parquet(path)
+    docs = spark.read.parquet(path)
+    work = materialize(FL.parse_worklist(fx["fx_issuers"], fx["fx_filings"], docs))
+    texts = J.parse_texts(work, docs)
+    plan = spark._jvm.PythonSQLUtils.explainString(texts._jdf.queryExecution(), "formatted")
+    tree = plan.split("\n\n")[0]
+    assert "BroadcastHashJoin" in tree and "BroadcastExchange" in tree
+    exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert len(exchanges) == 1 and "filing_id" in exchanges[0]
+    assert texts.count() > 0
