@@ -12,9 +12,10 @@ a checkpointed file log.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floatline.operators.filings import sync_filings
+from floatline.operators.filings import new_filings, number_filings
 from floatline.sources import sec
 
 LANDED_SCHEMA = T.StructType([
@@ -31,10 +32,15 @@ def ingest_filings(spark: SparkSession, landing_dir: str, filings_dir: str, chec
     with_cik = issuers.where("cik is not null")
 
     def batch(docs: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(filings_dir)
+        table = spark.read.parquet(filings_dir)
         found, _failed = sec.issuer_filings(with_cik, docs)
-        new_rows, _counts = sync_filings(found, stored)
-        new_rows.write.mode("append").parquet(filings_dir)
+        # A batch holds at most files_per_batch documents of at most one page
+        # (4,096 filings) each, so its issuer set has a proven bound: it is
+        # broadcast to cut the stored table down map-side before the anti join.
+        issuers_in_batch = F.broadcast(found.select("issuer_id").distinct())
+        stored = table.join(issuers_in_batch, "issuer_id", "left_semi")
+        new, _counts = new_filings(found, stored)
+        number_filings(new, table).write.mode("append").parquet(filings_dir)
 
     stream = (spark.readStream.schema(LANDED_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch).parquet(landing_dir))
