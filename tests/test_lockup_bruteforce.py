@@ -58,3 +58,39 @@ def test_staged_and_notes_equal_python(spark):
     rows = X.with_lockup_fields(df, fields=["is_staged_unlock", "unlock_notes"]).orderBy("i").collect()
     assert [r.is_staged_unlock for r in rows] == [py_staged(t) for t in texts]
     assert [r.unlock_notes for r in rows] == [py_notes(t) for t in texts]
+
+
+def py_bookrunners(text):
+    m = re.search(P.BOOKRUNNER_BLOCK, text, re.IGNORECASE)
+    if m:
+        block = m.group(1)
+    else:
+        m2 = re.search(P.BOOKRUNNER_FALLBACK, text, re.IGNORECASE)
+        if not m2:
+            return None
+        block = m2.group(1)
+    names = []
+    for line in block.splitlines():
+        line = line.strip().rstrip("*").strip()
+        if not line or re.match(P.BOOKRUNNER_SKIP_LINE, line, re.IGNORECASE):
+            continue
+        if len(line) < P.BOOKRUNNER_MIN_LEN or re.match(r"^\d", line):
+            continue
+        names.append(line)
+    return P.BOOKRUNNER_SEPARATOR.join(names) if names else None
+
+
+def test_bookrunners_equal_python(spark):
+    lines = ["The underwriters expect to deliver the shares on May 1.", "deliver the shares against payment",
+             "MORGAN STANLEY", "J.P. MORGAN*", "*", "12", "AB", "In alphabetical order", "____",
+             "Prospectus dated May 2", "Table of Contents", "Joint Book-Running Managers", "Book Running Manager",
+             "  UBS  ", "", "---", "Citigroup Global Markets Inc."]
+    rnd = random.Random(23)
+    texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 14))) + rnd.choice(["", "\n", "\n\n\n"])
+             for _ in range(400)]
+    got = [r.bookrunners for r in X.with_offering_fields(
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"),
+        fields=["bookrunners"]).orderBy("i").collect()]
+    want = [py_bookrunners(t) for t in texts]
+    assert got == want
+    assert sum(w is not None for w in want) > 20
