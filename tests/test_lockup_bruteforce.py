@@ -94,3 +94,28 @@ def test_bookrunners_equal_python(spark):
     want = [py_bookrunners(t) for t in texts]
     assert got == want
     assert sum(w is not None for w in want) > 20
+
+
+def test_post_ipo_equals_python(spark):
+    from tests.test_scalars_property import py_parse_number
+
+    def py_post(text):
+        for p in P.POST_IPO_TIER1:
+            m = re.search(p, text, re.IGNORECASE | re.DOTALL)
+            if m:
+                return py_parse_number(m.group(1).strip())
+        vals = [v for p in P.POST_IPO_TIER2 for m in re.finditer(p, text, re.IGNORECASE)
+                if (v := py_parse_number(m.group(1))) is not None]
+        return max(vals) if vals else None
+
+    words = TOKENS + ["Class A, Class B, and Class C common stock to be outstanding after this offering\n",
+                      "outstanding immediately after this offering\n 7,000", "50,000,000 shares",
+                      "outstanding after offering", "total of 3,000 shares", "1,2", ",,", "12 share"]
+    rnd = random.Random(29)
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 70))) for _ in range(400)]
+    got = [r.shares_outstanding_post_ipo for r in X.with_offering_fields(
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"),
+        fields=["shares_outstanding_post_ipo"]).orderBy("i").collect()]
+    want = [py_post(t) for t in texts]
+    assert got == want
+    assert sum(w is not None for w in want) > 20
