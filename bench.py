@@ -63,9 +63,12 @@ def main() -> None:
         return time.perf_counter() - t0
 
     run("best_filing")  # warm-up: JVM, codegen caches
-    timings = {}
+    timings, errors = {}, {}
     for name in names:
-        timings[name] = round(statistics.median(run(name) for _ in range(runs)), 3)
+        try:
+            timings[name] = round(statistics.median(run(name) for _ in range(runs)), 3)
+        except Exception as e:  # noqa: BLE001 - report the query, keep benching
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_queries_total" if which != "all" else "all_queries_total",
@@ -76,6 +79,7 @@ def main() -> None:
         "cpus": cpus,
         "runs": runs,
         "spark": spark.version,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
