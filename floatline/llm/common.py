@@ -66,3 +66,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+BITMAP_BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, on: str | list[str], wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among those of ``wanted``; none that is
+    gets lost.  A bitmap of hashed keys is broadcast: 1,024 rows of 4 KB at
+    most, whatever the number of keys, so it only gets less selective."""
+    on = [on] if isinstance(on, str) else on
+    h = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS))
+    bits = wanted.select(h.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    probe = df.withColumn("_h", h).withColumn("_bucket", F.bitmap_bucket_number("_h"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position("_h") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.bitmap_bit_position("_h") % 8).cast("int")) != 0
+    return probe.join(F.broadcast(bits), "_bucket").where(hit).select(*df.columns)

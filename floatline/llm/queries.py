@@ -7,9 +7,11 @@ from floatline.llm.jaccard_join import op10_jaccard_join
 from floatline.llm.language_id import op4_language_id
 from floatline.llm.mixing import op1_mix_sources
 from floatline.llm.packing import op6_best_fit_packing
+from floatline.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
