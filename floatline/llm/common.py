@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver found it:
+    its sources go to the executors once per context, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_floatline_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="floatline-src-"), "floatline_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._floatline_shipped = True
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the checkpoint folder that all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -25,6 +45,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: it is
     computed once, and a lost executor recomputes nothing upstream of it."""
+    ship_package(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from floatline.llm.archive import OP8_SQL, op8_zip_warc
 from floatline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from floatline.llm.jaccard_join import op10_jaccard_join
 from floatline.llm.language_id import op4_language_id
 from floatline.llm.mixing import op1_mix_sources
 from floatline.llm.packing import op6_best_fit_packing
 from floatline.llm.suffix_dedup import op3_suffix_dedup
+from floatline.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_zip_warc": op8_zip_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE = {"op5_exact_dedup": OP5_SQL}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op8_zip_warc": OP8_SQL}
