@@ -7,7 +7,9 @@ from floatline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from floatline.llm.jaccard_join import op10_jaccard_join
 from floatline.llm.language_id import op4_language_id
 from floatline.llm.mixing import op1_mix_sources
+from floatline.llm.nearest import op7_hilbert_neighbours
 from floatline.llm.packing import op6_best_fit_packing
+from floatline.llm.passages import op9_fuzzy_passages
 from floatline.llm.suffix_dedup import op3_suffix_dedup
 from floatline.llm.toxicity import op2_toxicity
 
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_zip_warc": op8_zip_warc,
+    "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
