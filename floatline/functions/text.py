@@ -6,6 +6,9 @@ whole-stage codegen on the executors; no per-row Python.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,20 +25,15 @@ def normalize_whitespace(c) -> Column:
 # Non-content elements are dropped with their content; every run of tags then
 # becomes one line break, as a text-node join with "\n" would give.
 DROPPED_ELEMENTS = ["script", "style", "head"]
-TAG_RUN = r"(?:<[/!?]?[A-Za-z][^>]*>)+"
-
-# FIXED VALUES: named character references decoded in text ("&amp;" last so
-# an escaped reference stays literal).
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&hellip;", "…"), ("&bull;", "•"), ("&sect;", "§"),
-    ("&para;", "¶"), ("&trade;", "™"), ("&deg;", "°"), ("&times;", "×"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&cent;", "¢"), ("&yen;", "¥"),
-    ("&amp;", "&"),
-]
+
+# One tag: quoted attribute values may hold ">"; where quotes do not pair up,
+# the tag ends at the first ">".
+TAG = r"""<[/!?]?[A-Za-z](?:[^"'>]|"[^"<]*"|'[^'<]*')*>|<[/!?]?[A-Za-z][^>]*>"""
+TAG_RUN = f"(?:{TAG})+"
+# The same with possessive groups: nothing that follows could make use of a
+# shorter match, and Java runs these as loops, where a plain repeated group
+# recurses once per tag (a few thousand adjacent tags overflow the stack).
+TAG_RUN_JAVA = r"""(?:<[/!?]?[A-Za-z](?:[^"'>]++|"[^"<]*"|'[^'<]*')*+>|<[/!?]?[A-Za-z][^>]*>)++"""
 
 
 def element_pattern(name: str, flags: bool = True) -> str:
@@ -50,13 +48,17 @@ NON_CONTENT = ("(?is)" + element_pattern("script", False) + "|" + element_patter
                + r"|<!--.*?(?:-->|\z)")
 
 
-# Numeric character references (decimal or hex) and "&amp;", decoded in one
-# pass so that nothing a reference produces is decoded again.  A numeric one
-# becomes its character (code point 0, surrogates and values past U+10FFFF
-# become U+FFFD), built from the code point with unhex + decode; the text
-# between references is zipped back around them.
-NUMERIC_REF = r"&(?:#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|amp);"
+# Character references, decoded in one pass so that nothing a reference
+# produces is decoded again.  A numeric one becomes its character (code point
+# 0, surrogates and values past U+10FFFF become U+FFFD), built from the code
+# point with unhex + decode.  A named one is looked up in the HTML standard's
+# table (the standard library has it); without a semicolon the longest name
+# that may go without one counts, and the rest stays text.  The text between
+# references is zipped back around them.
+CHAR_REF = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 REPLACEMENT_CHAR = "\uFFFD"
+NAMED_REFS = dict(html5)
+BARE_NAMES = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 
 # FIXED VALUES (HTML standard, numeric character reference end state): code
 # points 0x80-0x9F in a reference are read as Windows-1252 characters.
@@ -76,18 +78,28 @@ def _remap_c1(n: Column) -> Column:
     return out.otherwise(n)
 
 
-def decode_numeric_refs(x: Column) -> Column:
-    codes = F.regexp_extract_all(x, F.lit(NUMERIC_REF), F.lit(1))
-    points = F.transform(codes, lambda c: F.when(F.lower(F.substring(c, 1, 1)) == "x",
-                                                 F.conv(F.substring(c, 2, 16), 16, 10))
-                         .otherwise(c).try_cast("long"))
-    points = F.transform(points, _remap_c1)
+def decode_refs(x: Column) -> Column:
+    names = F.from_json(F.lit(json.dumps(NAMED_REFS)), "map<string,string>")
     valid = lambda n: (n >= 1) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    chars = F.transform(F.arrays_zip(codes.alias("c"), points.alias("n")), lambda z: (
-        F.when(F.coalesce(z["c"], F.lit("")) == "", F.lit("&"))
-        .when(valid(z["n"]), F.decode(F.unhex(F.lpad(F.hex(z["n"]), 8, "0")), "UTF-32"))
-        .otherwise(F.lit(REPLACEMENT_CHAR))))
-    pieces = F.zip_with(F.split(x, NUMERIC_REF), chars,
+
+    def numeric(c):
+        digits = F.regexp_extract(c, "^#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        n = (F.when(F.length(digits) > 8, F.lit(-1).cast("long"))
+             .when(digits == "", F.lit(0).cast("long"))
+             .when(F.lower(F.substring(c, 2, 1)) == "x", F.conv(digits, 16, 10).try_cast("long"))
+             .otherwise(digits.try_cast("long")))
+        n = _remap_c1(n)
+        return F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT_CHAR))
+
+    def named(c):
+        bare = F.regexp_extract(c, BARE_NAMES, 1)
+        return F.coalesce(F.try_element_at(names, c),
+                          F.concat(F.try_element_at(names, bare), F.substr(c, F.length(bare) + 1)),
+                          F.concat(F.lit("&"), c))
+
+    chars = F.transform(F.regexp_extract_all(x, F.lit(CHAR_REF), F.lit(1)),
+                        lambda c: F.when(F.substring(c, 1, 1) == "#", numeric(c)).otherwise(named(c)))
+    pieces = F.zip_with(F.split(x, CHAR_REF), chars,
                         lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.coalesce(c, F.lit(""))))
     return F.when(F.instr(x, "&") > 0, F.array_join(pieces, "")).otherwise(x)
 
@@ -96,18 +108,15 @@ def html_to_text(html) -> Column:
     """visible text of an HTML page, one text node per line.
 
     Steps: drop scripts, styles and comments (one pass), then head; tags ->
-    line break; decode named then numeric references ("&amp;" last); unify
-    line ends; collapse 3+ line breaks to
-    2; strip trailing spaces per line; strip the whole text.  Null/empty
+    line break; decode references (one pass); unify line ends; collapse 3+
+    line breaks to 2; strip trailing spaces per line; strip the whole text.  Null/empty
     html -> ''.
     """
     x = F.coalesce(col_of(html), F.lit(""))
     x = F.regexp_replace(x, NON_CONTENT, "")
     x = F.regexp_replace(x, element_pattern("head"), "")
-    x = F.regexp_replace(x, TAG_RUN, "\n")
-    for ent, ch in ENTITIES[:-1]:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    x = decode_numeric_refs(x)                 # and "&amp;", last
+    x = F.regexp_replace(x, TAG_RUN_JAVA, "\n")
+    x = decode_refs(x)
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
     x = F.regexp_replace(x, rf"(?md)[{PY_WS_NO_NL}]+$", "")
@@ -125,7 +134,7 @@ def find_section(text, titles: list[str], window: int = P.SECTION_WINDOW_CHARS)
     pos = F.coalesce(*[F.when(F.locate(title.lower(), low) > 0, F.locate(title.lower(), low))
                        for title in titles])
     win = F.substring(t, pos, window)
-    lines = F.split(win, r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]")
+    lines = F.split(win, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]")
     boundary = "(?U)" + P.SECTION_BOUNDARY
     flags = F.transform(lines, lambda line, i: (i >= P.SECTION_BOUNDARY_FROM_LINE)
                         & py_strip(line).rlike(boundary))

@@ -10,9 +10,11 @@ text and return SQL text.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from floatline.functions import patterns as P
 from floatline.functions.scalars import DATE_FORMATS, MAX_VALID_EPOCH_MS, PY_WS, PY_WS_NO_NL
-from floatline.functions.text import C1_REMAP, DROPPED_ELEMENTS, ENTITIES, NON_CONTENT, NUMERIC_REF, TAG_RUN
+from floatline.functions.text import BARE_NAMES, C1_REMAP, CHAR_REF, DROPPED_ELEMENTS, NON_CONTENT, TAG_RUN
 from floatline.operators.filings import FILING_FORMS, FORM_TIERS, TARGET_FORMS
 from floatline.plans import catalog as CAT
 from floatline.plans import reports as R
@@ -99,24 +101,25 @@ def html_to_text(e: str) -> str:
     x = f"regexp_replace({x}, {lit(NON_CONTENT)}, '', 'g')"
     x = f"regexp_replace({x}, {lit(_element('head'))}, '', 'g')"
     x = f"regexp_replace({x}, {lit(TAG_RUN)}, {NL}, 'g')"
-    for ent, ch in ENTITIES[:-1]:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    x = decode_numeric_refs(x)
+    x = decode_refs(x)
     x = f"regexp_replace({x}, '\\r\\n?', {NL}, 'g')"
     x = f"regexp_replace({x}, '\\n{{3,}}', {NL} || {NL}, 'g')"
     x = f"regexp_replace({x}, {lit(f'(?m)[{PY_WS_NO_NL}]+$')}, '', 'g')"
     return strip(x)
 
 
-def decode_numeric_refs(x: str) -> str:
-    raw = ("case when lower(substring(c, 1, 1)) = 'x' then try_cast('0x' || substring(c, 2) as bigint) "
-           "else try_cast(c as bigint) end")
+def decode_refs(x: str) -> str:
+    names = "map([" + ", ".join(lit(k) for k in html5) + "], [" + ", ".join(lit(v) for v in html5.values()) + "])"
+    digits = "regexp_extract(c, '^#[xX]?0*([0-9a-fA-F]*);?$', 1)"
+    raw = (f"case when length({digits}) > 8 then -1 when {digits} = '' then 0 "
+           f"when lower(substring(c, 2, 1)) = 'x' then try_cast('0x' || {digits} as bigint) else try_cast({digits} as bigint) end")
     n = f"case ({raw}) " + " ".join(f"when {a} then {b}" for a, b in C1_REMAP.items()) + f" else ({raw}) end"
-    ch = (f"case when coalesce(c, '') = '' then '&' "
-          f"when ({n}) between 1 and 1114111 and not ({n}) between 55296 and 57343 "
-          f"then chr(cast(({n}) as integer)) else chr(65533) end")
-    chars = f"list_transform(regexp_extract_all({x}, {lit(NUMERIC_REF)}, 1), lambda c: {ch})"
-    pieces = f"list_transform(string_split_regex({x}, {lit(NUMERIC_REF)}), lambda p, i: p || coalesce(({chars})[i], ''))"
+    numeric = (f"case when ({n}) between 1 and 1114111 and not ({n}) between 55296 and 57343 "
+               f"then chr(cast(({n}) as integer)) else chr(65533) end")
+    bare = f"regexp_extract(c, {lit(BARE_NAMES)}, 1)"
+    named = f"coalesce({names}[c], {names}[{bare}] || substring(c, length({bare}) + 1), '&' || c)"
+    chars = f"list_transform(regexp_extract_all({x}, {lit(CHAR_REF)}, 1), lambda c: case when c[1] = '#' then {numeric} else {named} end)"
+    pieces = f"list_transform(list_zip(string_split_regex({x}, {lit(CHAR_REF)}), {chars}), lambda p: coalesce(p[1], '') || coalesce(p[2], ''))"
     return f"case when strpos({x}, '&') > 0 then array_to_string({pieces}, '') else {x} end"
 
 
@@ -125,7 +128,7 @@ def _element(name: str) -> str:
     return rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)"
 
 
-LINE_SPLIT = r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]"
+LINE_SPLIT = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def find_section(t: str, titles: list[str], window: int = P.SECTION_WINDOW_CHARS) -> str:

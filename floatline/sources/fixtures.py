@@ -56,6 +56,71 @@ DUCK = DuckDialect()
 NL = "chr(10)"
 
 
+# Sentences of which each makes one extraction rule decide (numbered like the
+# rules in functions/patterns.py); every eleventh filing's text is one of them.
+RULE_SENTENCES = {
+    "offer_price_0": "The offering price per share has been set at $21.75. ",
+    "offer_price_1": "Price to public: $13.40. ",
+    "offer_price_2": "Shares were sold at $9.25 per share. ",
+    "offer_price_3": "We assume a per share price of $17.10. ",
+    "price_range_0": "Estimates run from $11.00 to $13.50 per share. ",
+    "price_range_1": "Bids came in between $7.50 and $8.25 each. ",
+    "price_range_2": "Our price range is $30.00 - $33.00 today. ",
+    "offered_0": "A block of 4,100,200 shares is offered by this prospectus. ",
+    "offered_1": "The deal has a total of 5,300,100 shares in this offering. ",
+    "offered_2": "This is an initial offering of 6,200,300 shares of stock. ",
+    "offered_3": "Vale, Corp. is offering 2,345,678 shares of its stock. ",
+    "offered_4": "The company is offering 3,456,789 shares now. ",
+    "primary_2": "In all, 1,234,500 shares of our common stock are being offered by us. ",
+    "secondary_0": "The selling stockholder may be offering 777,000 shares. ",
+    "secondary_1": "A further 888,100 shares belong to selling stockholders named below. ",
+    "secondary_2": "The selling shareholders are offering 999,200 shares. ",
+    "greenshoe_0": "They may buy 410,000 additional shares from us to cover over-allotments. ",
+    "greenshoe_1": "The over-allotment option is for 420,000 shares. ",
+    "greenshoe_2": "Buyers could purchase up to 430,000 additional shares under the over-allotment clause. ",
+    "greenshoe_3": "We granted the underwriters an option to purchase up to 440,057 shares. ",
+    "post_tier1_0": "Class A and Class B common stock to be outstanding after this offering\n61,200,300 shares\n",
+    "post_tier1_1": "There will be a total of 71,300,400 shares outstanding after this offering. ",
+    "post_tier2_0": "Then 81,400,500 shares will be outstanding after this offering. ",
+    "post_tier2_1": "Stock outstanding after this offering\n 91,500,600\n",
+    "pre_0": "We had 15,600,700 shares of common stock outstanding as of June 30. ",
+    "pre_1": "We had 16,700,800 shares of preferred outstanding as of June 30, prior to the closing. ",
+    "pre_2": "Some 17,800,900 shares of the old class were outstanding on June 30. ",
+    "diluted_0": "We count 101,900,100 shares on a fully-diluted basis. ",
+    "diluted_1": "On a fully diluted basis we would have 112,000,238 shares. ",
+    "diluted_2": "Total shares outstanding came to 123,100,349 in the end. ",
+    "days_0": "Lock-Up Agreements. They hold for a period of 150 days following closing. ",
+    "days_1": "Lock-up. They hold for 160 days from closing. ",
+    "days_2": "Lockup agreements. Sales may start beginning 170 days following closing. ",
+    "days_3": "Lockup terms. A 185 day restricted period applies. ",
+    "days_4": "Market standoff. There is a lock-up period of 190 days here. ",
+    "days_5": "Market standoff. Holders agree not to dispose of stock in any way for 195 days. ",
+    "staged_0": "Lock-up. Some 20% of the shares released early. ",
+    "staged_1": "Lock-up. Sales open at the beginning of each 60-day period. ",
+    "staged_2": "Lock-up. The rest is released in stages. ",
+    "staged_3": "Lock-up. Holders sell ratably over the year. ",
+    "staged_4": "Lock-up. There is a quarterly unlock for staff. ",
+    "staged_5": "Lock-up. An earnings-related release applies. ",
+    "staged_6": "Lock-up. A performance-based vesting applies. ",
+    "staged_7": "Lock-up. This is a multi-stage unlock. ",
+    "staged_8": "Lock-up. Subject to certain exceptions, stock may be released early. ",
+    "staged_9": "Lock-up. In the first 30 days none and in the next 60 days some may sell. ",
+    "note_1": "Lock-up. The 200-day lock-up period ends then. ",
+    "note_2": "Lock-up. Then 30% released at once. ",
+    "far_days": "Lock-Up Agreements. " + "Plain words follow here. " * 260 + "They hold for 210 days after closing. ",
+}
+LONG_FILLER = "Risk factors are many and are set out at length on the pages that follow. "
+
+
+def _literal(text: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+
+
+def _rule_text(d: Dialect) -> str:
+    cases = " ".join(f"when {k} then {_literal(t)}" for k, t in enumerate(RULE_SENTENCES.values()))
+    return f"case {d.idiv('id', '11')} % {len(RULE_SENTENCES)} {cases} end"
+
+
 # ── Views ─────────────────────────────────────────────────────────────────────
 
 def fx_issuers(d: Dialect) -> str:
@@ -117,7 +182,7 @@ def fx_texts(d: Dialect) -> str:
     n = d.num
     return f"""
 select id as filing_id, issuer_id, primary_doc_url,
-  {_cover(d)}
+  case when id % 11 = 5 then {_rule_text(d)} else {_cover(d)}
   || case id % 4
     when 0 then 'The initial public offering price per share of our common stock is $' || cast(10 + id % 40 as string) || '.50. '
     when 1 then 'Price to the public $' || cast(5 + id % 30 as string) || ' per share. '
@@ -144,7 +209,8 @@ select id as filing_id, issuer_id, primary_doc_url,
     when 4 then 'We agreed not to sell for 5 days after closing. '
     when 5 then 'Holders wait for 90 days after closing. Underwriting. Nothing more. '
     else '' end
-  || {_managers(d)} as text
+  || {_managers(d)} end
+  || case when id % 499 = 7 then repeat('{LONG_FILLER}', 1500) else '' end as text
 from {d.t('fx_filings')}"""
 
 
@@ -209,7 +275,7 @@ select source_rank, ord, company_name, ticker, exchange, source_url from (
     'NYSE', 'https://example.test/s/b'
   from {c} where c_custkey % 3 <> 2
   union all
-  select 1, 10000000 + c_custkey, 'New ' || cast(c_custkey % 40 as string), null, null, null
+  select 2, c_custkey, 'New ' || cast({d.idiv('c_custkey', '50')} as string), null, null, null
   from {c} where c_custkey % 25 = 0
 ) u"""
 
@@ -220,7 +286,9 @@ def raw_documents(d: Dialect) -> str:
     return f"""
 select url, html, cast(length(html) as bigint) as n_chars from (
   select primary_doc_url as url,
-    '<html><head><title>t</title></head><body><p>' || text || '</p></body></html>' as html
+    '<html><head><title>t</title></head><body><p>' || text || '</p>'
+      || case when filing_id % 401 = 3 then '<table>' || repeat('<td></td>', 5000) || '</table>' else '' end
+      || '</body></html>' as html
   from {d.t('fx_texts')}
   where primary_doc_url is not null and filing_id % 13 <> 0) docs"""
 
@@ -233,8 +301,9 @@ select c_custkey as row_key,
   '2001-' || lpad(cast({mon} as string), 2, '0') as month,
   {d.idiv('c_custkey', '1000')} as page,
   case c_custkey % 4 when 0 then 'priced' when 1 then 'upcoming' when 2 then 'filed' else 'withdrawn' end as section,
-  case when c_custkey % 23 = 0 then null else 'D' || cast(c_custkey % 600 as string) end as dealID,
-  case when c_custkey % 29 = 0 then null else '  ' || c_name || ' ' end as companyName,
+  case when c_custkey % 23 = 0 then null else 'D' || cast({d.idiv('c_custkey', '3')} as string) end as dealID,
+  case when c_custkey % 29 = 0 then null when c_custkey % 7 = 3 then 'Newcomer ' || cast(c_custkey as string)
+    else '  ' || c_name || ' ' end as companyName,
   case when c_custkey % 5 = 0 then ' ' else 'N' || cast(c_custkey as string) end as proposedTickerSymbol,
   case c_custkey % 3 when 0 then 'NASDAQ Global' when 1 then null else '' end as proposedExchange,
   lpad(cast({mon} as string), 2, '0') || '/' || lpad(cast(1 + c_custkey % 28 as string), 2, '0') || '/2001' as dateText
