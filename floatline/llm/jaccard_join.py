@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floatline.llm.common import components, shuffle_partitions, staged, table, text_input, text_key
+from floatline.llm.common import components, maybe_in, shuffle_partitions, staged, table, text_input, text_key
 from floatline.llm.vectext import batches, shingles, word_hashes
 
 SHINGLE = 5
@@ -143,7 +143,7 @@ def _verify(threshold: float):
         out = []
         # a pack holds whole small groups, or one pair of blocks of a large one
         for _, part in pdf.groupby("root", sort=False):
-            part = part.drop_duplicates("key")
+            part = part.drop_duplicates("uid")
             link = similar_pairs([np.frombuffer(s, np.uint64) for s in part["shingles"]], threshold)
             np.fill_diagonal(link, False)
             side = part["block"].to_numpy()
@@ -151,8 +151,8 @@ def _verify(threshold: float):
             if lo != hi:  # links inside a block are counted by its own task
                 link &= side[:, None] != side[None, :]
             weight = part["weight"].to_numpy()
-            keys = part["key"].to_numpy()
-            out.append(pd.DataFrame({"key": keys, "links": link @ weight, "to": keys[_roots(link)]}))
+            keys = part["uid"].to_numpy()
+            out.append(pd.DataFrame({"uid": keys, "links": link @ weight, "to": keys[_roots(link)]}))
         return pd.concat(out)
     return run
 
@@ -167,33 +167,35 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     rows = staged(keyed.mapInArrow(_prefixes(trees, depth),
                                    "doc_id long, key binary, n_shingles long, prefixes array<long>"), "forest")
     texts = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_id"),
-                                           F.max("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes")), "texts")
-    nodes = texts.where("n_shingles > 0").select("key", F.posexplode("prefixes").alias("tree", "prefix"))
-    star = nodes.groupBy("tree", "prefix").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = nodes.join(star, ["tree", "prefix"]).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+                                           F.max("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
+                   .withColumn("uid", F.monotonically_increasing_id()), "texts")  # a number per text, fixed by the write
+    nodes = texts.where("n_shingles > 0").select("uid", F.posexplode("prefixes").alias("tree", "prefix"))
+    star = staged(nodes.groupBy("tree", "prefix").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "stars")
+    met = maybe_in(nodes, ["tree", "prefix"], star)
+    edges = met.join(star, ["tree", "prefix"]).select(F.col("uid").alias("a"), F.col("hub").alias("b"))
     groups = components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = staged(groups.withColumnRenamed("node", "key").join(sizes, "root")
-                     .join(texts.select("key", "weight", "first_id"), "key")
-                     .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
+    members = staged(groups.withColumnRenamed("node", "uid").join(sizes, "root")
+                     .join(texts.select("uid", "key", "weight", "first_id"), "uid")
+                     .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
     n_members = members.count()
     # Fetch the sets of the candidates; the text is replaced as soon as it arrives.
-    m = members.select(F.col("key").alias("m_key"), F.col("first_id"), "root", "n", "blocks", "block", "weight")
-    sets = (docs.select(F.col("doc_id"), text_key(F.col("text")).alias("key"), "text")
-            .join(m, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-            .select("key", "root", "n", "blocks", "block", "weight", "text"))
-    sets = staged(sets.mapInArrow(_sets, "key binary, root binary, n long, blocks int, block int, weight long, shingles binary"), "sets")
+    m = members.select(F.col("key").alias("m_key"), "first_id", "uid", "root", "blocks", "block", "weight")
+    near = maybe_in(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), "key", members)
+    sets = (near.join(m, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .select("uid", "root", "blocks", "block", "weight", "text"))
+    sets = staged(sets.mapInArrow(_sets, "uid long, root long, blocks int, block int, weight long, shingles binary"), "sets")
     packs = max(1, n_members // PACK_ROWS)
     split = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
     pack = F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string"))) \
-            .otherwise(F.concat_ws("|", F.hex("root"), "lo", "hi"))
+            .otherwise(F.concat_ws("|", "root", "lo", "hi"))
     checked = staged(split.withColumn("pack", pack).repartition(shuffle_partitions(spark), "pack").groupBy("pack")
-                     .applyInPandas(_verify(threshold), "key binary, links long, to binary"), "links")
-    links = checked.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = components(checked.select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
-    per_text = (texts.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
-                .select("key", "weight", "first_id", "n_shingles", F.coalesce("root", "key").alias("root"),
+                     .applyInPandas(_verify(threshold), "uid long, links long, to long"), "links")
+    links = checked.groupBy("uid").agg(F.sum("links").alias("links"))
+    classes = components(checked.select(F.col("uid").alias("a"), F.col("to").alias("b")).distinct())
+    per_text = (texts.drop("prefixes").join(links, "uid", "left").join(classes.withColumnRenamed("node", "uid"), "uid", "left")
+                .select("key", "weight", "first_id", "n_shingles", F.coalesce("root", "uid").alias("root"),
                         F.coalesce("links", F.lit(0)).alias("links")))
     per_class = per_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("weight").alias("class_size"))
     per_text = staged(per_text.join(per_class, "root"), "classes")
