@@ -30,6 +30,9 @@ def blank_to_null(c) -> Column:
     return F.when(s != "", s)
 
 
+NUMERIC_TEXT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
 def parse_number(raw) -> Column:
     """"15,276,527" -> 15276527.0; "20.2 million" -> 20200000.0; else null.
 
@@ -45,7 +48,9 @@ def parse_number(raw) -> Column:
     body = (F.when(has_b, F.regexp_replace(s, rf"(?iU)\s*{bw}", ""))
             .when(has_m, F.regexp_replace(s, rf"(?iU)\s*{mw}", ""))
             .otherwise(s))
-    value = py_strip(F.replace(body, F.lit(","), F.lit(""))).try_cast("double")
+    text = py_strip(F.replace(body, F.lit(","), F.lit("")))
+    # Java also reads "12d" and "0x1p3" as numbers
+    value = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
     mult = F.when(has_b, F.lit(bm)).when(has_m, F.lit(mm)).otherwise(F.lit(1.0))
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("double")).otherwise(value * mult)
 
@@ -104,8 +109,9 @@ def parse_date(s) -> Column:
 
 
 def add_days(d, n) -> Column:
-    """calendar-day arithmetic, null-safe."""
-    return F.date_add(col_of(d), col_of(n))
+    """a date, or text that ``parse_date`` reads, plus days; null where
+    either is missing or does not parse."""
+    return F.date_add(parse_date(col_of(d).cast("string")), col_of(n).try_cast("int"))
 
 
 def keep_new(new, old) -> Column:

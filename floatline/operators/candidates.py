@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floatline.functions.scalars import blank_to_null, py_strip
@@ -57,18 +57,23 @@ def match_issuers(cands: DataFrame, issuers: DataFrame) -> DataFrame:
     by_ticker = (issuers.where(F.col("ticker").isNotNull())
                  .groupBy(F.col("ticker").alias("_t")).agg(F.min("id").alias("_tid")))
     by_name = (issuers.groupBy(F.lower("company_name").alias("_n")).agg(F.min("id").alias("_nid")))
-    m = (c.join(by_ticker, c.ticker == by_ticker._t, "left")
-         .join(by_name, F.lower(c.company_name) == by_name._n, "left"))
+    # Candidates without a ticker cannot match by it; kept out of the join they do not meet on one key.
+    with_id = c.where(F.col("ticker").isNotNull()).join(by_ticker, F.col("ticker") == F.col("_t"), "left").drop("_t")
+    without = c.where(F.col("ticker").isNull()).withColumn("_tid", F.lit(None).cast("long"))
+    m = with_id.unionByName(without).join(by_name, F.lower("company_name") == F.col("_n"), "left")
     return m.select(
-        *[c[x] for x in c.columns],
+        *c.columns,
         F.coalesce("_tid", "_nid").alias("issuer_id"),
         F.when(F.col("_tid").isNotNull(), F.lit("ticker"))
          .when(F.col("_nid").isNotNull(), F.lit("name")).alias("match_kind"))
 
 
-def upsert_issuers(matched: DataFrame, issuers: DataFrame, status: str = "candidate"):
+def upsert_issuers(matched: DataFrame, issuers: DataFrame, status: str = "candidate", as_of: Column | None = None):
     """Fill blank exchange/ticker/source_url of matched issuers; insert
-    the rest.  Returns (issuers', per-candidate actions)."""
+    the rest.  Returns (issuers', per-candidate actions).  Every column of the
+    stored table stays; ``updated_at`` of filled rows and both time stamps of
+    new ones are set to ``as_of`` where the table has them, and new issuers are not foreign until known."""
+    as_of = F.current_date() if as_of is None else as_of
     hit = matched.where(F.col("issuer_id").isNotNull())
     order = F.struct("source_rank", "ord")
     # First candidate per issuer offering each field (partial aggregation:
@@ -91,15 +96,23 @@ def upsert_issuers(matched: DataFrame, issuers: DataFrame, status: str = "candid
                               F.when(is_filler, F.lit("updated")).otherwise(F.lit("skipped")).alias("action"))
     # Issuer rows after the fill.
     upd = issuers.join(filled_by, issuers.id == filled_by.issuer_id, "left")
-    updated = upd.select(
-        *[F.coalesce(F.col(f"_fill_{f}.v"), issuers[f]).alias(f) if f in FILL_FIELDS else issuers[f]
-          for f in ISSUER_COLS])
+    filled = reduce(lambda a, b: a | b, [F.col(f"_fill_{f}").isNotNull() for f in FILL_FIELDS])
+
+    def after_fill(f: str) -> Column:
+        if f in FILL_FIELDS:
+            return F.coalesce(F.col(f"_fill_{f}.v"), issuers[f]).alias(f)
+        if f == "updated_at":
+            return F.when(filled, as_of.cast(issuers.schema[f].dataType)).otherwise(issuers[f]).alias(f)
+        return issuers[f]
+
+    updated = upd.select(*[after_fill(f) for f in issuers.columns])
     # Inserts, numbered after the current max id in candidate order.
     new = matched.where(F.col("issuer_id").isNull())
     inserted = assign_ids(new, [F.col("source_rank"), F.col("ord")], max_id(issuers))
-    inserted_rows = inserted.select(
-        "id", "company_name", F.lit(None).cast("string").alias("cik"), "ticker", "exchange",
-        F.lit(status).alias("status"), "source_url")
+    known = {"status": F.lit(status), "created_at": as_of, "updated_at": as_of, "is_foreign_issuer": F.lit(False)}
+    inserted_rows = inserted.select(*[
+        (F.col(f.name) if f.name in ("id", "company_name", *FILL_FIELDS) else known.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in issuers.schema.fields])
     actions_new = inserted.select("source_rank", "ord", F.col("id").alias("issuer_id"),
                                   F.lit("inserted").alias("action"))
     return updated.unionByName(inserted_rows), actions_hit.unionByName(actions_new)

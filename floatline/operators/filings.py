@@ -142,7 +142,9 @@ def parse_worklist(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
     size = F.col("n_chars") if "n_chars" in documents.columns else F.length("html")
     docs = documents.select(F.col("url").alias("_url"),
                             F.coalesce(size, F.lit(0)).cast("long").alias("doc_chars"))
-    w = w.join(docs, w.primary_doc_url == docs._url, "left")
+    # Issuers without a URL cannot match; kept out of the join they do not meet on one key.
+    w = (w.where(F.col("primary_doc_url").isNotNull()).join(docs, F.col("primary_doc_url") == F.col("_url"), "left")
+         .unionByName(w.where(F.col("primary_doc_url").isNull()), allowMissingColumns=True))
     reason = (F.when(F.col("filing_id").isNull(), F.lit("no_best_filing"))
               .when(F.coalesce("primary_doc_url", F.lit("")) == "", F.lit("no_url"))
               .when(done & F.lit(not force), F.lit("already_parsed"))

@@ -1,36 +1,21 @@
 """Partitioning for CPU-heavy text work.
 
-Regex extraction costs CPU per character, while AQE sizes shuffle partitions
-by bytes: a few megabytes of prospectus text would be coalesced into one
-task.  Text stages are therefore spread explicitly: the partition count
-follows the characters to process (a fixed budget per task) with a floor of
-twice the cluster's parallelism, and rows are hash-partitioned by their key.
-An explicit count is not coalesced by AQE.
+Text is worked on in the stage that scans it: a large table has more input
+splits than the cluster has cores, and moving the texts would cost more than
+it wins.  Only a table in fewer files than cores (a laptop, a test) is dealt
+out first, so that its few splits do not leave cores idle; the rows are the
+same either way.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from floatline.session import parallelism
 
-TEXT_CHARS_PER_TASK = 16 * 1024 * 1024
-
-
-def text_partitions(spark, total_chars: int | None) -> int:
-    floor = 2 * parallelism(spark)
-    return max(floor, math.ceil((total_chars or 0) / TEXT_CHARS_PER_TASK))
-
-
-def spread_text(df: DataFrame, key: str, total_chars: int | None = None,
-                text_col: str | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` into a count sized for its text.
 
-    ``total_chars`` may be known already (e.g. summed on a small worklist);
-    otherwise it is measured on ``text_col`` with one aggregate."""
-    if total_chars is None and text_col is not None:
-        total_chars = df.agg(F.sum(F.length(text_col))).first()[0]
-    return df.repartition(text_partitions(df.sparkSession, total_chars), key)
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (a plain table read) as it is, or dealt out by ``key`` if it lies
+    in fewer files than the cluster has cores."""
+    cores = parallelism(df.sparkSession)
+    return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores, key)

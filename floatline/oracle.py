@@ -361,11 +361,10 @@ NASDAQ = f"""nq as (
   from nasdaq_rows
   where month between strftime(cast(date_trunc('month', {AS_OF_SQL}) - interval 1 month as date), '%Y-%m')
     and strftime(cast(date_trunc('month', {AS_OF_SQL}) + interval 2 month as date), '%Y-%m')),
-nq1 as ({top1("(select * from nq where section <> 'withdrawn')", "coalesce(dealID, '')", 'month, page, section_rank, pos')[1:-1]}),
+nq1 as ({top1("(select * from nq where section <> 'withdrawn')", "coalesce(dealID, '')", 'month, section_rank, page, pos')[1:-1]}),
 nasdaq_c as (
   select 0 as source_rank,
-    (((cast(substring(month, 1, 4) as bigint) * 12 + cast(substring(month, 6, 2) as bigint)) * 100000 + page) * 10
-      + section_rank) * 1000000 + pos as ord,
+    month || '/' || cast(section_rank as varchar) || '/' || lpad(cast(page as varchar), 19, '0') || '/' || lpad(cast(pos as varchar), 19, '0') as ord,
     {strip("coalesce(companyName, '')")} as company_name, {blank_null('proposedTickerSymbol')} as ticker,
     {blank_null('proposedExchange')} as exchange, {lit("https://www.nasdaq.com/market-activity/ipos")} as source_url,
     nullif(dateText, '') as raw_date_text
@@ -373,7 +372,7 @@ nasdaq_c as (
 
 NYSE = f"""ny as (select *, row_number() over (partition by page order by row_key) - 1 as pos from nyse_rows),
 nyse_c as (
-  select 1 as source_rank, page * 1000000 + pos as ord, {strip("coalesce(issuer_nm, '')")} as company_name,
+  select 1 as source_rank, lpad(cast(page as varchar), 19, '0') || '/' || lpad(cast(pos as varchar), 19, '0') as ord, {strip("coalesce(issuer_nm, '')")} as company_name,
     {blank_null('symbol')} as ticker, {blank_null('custom_group_exchange_nm')} as exchange,
     {lit("https://www.nyse.com/ipo-center")} as source_url,
     cast(coalesce({epoch_to_date('price_dt')}, {epoch_to_date('init_file_dt')}) as varchar) as raw_date_text
@@ -454,11 +453,13 @@ acts as (
   from matched where issuer_id is null),
 new_issuers as (
   select i.id, i.company_name, i.cik, coalesce(f.fv_ticker, i.ticker) as ticker,
-    coalesce(f.fv_exchange, i.exchange) as exchange, i.status, coalesce(f.fv_source_url, i.source_url) as source_url
+    coalesce(f.fv_exchange, i.exchange) as exchange, i.status, coalesce(f.fv_source_url, i.source_url) as source_url,
+    i.country, i.is_foreign_issuer, i.created_at,
+    case when f.fo_exchange is not null or f.fo_ticker is not null or f.fo_source_url is not null then {AS_OF_SQL} else i.updated_at end as updated_at
   from fx_issuers i left join fill2 f on f.issuer_id = i.id
   union all
   select (select max(id) from fx_issuers) + row_number() over (order by source_rank, ord), company_name,
-    cast(null as varchar), ticker, exchange, 'candidate', source_url
+    cast(null as varchar), ticker, exchange, 'candidate', source_url, cast(null as varchar), false, {AS_OF_SQL}, {AS_OF_SQL}
   from matched where issuer_id is null)"""
 
 
@@ -491,7 +492,7 @@ select id, raw, {parse_number('raw')} as value from (
       when o_orderkey % 6 = 1 then cast(o_orderkey % 900 as varchar) || '.' || lpad(cast(o_orderkey % 100 as varchar), 2, '0') || ' million'
       when o_orderkey % 6 = 2 then cast(1 + o_orderkey % 9 as varchar) || '.5 Billion'
       when o_orderkey % 6 = 3 then ' ' || format('{{:,}}', o_orderkey) || ' '
-      when o_orderkey % 6 = 4 then 'n/a' else '' end as raw
+      when o_orderkey % 6 = 4 then ['n/a', '12d', '0x1p3', '3e2'][o_orderkey % 4 + 1] else '' end as raw
   from orders)"""
 
     month = "case month(d) " + " ".join(f"when {i} then {lit(m)}" for i, m in enumerate(CAT.MONTHS, 1)) + " end"
@@ -506,9 +507,11 @@ select id, raw, {parse_date('raw')} as parsed from (
       else 'not a date' end as raw
   from (select o_orderkey as id, cast(o_orderdate as date) as d from orders))"""
 
-    q["add_days"] = W() + """
-select id, filing_date, days, cast(filing_date + days as date) as shifted from (
-  select id, filing_date, case id % 4 when 0 then 90 when 1 then 180 when 2 then -30 end as days from fx_filings)"""
+    q["add_days"] = W() + f"""
+select id, filing_date, days, raw, cast(filing_date + days as date) as shifted,
+  cast({parse_date('raw')} + days as date) as shifted_text from (
+  select id, filing_date, case id % 4 when 0 then 90 when 1 then 180 when 2 then -30 end as days,
+    case when id % 7 = 0 then 'to come' else cast(filing_date as varchar) end as raw from fx_filings)"""
 
     q["epoch_ms_to_date"] = W() + f"""
 select event_id, raw, {epoch_to_date('raw')} as d from (
@@ -555,15 +558,20 @@ select filing_id, lockup_days, is_staged_unlock, {confidence('lockup_days', 'is_
     cand_cols = "source_rank, ord, company_name, ticker, exchange, source_url"
     q["candidates_union"] = W(NASDAQ, NYSE) + f"select {cand_cols} from nasdaq_c union all select {cand_cols} from nyse_c"
     q["target_filings"] = W(SUBMISSIONS) + "select * from target2"
-    q["company_search"] = W() + f"""
+    def company_search(queries: str, most: int) -> str:
+        return f"""
 select query_id, rank, {normalize_cik("coalesce(cik, '0')")} as cik, name, ticker, exchange from (
   select q.query_id, c.*, row_number() over (partition by q.query_id order by c.page, c.pos) as rank
   from (select *, row_number() over (partition by page order by row_key) - 1 as pos from company_rows) c
-  join (select query_id, lower({strip("coalesce(query, '')")}) as q from company_queries) q
+  join (select query_id, lower({strip("coalesce(query, '')")}) as q from {queries}) q
     on contains(lower(coalesce(c.name, '')), q.q) or lower(coalesce(c.ticker, '')) = q.q)
-where rank <= 10"""
+where rank <= {most}"""
+
+    q["company_search"] = W() + company_search("company_queries", 10)
+    q["company_search_many"] = W() + company_search("search_workload", 20)
     q["document_join"] = W(BEST) + """
-select b.issuer_id, b.id as filing_id, b.primary_doc_url, d.html is not null as has_document, cast(length(d.html) as bigint) as html_chars
+select b.issuer_id, b.id as filing_id, b.primary_doc_url, d.html is not null as has_document, cast(length(d.html) as bigint) as html_chars,
+  sha256(d.html) as html_sha256
 from best b left join raw_documents d on d.url = b.primary_doc_url"""
     q["fetch_worklist"] = W(BEST) + """
 select url, substring(sha256(url), 1, 24) as cache_key from (
@@ -588,6 +596,10 @@ from acts"""
 select issuer_id, accession_no, form_type, filing_date, primary_doc_url, filing_index_url, is_parsed from new_rows"""
     q["status_transition"] = W(SYNC) + """
 select issuer_id, old_status, new_status, old_status is distinct from new_status as changed from trans"""
+    q["status_transition_incremental"] = q["status_transition"]
+    q["sync_failures"] = W(SYNC) + f"""
+select issuer_id, cik10, case when cik10 is null then 'invalid_cik' else 'no_document' end as reason from keyed k
+where k.cik10 is null or k.cik10 not in (select distinct {normalize_cik('cik')} from sec_filing_rows)"""
     q["sync_stats"] = W(SYNC) + f"""
 select (select count(*) from fx_issuers where cik is not null) as issuer_count,
   (select count(*) from new_rows) as filings_inserted,
@@ -665,6 +677,7 @@ from fx_offerings o join fx_issuers i on i.id = o.issuer_id
 left join {latest('fx_capitalization')} c on c.issuer_id = o.issuer_id
 left join {latest('fx_lockups')} l on l.issuer_id = o.issuer_id
 where o.offer_price is not null and o.pricing_date >= cast({AS_OF_SQL} - {R.RECENT_IPO_PRICING_LOOKBACK_DAYS} as date)"""
+    q["report_csv"] = W() + """select company_name || ', "the" Inc.' as company_name, * exclude (company_name) from (""" + q["recent_ipos"][len(W()):] + ")"
     q["upcoming_unlocks"] = W() + upcoming_unlocks("fx_lockups")
     q["report_counts"] = W() + "select 'upcoming_ipos.csv' as report, count(*) as rows from (" + upcoming_ipos("fx_offerings") + """)
 union all select 'recent_ipos.csv', count(*) from (""" + q["recent_ipos"][len(W()):] + """)
@@ -691,7 +704,7 @@ def _constraints_sql() -> str:
         return rows(t, check, f"{nn} and ({k}) in (select ({k}) from {t} where {nn} group by {k} having count(*) > 1)")
 
     def orphan(t, col, parent):
-        return rows(t, f"fk_{'issuer' if parent == 'fx_issuers' else 'filing'}",
+        return rows(t, f"fk_{'issuer' if parent == 'bad_issuers' else 'filing'}",
                     f"{col} is not null and {col} not in (select id from {parent})")
 
     def nulls(t, cols):
@@ -700,19 +713,19 @@ def _constraints_sql() -> str:
     def enum(t, col, values):
         return rows(t, f"enum_{col}", f"{col} is not null and {col} not in {inlist(values)}")
 
-    parts = [dup("fx_issuers", ["id"], "primary_key"), dup("fx_issuers", ["cik"], "unique_cik"),
-             *nulls("fx_issuers", ["company_name"]), enum("fx_issuers", "status", STATUSES),
-             dup("fx_filings", ["id"], "primary_key"),
-             dup("fx_filings", ["issuer_id", "accession_no", "form_type"], "unique_filing"),
-             orphan("fx_filings", "issuer_id", "fx_issuers"),
-             *nulls("fx_filings", ["issuer_id", "accession_no", "form_type", "filing_date"]),
-             enum("fx_filings", "form_type", TARGET_FORMS)]
-    for t in ["fx_offerings", "fx_capitalization", "fx_lockups"]:
-        parts += [dup(t, ["id"], "primary_key"), orphan(t, "issuer_id", "fx_issuers"),
-                  orphan(t, "filing_id", "fx_filings"), *nulls(t, ["issuer_id"])]
-    parts.append(enum("fx_lockups", "confidence", CONFIDENCES))
-    names = {"fx_issuers": "issuers", "fx_filings": "filings", "fx_offerings": "offerings",
-             "fx_capitalization": "capitalization", "fx_lockups": "lockups"}
+    parts = [dup("bad_issuers", ["id"], "primary_key"), dup("bad_issuers", ["cik"], "unique_cik"),
+             *nulls("bad_issuers", ["company_name"]), enum("bad_issuers", "status", STATUSES),
+             dup("bad_filings", ["id"], "primary_key"),
+             dup("bad_filings", ["issuer_id", "accession_no", "form_type"], "unique_filing"),
+             orphan("bad_filings", "issuer_id", "bad_issuers"),
+             *nulls("bad_filings", ["issuer_id", "accession_no", "form_type", "filing_date"]),
+             enum("bad_filings", "form_type", TARGET_FORMS)]
+    for t in ["bad_offerings", "bad_capitalization", "bad_lockups"]:
+        parts += [dup(t, ["id"], "primary_key"), orphan(t, "issuer_id", "bad_issuers"),
+                  orphan(t, "filing_id", "bad_filings"), *nulls(t, ["issuer_id"])]
+    parts.append(enum("bad_lockups", "confidence", CONFIDENCES))
+    names = {"bad_issuers": "issuers", "bad_filings": "filings", "bad_offerings": "offerings",
+             "bad_capitalization": "capitalization", "bad_lockups": "lockups"}
     body = "\nunion all\n".join(parts)
     for k, v in names.items():
         body = body.replace(f"select '{k}' as table_name", f"select '{v}' as table_name")

@@ -18,7 +18,7 @@ from floatline.functions import text as TX
 from floatline.operators import candidates as C
 from floatline.operators import filings as FL
 from floatline.operators.constraints import constraint_violations
-from floatline.operators.partitioning import spread_text
+from floatline.operators.partitioning import spread_small
 from floatline.plans import jobs as J
 from floatline.plans import reports as R
 from floatline.session import apply_job_conf
@@ -30,6 +30,7 @@ from floatline.sources.fixtures import AS_OF, Fixtures
 # Filings dated before this are the stored state for the sync queries; the
 # landed submissions list every filing, so later ones are new.
 SYNC_STORED_BEFORE = "1998-08-01"
+LANDED_DOCS_PER_FILE = 1000
 # FIXED VALUES of the F8 query: section titles tried in order.
 FIND_SECTION_TITLES = ["Summary", "Underwriting", "quelle", "und der", "the"]
 
@@ -64,7 +65,7 @@ def q_parse_number(spark, sf_dir):
                                       F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" million")))
            .when(k % 6 == 2, F.concat((1 + k % 9).cast("string"), F.lit(".5 Billion")))
            .when(k % 6 == 3, F.concat(F.lit(" "), F.format_number(k, 0), F.lit(" ")))
-           .when(k % 6 == 4, F.lit("n/a"))
+           .when(k % 6 == 4, F.element_at(F.array(F.lit("n/a"), F.lit("12d"), F.lit("0x1p3"), F.lit("3e2")), (k % 4 + 1).cast("int")))
            .otherwise(F.lit("")))
     return o.select(k.alias("id"), raw.alias("raw")).select("id", "raw", S.parse_number("raw").alias("value"))
 
@@ -101,8 +102,10 @@ def q_add_days(spark, sf_dir):
     f = _fx(spark, sf_dir)["fx_filings"]
     days = (F.when(F.col("id") % 4 == 0, 90).when(F.col("id") % 4 == 1, 180)
             .when(F.col("id") % 4 == 2, -30))
-    return f.select("id", "filing_date", days.alias("days")).select(
-        "id", "filing_date", "days", S.add_days("filing_date", "days").alias("shifted"))
+    raw = F.when(F.col("id") % 7 == 0, F.lit("to come")).otherwise(F.col("filing_date").cast("string"))
+    return f.select("id", "filing_date", days.alias("days"), raw.alias("raw")).select(
+        "id", "filing_date", "days", "raw", S.add_days("filing_date", "days").alias("shifted"),
+        S.add_days("raw", "days").alias("shifted_text"))
 
 
 def q_epoch_ms_to_date(spark, sf_dir):
@@ -127,17 +130,17 @@ def q_filing_urls(spark, sf_dir):
 # ── Text ──────────────────────────────────────────────────────────────────────
 
 def q_normalize_whitespace(spark, sf_dir):
-    d = spread_text(_fx(spark, sf_dir)["documents"], "doc_id", text_col="text")
+    d = spread_small(_fx(spark, sf_dir)["documents"], "doc_id")
     return d.select("doc_id", TX.normalize_whitespace("text").alias("text"))
 
 
 def q_html_to_text(spark, sf_dir):
-    p = spread_text(_fx(spark, sf_dir)["pages"], "page_id", text_col="html")
+    p = spread_small(_fx(spark, sf_dir)["pages"], "page_id")
     return p.select("page_id", TX.html_to_text("html").alias("text"))
 
 
 def q_find_section(spark, sf_dir):
-    d = spread_text(_fx(spark, sf_dir)["documents"], "doc_id", text_col="text")
+    d = spread_small(_fx(spark, sf_dir)["documents"], "doc_id")
     return d.select("doc_id", TX.find_section(F.col("text"), FIND_SECTION_TITLES).alias("section"))
 
 
@@ -148,8 +151,8 @@ def q_lockup_section(spark, sf_dir):
 # ── Extractors (whole fixture texts) ──────────────────────────────────────────
 
 def _texts(spark, sf_dir) -> DataFrame:
-    """Fixture prospectus texts, spread for the regex stage."""
-    return spread_text(_fx(spark, sf_dir)["fx_texts"], "filing_id", text_col="text")
+    """Fixture prospectus texts."""
+    return _fx(spark, sf_dir)["fx_texts"]
 
 
 def _offering(spark, sf_dir, *fields):
@@ -251,6 +254,13 @@ def q_company_search(spark, sf_dir):
     return sec.search_companies(companies, fx["company_queries"])
 
 
+def q_company_search_many(spark, sf_dir):
+    """S4 with a query per customer, empty and one-letter ones, 20 results."""
+    fx = _fx(spark, sf_dir)
+    companies = sec.company_list_rows(L.land_company_list(fx["company_rows"]))
+    return sec.search_companies(companies, fx["search_workload"], max_results=20)
+
+
 def _best(fx: Fixtures) -> DataFrame:
     return FL.best_filing(fx["fx_filings"])
 
@@ -258,9 +268,9 @@ def _best(fx: Fixtures) -> DataFrame:
 def q_document_join(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     b = _best(fx).select("issuer_id", F.col("id").alias("filing_id"), "primary_doc_url")
-    j = sec.document_join(b, fx["raw_documents"], columns=("n_chars",))
+    j = sec.document_join(b, fx["raw_documents"], columns=("n_chars", "html"))
     return j.select("issuer_id", "filing_id", "primary_doc_url", "has_document",
-                    F.col("n_chars").alias("html_chars"))
+                    F.col("n_chars").alias("html_chars"), F.sha2(F.col("html").cast("binary"), 256).alias("html_sha256"))
 
 
 def q_fetch_worklist(spark, sf_dir):
@@ -283,7 +293,7 @@ def q_issuer_match(spark, sf_dir):
 
 def _discover(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return J.discover_candidates(fx["fx_issuers"], fx["fx_candidates"])
+    return J.discover_candidates(fx["fx_issuers"], fx["fx_candidates"], as_of=_as_of())
 
 
 def q_discover_from_calendars(spark, sf_dir):
@@ -291,7 +301,7 @@ def q_discover_from_calendars(spark, sf_dir):
     fill/insert into the stored issuers."""
     fx = _fx(spark, sf_dir)
     res = J.discover_candidates(fx["fx_issuers"], CAL.nasdaq_candidates(_nasdaq_docs(fx), _as_of()),
-                                CAL.nyse_candidates(_nyse_docs(fx)))
+                                CAL.nyse_candidates(_nyse_docs(fx)), as_of=_as_of())
     return res.tables["issuers"]
 
 
@@ -321,10 +331,10 @@ def q_filing_sync(spark, sf_dir):
     return _sync(spark, sf_dir).tables["new_filings"]
 
 
-def q_filing_sync_incremental(spark, sf_dir):
+def _ingest(spark, sf_dir):
     """The landed submissions arrive as files, a stream ingests them in
-    several micro-batches against the stored filings; the rows appended
-    equal the batch sync (ids aside: they follow batch order)."""
+    several micro-batches against the stored filings.  Returns the fixtures,
+    the stored filings and the folder of the run."""
     import uuid
 
     from floatline.session import ensure_checkpoint_dir
@@ -334,16 +344,38 @@ def q_filing_sync_incremental(spark, sf_dir):
     stored = fx["fx_filings"].where(F.col("filing_date") < F.lit(SYNC_STORED_BEFORE).cast("date"))
     stored = stored.withColumn("filing_index_url", F.lit(None).cast("string")).select(*FL.FILING_COLS)
     stored.write.parquet(f"{root}/filings")
-    _submissions(fx).repartition(4, "page").write.parquet(f"{root}/landing")
-    ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/_checkpoint", fx["fx_issuers"])
+    docs = _submissions(fx)
+    n_files = max(4, docs.count() // LANDED_DOCS_PER_FILE)
+    docs.repartition(n_files, "cik10", "page").write.parquet(f"{root}/landing")
+    ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/_checkpoint", fx["fx_issuers"],
+                   files_per_batch=-(-n_files // 4), transitions_dir=f"{root}/transitions")
+    return fx, stored, root
+
+
+def q_filing_sync_incremental(spark, sf_dir):
+    """The rows appended equal the batch sync (ids aside: they follow batch order)."""
+    _, stored, root = _ingest(spark, sf_dir)
     appended = spark.read.parquet(f"{root}/filings").join(stored.select("id"), "id", "left_anti")
     return appended.drop("id")
 
 
+def q_status_transition_incremental(spark, sf_dir):
+    """Statuses after the last micro-batch (must equal ``status_transition``)."""
+    fx, _, root = _ingest(spark, sf_dir)
+    log = spark.read.parquet(f"{root}/transitions").groupBy("issuer_id").agg(F.max_by("new_status", "batch").alias("new_status"))
+    old = fx["fx_issuers"].select(F.col("id").alias("issuer_id"), F.col("status").alias("old_status"))
+    return old.join(log, "issuer_id").select("issuer_id", "old_status", "new_status",
+                                             (~F.col("old_status").eqNullSafe(F.col("new_status"))).alias("changed"))
+
+
 def q_status_transition(spark, sf_dir):
     return _sync(spark, sf_dir).tables["transitions"]
 
 
+def q_sync_failures(spark, sf_dir):
+    return _sync(spark, sf_dir).tables["failures"]
+
+
 def q_sync_stats(spark, sf_dir):
     return _sync(spark, sf_dir).stats
 
@@ -406,8 +438,8 @@ def q_lockup_dates(spark, sf_dir):
 
 def q_constraint_violations(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return constraint_violations(fx["fx_issuers"], fx["fx_filings"], fx["fx_offerings"],
-                                 fx["fx_capitalization"], fx["fx_lockups"])
+    return constraint_violations(fx["bad_issuers"], fx["bad_filings"], fx["bad_offerings"],
+                                 fx["bad_capitalization"], fx["bad_lockups"])
 
 
 # ── Reports (R1-R4) ───────────────────────────────────────────────────────────
@@ -443,6 +475,18 @@ def q_report_counts(spark, sf_dir):
         "capitalization": fx["fx_capitalization"], "lockups": fx["fx_lockups"]}, _as_of()))
 
 
+def q_report_csv(spark, sf_dir):
+    """K1: a report written as CSV and read back; names hold commas and quotes."""
+    import uuid
+
+    from floatline.session import ensure_checkpoint_dir
+    from floatline.sinks.csv import read_report, write_report
+    report = q_recent_ipos(spark, sf_dir).withColumn("company_name", F.concat("company_name", F.lit(', "the" Inc.')))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}.csv"
+    write_report(report, path)
+    return read_report(spark, path, report.schema)
+
+
 def q_daily_unlocks(spark, sf_dir):
     """Flagship: best filing -> document text -> lock-up fields -> upsert ->
     lock-ups ending in the next 30 days."""

@@ -16,10 +16,10 @@ from floatline.plans import jobs as J
 from floatline.plans import reports as R
 from floatline.session import materialize
 from floatline.sinks import csv as K
-from floatline.sinks.snapshots import write_snapshot
+from floatline.sinks.snapshots import read_latest, write_snapshot
 
 TABLES = ["issuers", "filings", "offerings", "capitalization", "lockups"]
-_WORK_COLS = ["issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url", "doc_chars"]
+_WORK_COLS = ["issuer_id", "filing_id", "form_type", "filing_date", "primary_doc_url"]
 
 
 def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
@@ -33,8 +33,7 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
                                             skip_existing=lockups))
     # One row per document to parse, flagged with the job(s) needing it; the
     # flags ride along the text table so each extraction is a narrow filter
-    # on it (a join here would shuffle the texts and let AQE fold the CPU-heavy
-    # extraction into a single task).
+    # on it (a join here would shuffle the texts).
     todo = lambda w, off, lk: (w.where(F.col("outcome") == "parse").select(*_WORK_COLS)
                                .withColumn("_off", F.lit(off)).withColumn("_lk", F.lit(lk)))
     needed = (todo(work_off, True, False).unionByName(todo(work_lk, False, True))
@@ -45,22 +44,9 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
         "off": lambda: materialize(J.offering_fields(texts.where("_off"))),
         "lk": lambda: materialize(J.lockup_fields(texts.where("_lk"))),
     })
-    ex = issuers.select(F.col("id").alias("_iid"), F.col("exchange"))
-
-    def fresh_off():
-        f = fields["off"]
-        return (f.join(ex, f.issuer_id == ex._iid, "left")
-                .select("issuer_id", "filing_id", F.col("form_type").alias("source_form_type"),
-                        *[c for c in U.OFFERING_SET if c != "source_form_type"]))
-
-    def fresh_cap():
-        return fields["off"].select("issuer_id", "filing_id", "shares_outstanding_post_ipo",
-                                    "shares_outstanding_pre_ipo", "fully_diluted_shares",
-                                    F.col("shares_offered_total").alias("free_float_at_ipo"), "float_ratio")
-
     return J.LazyTables({
-        "offerings": lambda: U.upsert_offerings(offerings, fresh_off(), d),
-        "capitalization": lambda: U.upsert_capitalization(capitalization, fresh_cap(), d),
+        "offerings": lambda: U.upsert_offerings(offerings, J.fresh_offerings(fields["off"], issuers), d),
+        "capitalization": lambda: U.upsert_capitalization(capitalization, J.fresh_capitalization(fields["off"]), d),
         "lockups": lambda: U.upsert_lockups(lockups, fields["lk"], d, force=force),
         "filings": lambda: FL.mark_parsed(filings, work_off.where(F.col("outcome") == "parse")),
         "offering_stats": FL.run_stats(work_off),
@@ -70,27 +56,43 @@ def parse_filings(issuers: DataFrame, filings: DataFrame, documents: DataFrame,
 
 def daily_run(tables: dict, documents: DataFrame, submissions: DataFrame | None = None,
               as_of=None, force: bool = False, snapshot_dir: str | None = None,
-              export_dir: str | None = None) -> dict:
-    """J2 (when submissions landed) -> J3 + J4 -> J5.
+              export_dir: str | None = None, candidates: tuple[DataFrame | None, ...] = ()) -> dict:
+    """J1 (when candidate sources landed) -> J2 (when submissions landed) ->
+    J3 + J4 -> J5.
+
+    ``tables``: issuers, filings, offerings, capitalization, lockups.  Every
+    table a step changes is written once: as its next version where
+    ``snapshot_dir`` is given (and read back from there), else to the
+    checkpoint folder.  With ``export_dir`` the three report CSVs are written.
+    Returns the new tables, the report frames, the counts of every step and
+    J2's failures."""
+    t, stats, failures = dict(tables), {}, None
+
+    def settle(name: str, df: DataFrame, final: bool) -> None:
+        if not (snapshot_dir and final):
+            t[name] = materialize(df)
+            return
+        path = f"{snapshot_dir.rstrip('/')}/{name}"
+        write_snapshot(df, path)
+        t[name] = read_latest(df.sparkSession, path)
 
-    ``tables``: issuers, filings, offerings, capitalization, lockups.
-    With ``snapshot_dir`` every table is written as its next version; with
-    ``export_dir`` the three report CSVs are written.  Returns the new tables
-    and the report frames."""
-    t = dict(tables)
+    if any(c is not None for c in candidates):
+        found = J.discover_candidates(t["issuers"], *candidates, as_of=as_of)
+        stats["discover"] = found.stats
+        settle("issuers", found.tables["issuers"], submissions is None)
     if submissions is not None:
         sync = J.sync_sec_filings(t["issuers"], t["filings"], submissions)
-        t["filings"] = materialize(sync.tables["filings"])
-        t["issuers"] = materialize(sync.tables["issuers"])
+        stats["sync"], failures = sync.stats, sync.tables["failures"]
+        settle("filings", sync.tables["filings"], False)
+        settle("issuers", sync.tables["issuers"], True)
+    elif not stats:
+        settle("issuers", t["issuers"], True)
     parsed = parse_filings(t["issuers"], t["filings"], documents, t["offerings"],
                            t["capitalization"], t["lockups"], as_of, force)
+    stats |= {"offerings": parsed["offering_stats"], "lockups": parsed["lockup_stats"]}
     for name in ["offerings", "capitalization", "lockups", "filings"]:
-        t[name] = materialize(parsed[name])
-    if snapshot_dir:
-        for name in TABLES:
-            write_snapshot(t[name], f"{snapshot_dir.rstrip('/')}/{name}")
+        settle(name, parsed[name], True)
     reports = J.export_reports(t, as_of)
     if export_dir:
         K.export(reports, export_dir)
-    return {"tables": t, "reports": reports,
-            "stats": {"offerings": parsed["offering_stats"], "lockups": parsed["lockup_stats"]}}
+    return {"tables": t, "reports": reports, "stats": stats, "failures": failures}

@@ -59,16 +59,21 @@ def nasdaq_rows(docs: DataFrame, as_of: Column, lookback: int = 1, lookahead: in
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _place(c: str) -> Column:
+    """A count as text that sorts like the number, for any 64-bit value."""
+    return F.lpad(F.col(c).cast("string"), 19, "0")
+
+
 def nasdaq_candidates(docs: DataFrame, as_of: Column, lookback: int = 1, lookahead: int = 2) -> DataFrame:
     """One candidate per deal id (a missing id is one key), the first in
-    (month, page, section, position) order; withdrawn deals are not read."""
+    (month, section, page, position) order, as a month's sections are read one
+    after the other; withdrawn deals are not read."""
     rows = nasdaq_rows(docs, as_of, lookback, lookahead)
     first = first_per_key(rows.withColumn("_deal", F.coalesce("dealID", F.lit(""))), ["_deal"],
-                          [F.col("month"), F.col("page"), F.col("section_rank"), F.col("pos")])
-    month_idx = (F.substring("month", 1, 4).cast("long") * 12 + F.substring("month", 6, 2).cast("long"))
-    ord_ = ((month_idx * 100000 + F.col("page")) * 10 + F.col("section_rank")) * 1000000 + F.col("pos")
+                          [F.col("month"), F.col("section_rank"), F.col("page"), F.col("pos")])
+    ord_ = F.concat_ws("/", "month", F.col("section_rank").cast("string"), _place("page"), _place("pos"))
     return first.select(
-        F.lit(0).alias("source_rank"), ord_.cast("long").alias("ord"),
+        F.lit(0).alias("source_rank"), ord_.alias("ord"),
         py_strip(F.coalesce("companyName", F.lit(""))).alias("company_name"),
         blank_to_null("proposedTickerSymbol").alias("ticker"),
         blank_to_null("proposedExchange").alias("exchange"),
@@ -83,7 +88,7 @@ def nyse_candidates(docs: DataFrame) -> DataFrame:
     kept = rows.where(~F.col("r.deal_status_flg").eqNullSafe("W"))
     date = F.coalesce(epoch_ms_to_date(F.col("r.price_dt")), epoch_ms_to_date(F.col("r.init_file_dt")))
     return kept.select(
-        F.lit(1).alias("source_rank"), (F.col("page") * 1000000 + F.col("pos")).cast("long").alias("ord"),
+        F.lit(1).alias("source_rank"), F.concat_ws("/", _place("page"), _place("pos")).alias("ord"),
         py_strip(F.coalesce("r.issuer_nm", F.lit(""))).alias("company_name"),
         blank_to_null("r.symbol").alias("ticker"),
         blank_to_null("r.custom_group_exchange_nm").alias("exchange"),

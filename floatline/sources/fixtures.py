@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floatline.session import parallelism
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "documents", "embeddings", "pages",
                "benchmark", "labels", "conversations"]
@@ -126,12 +128,14 @@ def _rule_text(d: Dialect) -> str:
 def fx_issuers(d: Dialect) -> str:
     return f"""
 select c_custkey as id, c_name as company_name,
-  case when c_custkey % 10 <> 0 then cast(320000 + c_custkey as string) end as cik,
+  case when c_custkey % 50 = 49 then 'pending' when c_custkey % 10 <> 0 then cast(320000 + c_custkey as string) end as cik,
   case when c_custkey % 4 <> 0 then 'T' || cast(c_custkey as string) end as ticker,
   case when c_custkey % 3 <> 0 then c_mktsegment end as exchange,
   case c_custkey % 6 when 0 then 'candidate' when 1 then 'filed' when 2 then 'priced'
     when 3 then 'trading' when 4 then 'withdrawn' end as status,
-  case when c_custkey % 5 <> 0 then 'https://example.test/s/old' end as source_url
+  case when c_custkey % 5 <> 0 then 'https://example.test/s/old' end as source_url,
+  cast(c_nationkey as string) as country, c_custkey % 8 = 0 as is_foreign_issuer,
+  date '2001-01-02' as created_at, date '2001-02-03' as updated_at
 from {d.t('customer')}"""
 
 
@@ -336,7 +340,7 @@ select f.id as row_key, i.cik, {d.idiv('f.id', '4096')} as page,
   cast(f.filing_date as string) as filingDate,
   case when f.primary_doc_url is null then '' else 'd' || cast(f.id as string) || '.htm' end as primaryDocument
 from {d.t('fx_filings')} f join {d.t('fx_issuers')} i on i.id = f.issuer_id
-where i.cik is not null"""
+where i.cik <> 'pending'"""
 
 
 def company_rows(d: Dialect) -> str:
@@ -358,6 +362,56 @@ union all
 select 'q' || cast(n_nationkey as string) || 't', 't' || cast(n_nationkey * 7 + 1 as string) from {d.t('nation')}"""
 
 
+def search_workload(d: Dialect) -> str:
+    """A query per customer (its number) and nation, and empty, one- and two-letter ones."""
+    short = " union all ".join(f"select 's{k}' as query_id, '{t}' as query" for k, t in enumerate(["", "c", "1", "0 ", "ho", " "]))
+    return f"""
+select 'c' || cast(c_custkey as string) as query_id, cast(c_custkey as string) as query from {d.t('customer')}
+union all
+select 'n' || cast(n_nationkey as string), lower(n_name) || ' h' from {d.t('nation')}
+union all {short}"""
+
+
+# Tables with rows added that break every rule (operators/constraints.py).
+def bad_issuers(d: Dialect) -> str:
+    i = d.t("fx_issuers")
+    return f"""
+select id, company_name, cik, status from {i}
+union all select id, null, cik, 'unknown' from {i} where id % 40 = 1
+union all select -id, company_name, cik, status from {i} where id % 40 = 2"""
+
+
+def bad_filings(d: Dialect) -> str:
+    f = d.t("fx_filings")
+    return f"""
+select id, issuer_id, accession_no, form_type, filing_date from {f}
+union all select id, -issuer_id, accession_no, form_type, null from {f} where id % 60 = 1
+union all select -id, issuer_id, accession_no, form_type, filing_date from {f} where id % 60 = 2
+union all select -id, null, null, null, filing_date from {f} where id % 60 = 3"""
+
+
+def _bad_child(d: Dialect, view: str, extra: str = "") -> str:
+    t = d.t(view)
+    more = ", confidence" if extra else ""
+    return f"""
+select id, issuer_id, filing_id{more} from {t}
+union all select id, issuer_id, -filing_id{more} from {t} where id % 30 = 0
+union all select -id, null, filing_id{extra} from {t} where id % 30 = 6
+union all select -id, -issuer_id, filing_id{more} from {t} where id % 30 = 12"""
+
+
+def bad_offerings(d: Dialect) -> str:
+    return _bad_child(d, "fx_offerings")
+
+
+def bad_capitalization(d: Dialect) -> str:
+    return _bad_child(d, "fx_capitalization")
+
+
+def bad_lockups(d: Dialect) -> str:
+    return _bad_child(d, "fx_lockups", ", 'sure'")
+
+
 # Dependency order matters: each view may use those above it.
 VIEWS = {
     "fx_issuers": fx_issuers,
@@ -373,6 +427,12 @@ VIEWS = {
     "sec_filing_rows": sec_filing_rows,
     "company_rows": company_rows,
     "company_queries": company_queries,
+    "search_workload": search_workload,
+    "bad_issuers": bad_issuers,
+    "bad_filings": bad_filings,
+    "bad_offerings": bad_offerings,
+    "bad_capitalization": bad_capitalization,
+    "bad_lockups": bad_lockups,
 }
 
 
@@ -395,6 +455,10 @@ class Fixtures:
             if name in VIEWS:
                 sql = VIEWS[name](SPARK)
                 deps = {k: self.table(k) for k in _referenced(sql)}
+                if name == "fx_texts":
+                    # The texts are made from narrow rows of one small file:
+                    # those are dealt out, so that no text has to be.
+                    deps["fx_filings"] = deps["fx_filings"].repartition(2 * parallelism(self.spark), "id")
                 self._frames[name] = self.spark.sql(sql, **deps)
             else:
                 self._frames[name] = self.spark.read.parquet(

@@ -15,6 +15,7 @@ from floatline.functions.scalars import (filing_index_url, filing_primary_doc_ur
                                          normalize_cik, py_strip)
 from floatline.operators.filings import TARGET_FORMS
 from floatline.operators.ranking import first_per_key
+from floatline.session import materialize
 
 _SA = T.ArrayType(T.StringType())
 SUBMISSIONS_SCHEMA = T.StructType([
@@ -49,74 +50,65 @@ def submission_rows(docs: DataFrame) -> DataFrame:
 
 def issuer_filings(issuers: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3 (per issuer): filing rows of each issuer's landed documents, and
-    the issuers that fail (CIK not an integer, or no document landed)."""
+    the issuers that fail, with the ``reason``: ``invalid_cik`` (not an
+    integer) or ``no_document`` (none landed)."""
     keyed = issuers.select(F.col("id").alias("issuer_id"), normalize_cik("cik").alias("cik10"))
     landed = docs.select("cik10").distinct()
-    failed = keyed.join(landed, "cik10", "left_anti")
+    reason = F.when(F.col("cik10").isNull(), F.lit("invalid_cik")).otherwise(F.lit("no_document"))
+    failed = keyed.join(landed, "cik10", "left_anti").select("issuer_id", "cik10", reason.alias("reason"))
     found = submission_rows(docs).join(keyed.where(F.col("cik10").isNotNull()), "cik10")
     return found, failed
 
 
-def search_companies(companies: DataFrame, queries: DataFrame, max_results: int = 10,
-                     broadcast_max_queries: int = 10_000) -> DataFrame:
+def _grams(col, n: int):
+    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.substring(col, i, n)), lambda g: F.length(g) == n)
+
+
+def search_companies(companies: DataFrame, queries: DataFrame, max_results: int = 10) -> DataFrame:
     """Per query, companies whose name contains it or whose ticker equals
     it (case-insensitive), the first ``max_results`` in list order.
 
     ``companies``: page, pos, cik, name, ticker, exchange.
-    ``queries``: query_id, query.  A query table under the bound is broadcast
-    and every company row tests each query inline; beyond it the match is an
-    equi-join on character n-grams, exact for every query length."""
+    ``queries``: query_id, query.  An exact substring match by equi-joins on
+    character n-grams, whatever the number of queries:
+
+    * names are exploded once, into those grams that some query uses;
+    * a query of one or two letters is its own gram and needs the gram's first
+      ``max_results`` companies only (cut per map task before the shuffle);
+    * a longer one joins on its rarest trigram and the names are verified;
+    * an empty query matches every name: the first ``max_results`` companies.
+
+    Only (gram, company, lower-case name) travels; the other columns join the
+    at most ``max_results`` rows of each query at the end."""
     q = queries.select("query_id", F.lower(py_strip(F.coalesce("query", F.lit("")))).alias("q"))
-    c = companies.select("page", "pos", "cik", "name", "ticker", "exchange",
-                         F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
+    c = companies.select("page", "pos", F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
                          F.lower(F.coalesce("ticker", F.lit(""))).alias("_ticker"))
-    n_queries = q.count()
-    if n_queries <= broadcast_max_queries:
-        hits = c.join(F.broadcast(q), F.col("_name").contains(F.col("q")) | (F.col("_ticker") == F.col("q")))
-    else:
-        hits = _ngram_hits(c, q)
-    w = Window.partitionBy("query_id").orderBy("page", "pos")
-    top = hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_results)
-    # a row without a CIK field reads as CIK 0
-    return top.select("query_id", "rank", normalize_cik(F.coalesce("cik", F.lit("0"))).alias("cik"),
-                      "name", "ticker", "exchange")
-
-
-def _ngram_hits(c: DataFrame, q: DataFrame, max_results: int = 10) -> DataFrame:
-    """Exact substring matches through equi-joins.  A query of length >= 3
-    joins the names holding its rarest trigram and is then verified; shorter
-    ones join the names' 1- and 2-grams directly.  An empty query matches
-    every name: it takes the first ``max_results`` companies, joined on a
-    slot number (0..max_results-1) rather than paired with every row."""
-    def grams(col, n):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1)))
-        return F.filter(F.transform(starts, lambda i: F.substring(col, i, n)), lambda g: F.length(g) == n)
-
-    name_grams = c.select("*", F.explode(F.array_distinct(F.concat(
-        grams(F.col("_name"), 1), grams(F.col("_name"), 2), grams(F.col("_name"), 3)))).alias("_g"))
     filled = q.where(F.length("q") > 0)
-    # Each query joins on its rarest trigram (fewest names hold it), so the
-    # candidate pairs per query are as few as any single gram allows; every
-    # candidate is then verified, so the match stays exact.
-    freq = name_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    qgrams = (filled.select("query_id", "q", F.explode(F.when(F.length("q") >= 3, grams(F.col("q"), 3))
-                                                        .otherwise(F.array(F.col("q")))).alias("_g"))
-              .join(freq, "_g", "left"))
-    qg = first_per_key(qgrams.where(F.col("_df").isNotNull()), ["query_id"],
-                       [F.col("_df"), F.col("_g")]).select("query_id", "q", "_g")
-    by_gram = name_grams.join(qg, "_g").where(F.col("_name").contains(F.col("q"))).drop("_g")
-    by_ticker = c.join(filled, c._ticker == filled.q)
-    # The first companies in list order: a distributed top-k (limit is the
-    # feature here), then slots over those few rows.
-    top = c.orderBy("page", "pos").limit(max_results)
-    first_rows = top.withColumn("_slot", F.row_number().over(Window.orderBy("page", "pos")) - 1)
-    empty = (q.where(F.length("q") == 0)
-             .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(max_results - 1)))))
-    by_empty = empty.join(F.broadcast(first_rows), "_slot").drop("_slot")  # 10 rows by construction
-    cols = c.columns + ["query_id", "q"]
-    out = (by_gram.select(*cols).unionByName(by_ticker.select(*cols))
-           .unionByName(by_empty.select(*cols)))
-    return out.dropDuplicates(["query_id", "page", "pos"])
+    wanted = filled.select("query_id", "q", F.explode(F.when(F.length("q") >= 3, _grams(F.col("q"), 3))
+                                                      .otherwise(F.array(F.col("q")))).alias("_g"))
+    names = c.select("page", "pos", "_name", F.explode(F.array_distinct(F.concat(
+        _grams(F.col("_name"), 1), _grams(F.col("_name"), 2), _grams(F.col("_name"), 3)))).alias("_g"))
+    used = materialize(names.join(wanted.select("_g").distinct(), "_g", "left_semi"))
+    by_list = Window.partitionBy("_g").orderBy("page", "pos")
+    first = used.where(F.length("_g") < 3).withColumn("_n", F.row_number().over(by_list)).where(F.col("_n") <= max_results)
+    short = first.join(filled.where(F.length("q") < 3).withColumnRenamed("q", "_g"), "_g").select("query_id", "page", "pos")
+    freq = used.where(F.length("_g") == 3).groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = first_per_key(wanted.where(F.length("q") >= 3).join(freq, "_g"), ["query_id"], [F.col("_df"), F.col("_g")])
+    long = used.join(rarest.select("query_id", "q", "_g"), "_g").where(F.col("_name").contains(F.col("q"))).select("query_id", "page", "pos")
+    ticker = c.join(filled, F.col("_ticker") == F.col("q")).select("query_id", "page", "pos")
+    # The first companies in list order: a distributed top-k (limit is the feature here).
+    top = c.select("page", "pos").orderBy("page", "pos").limit(max_results)
+    slots = top.withColumn("_slot", F.row_number().over(Window.orderBy("page", "pos")) - 1)
+    empty = (q.where(F.length("q") == 0).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(max_results - 1))))
+             .join(F.broadcast(slots), "_slot").select("query_id", "page", "pos"))  # max_results rows by construction
+    hits = short.union(long).union(ticker).union(empty).distinct()
+    order = Window.partitionBy("query_id").orderBy("page", "pos")
+    best = hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= max_results)
+    rows = best.join(companies.select("page", "pos", "cik", "name", "ticker", "exchange"), ["page", "pos"])
+    # a row without a CIK field reads as CIK 0
+    return rows.select("query_id", "rank", normalize_cik(F.coalesce("cik", F.lit("0"))).alias("cik"),
+                       "name", "ticker", "exchange")
 
 
 def company_list_rows(docs: DataFrame) -> DataFrame:
@@ -133,7 +125,10 @@ def document_join(best: DataFrame, documents: DataFrame, columns: tuple[str, ...
     the requested document columns are read (e.g. ``n_chars`` alone never
     touches the pages)."""
     d = documents.select(F.col("url").alias("_doc_url"), *columns)
-    return best.join(d, best.primary_doc_url == d._doc_url, "left").withColumn(
+    # Filings without a URL cannot match; kept out of the join they do not meet on one key.
+    found = best.where(F.col("primary_doc_url").isNotNull()).join(d, F.col("primary_doc_url") == F.col("_doc_url"), "left")
+    none = best.where(F.col("primary_doc_url").isNull())
+    return found.unionByName(none, allowMissingColumns=True).withColumn(
         "has_document", F.col("_doc_url").isNotNull()).drop("_doc_url")
 
 

@@ -11,11 +11,13 @@ a checkpointed file log.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floatline.operators.filings import new_filings, number_filings
+from floatline.operators.filings import apply_status, derive_status, new_filings, number_filings
+from floatline.session import materialize
 from floatline.sources import sec
 
 LANDED_SCHEMA = T.StructType([
@@ -25,21 +27,35 @@ LANDED_SCHEMA = T.StructType([
 ])
 
 
+def current_issuers(spark: SparkSession, issuers: DataFrame, transitions_dir: str, before: int | None = None) -> DataFrame:
+    """``issuers`` with the status that the batches (before ``before``) left."""
+    try:
+        log = spark.read.parquet(transitions_dir)
+    except AnalysisException:  # no batch has written yet
+        return issuers
+    log = log if before is None else log.where(F.col("batch") < before)
+    last = log.groupBy("issuer_id").agg(F.max_by("new_status", "batch").alias("new_status")).withColumn("changed", F.lit(True))
+    return apply_status(issuers, last)
+
+
 def ingest_filings(spark: SparkSession, landing_dir: str, filings_dir: str, checkpoint_dir: str,
-                   issuers: DataFrame, files_per_batch: int = 1) -> None:
-    """Process every landed submissions file not yet seen; append new filings
-    to the parquet table at ``filings_dir`` (which must exist)."""
-    with_cik = issuers.where("cik is not null")
+                   issuers: DataFrame, files_per_batch: int = 1, transitions_dir: str | None = None) -> None:
+    """Process every landed submissions file not yet seen: append new filings
+    to the parquet table at ``filings_dir`` (which must exist), and, where
+    ``transitions_dir`` is given, write each batch's status changes (D8) there,
+    a folder per batch, derived from the status the batches before it left.
+    A batch that runs again replaces its folder."""
 
     def batch(docs: DataFrame, batch_id: int) -> None:
         table = spark.read.parquet(filings_dir)
-        found, _failed = sec.issuer_filings(with_cik, docs)
-        # A batch holds at most files_per_batch documents of at most one page
-        # (4,096 filings) each, so its issuer set has a proven bound: it is
-        # broadcast to cut the stored table down map-side before the anti join.
-        issuers_in_batch = F.broadcast(found.select("issuer_id").distinct())
-        stored = table.join(issuers_in_batch, "issuer_id", "left_semi")
+        found, _failed = sec.issuer_filings(issuers.where("cik is not null"), docs)
+        found = materialize(found)
+        # Only the batch's issuers can hold its keys.
+        stored = table.join(found.select("issuer_id").distinct(), "issuer_id", "left_semi")
         new, _counts = new_filings(found, stored)
+        if transitions_dir:
+            now = current_issuers(spark, issuers, transitions_dir, batch_id).where("cik is not null")
+            derive_status(found, now).write.mode("overwrite").parquet(f"{transitions_dir}/batch={batch_id}")
         number_filings(new, table).write.mode("append").parquet(filings_dir)
 
     stream = (spark.readStream.schema(LANDED_SCHEMA)

@@ -113,21 +113,39 @@ def test_lockup_votes_equal_python_re(spark):
     assert got == want
 
 
-def test_company_search_paths_agree(spark):
-    """The broadcast path and the n-gram equi-join path give the same rows."""
+def test_company_search_equals_a_scan(spark):
+    """Queries of every length, empty and blank ones, against a plain search."""
     from floatline.sources import sec
-    comps = spark.createDataFrame(
-        [(0, i, str(100 + i), n, t, "X") for i, (n, t) in enumerate(
-            [("Acme Holdings", "ACM"), ("Beta Acme", "BTA"), ("Gamma", "AC"), ("Delta", None),
-             ("ac", "Z"), (None, "ACME")])],
-        "page long, pos long, cik string, name string, ticker string, exchange string")
-    queries = spark.createDataFrame([("q1", "acme"), ("q2", " AC "), ("q3", "a"), ("q4", ""),
-                                     ("q5", "zz"), ("q6", "Delta")], "query_id string, query string")
-    fast = sec.search_companies(comps, queries, max_results=3)
-    grams = sec.search_companies(comps, queries, max_results=3, broadcast_max_queries=0)
-    key = lambda df: sorted(tuple(r) for r in df.collect())
-    assert key(fast) == key(grams)
-    assert {r.query_id for r in fast.collect()} == {"q1", "q2", "q3", "q4", "q6"}
+    rows = [("Acme Holdings", "ACM"), ("Beta Acme", "BTA"), ("Gamma", "AC"), ("Delta", None), ("ac", "Z"), (None, "ACME")]
+    rows += [(f"Common name {i}", f"C{i}") for i in range(44)]
+    comps = spark.createDataFrame([(i // 7, i % 7, str(100 + i), n, t, "X") for i, (n, t) in enumerate(rows)],
+                                  "page long, pos long, cik string, name string, ticker string, exchange string")
+    queries = [("q1", "acme"), ("q2", " AC "), ("q3", "a"), ("q4", ""), ("q5", "zz"), ("q6", "Delta"), ("q7", "name 1"),
+               ("q8", "m"), ("q9", "mm"), ("q10", None), ("q11", "c12"), ("q12", "common name")]
+    df = spark.createDataFrame(queries, "query_id string, query string")
+    for most in (3, 20, 100):
+        want = {}
+        for qid, q in queries:
+            q = (q or "").strip().lower()
+            hits = [n for n, t in rows if q in (n or "").lower() or (t or "").lower() == q][:most]
+            if hits:
+                want[qid] = hits
+        got = {}
+        for r in sec.search_companies(comps, df, max_results=most).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["name"])
+            assert r["rank"] == len(got[r["query_id"]])
+        assert got == want
+
+
+def test_company_search_has_no_nested_loop(spark):
+    from floatline.sources import landing, sec
+    from floatline.sources.fixtures import Fixtures
+    from tests.conftest import SF001
+    fx = Fixtures(spark, SF001)
+    comps = sec.company_list_rows(landing.land_company_list(fx["company_rows"]))
+    found = sec.search_companies(comps, fx["search_workload"], max_results=20)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_html_non_content_leftmost_first(spark):
@@ -145,14 +163,54 @@ def test_html_numeric_references(spark):
         "offering price “IPO” A’s � � &amp; &#160; \U0001F600"]
 
 
-def test_company_search_ngram_path_on_fixture(spark):
-    """The n-gram equi-join path gives the registered query's rows."""
-    from floatline.sources import landing, sec
-    from floatline.sources.fixtures import Fixtures
-    from tests.conftest import SF001
-    fx = Fixtures(spark, SF001)
-    comps = sec.company_list_rows(landing.land_company_list(fx["company_rows"]))
-    fast = sec.search_companies(comps, fx["company_queries"])
-    grams = sec.search_companies(comps, fx["company_queries"], broadcast_max_queries=0)
-    rows = lambda df: sorted(tuple(r) for r in df.collect())
-    assert rows(fast) == rows(grams) and len(rows(fast)) > 0
+def test_numbers_as_python_reads_them(spark):
+    texts = ["12d", "12f", "0x1p3", "3e2", "1.5", ".5", "5.", "+7", "-2,000", "1e", "e5", "", "1.2.3", "nan", "inf"]
+    def want(t):
+        try:
+            return float(t.replace(",", ""))
+        except ValueError:
+            return None
+    got = one_column(spark, texts, S.parse_number)
+    assert [str(g) for g in got] == [str(want(t)) for t in texts]
+
+
+def test_add_days_reads_text(spark):
+    from floatline.functions.scalars import add_days
+    df = spark.createDataFrame([("2024-02-28", "2"), ("March 1, 2024", "-1"), ("soon", "3"), ("2024-02-28", "x"), (None, "1")], "d string, n string")
+    assert [str(r[0]) for r in df.select(add_days("d", "n")).collect()] == ["2024-03-01", "2024-02-29", "None", "None", "None"]
+
+
+def test_sections_are_read_one_after_the_other(spark):
+    """A priced row of a later page comes before a filed row of an earlier one."""
+    import json
+
+    from floatline.sources import calendars as CAL
+    page = lambda section, name: json.dumps({"data": {section: {"rows": [{"dealID": "d", "companyName": name}]}}})
+    docs = spark.createDataFrame([("2001-06", 0, page("filed", "late")), ("2001-06", 1, page("priced", "first"))], "month string, page long, json string")
+    [r] = CAL.nasdaq_candidates(docs, F.lit("2001-06-15").cast("date")).collect()
+    assert r["company_name"] == "first"
+
+
+def test_lazy_tables_resolve_everywhere(spark):
+    from floatline.plans.jobs import LazyTables
+    built = []
+    t = LazyTables({"a": lambda: built.append("a") or spark.range(1), "b": spark.range(2)})
+    assert list(t) == ["a", "b"] and not built
+    assert t.get("a").count() == 1 and {k: v.count() for k, v in t.items()} == {"a": 1, "b": 2}
+    assert [v.count() for v in t.values()] == [1, 2] and built == ["a"] and dict(t)["a"] is t["a"]
+
+
+def test_issuer_columns_pass_through(spark):
+    from floatline.operators import candidates as C
+    issuers = spark.createDataFrame([(1, "Acme", None, None, None, "filed", None, "US", True, "keep")],
+                                    "id long, company_name string, cik string, ticker string, exchange string, status string, "
+                                    "source_url string, country string, is_foreign_issuer boolean, remark string") \
+        .withColumn("updated_at", F.lit("2000-01-01").cast("date")).withColumn("created_at", F.lit("2000-01-01").cast("date"))
+    cands = spark.createDataFrame([(0, 1, "ACME", "AC", None, None), (0, 2, "Other", None, None, None)],
+                                  "source_rank int, ord long, company_name string, ticker string, exchange string, source_url string")
+    day = F.lit("2001-06-15").cast("date")
+    out, _ = C.upsert_issuers(C.match_issuers(cands, issuers), issuers, as_of=day)
+    assert out.columns == issuers.columns
+    old, new = out.orderBy("id").collect()
+    assert (old.ticker, old.country, old.remark, str(old.updated_at), str(old.created_at)) == ("AC", "US", "keep", "2001-06-15", "2000-01-01")
+    assert (new.company_name, new.country, new.is_foreign_issuer, str(new.updated_at), str(new.created_at)) == ("Other", None, False, "2001-06-15", "2001-06-15")

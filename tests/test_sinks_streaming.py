@@ -50,3 +50,21 @@ def test_stream_ingest_replay_appends_nothing(spark, tmp_path):
     t = spark.read.parquet(f"{root}/filings")
     assert t.count() == after_first
     assert t.groupBy("issuer_id", "accession_no", "form_type").count().where("count > 1").count() == 0
+
+
+def test_report_csv_as_python_reads_it(spark, tmp_path):
+    import csv
+    import glob
+
+    from floatline.sinks.csv import write_report
+    values = [15276527.0, 34.0, 0.1, 1e16, 1.5e-7, -2.5e9, 123456789.125, 0.0, 1e15, 0.0001, None]
+    names = ['A "quoted" name', "comma, name", "  spaced ", "two\nlines", None, "x", "y", "z", "ü", "-", "'"]
+    df = spark.createDataFrame([(i, n, v, i % 2 == 0) for i, (n, v) in enumerate(zip(names, values))], "i int, n string, v double, b boolean")
+    write_report(df.orderBy("i"), str(tmp_path / "r.csv"))
+    rows = []
+    for part in sorted(glob.glob(str(tmp_path / "r.csv" / "part-*"))):
+        with open(part, newline="") as f:
+            head, *body = csv.reader(f)
+        assert head == ["i", "n", "v", "b"]
+        rows += body
+    assert rows == [[str(i), n or "", "" if v is None else repr(v), str(i % 2 == 0)] for i, (n, v) in enumerate(zip(names, values))]

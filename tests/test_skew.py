@@ -85,9 +85,13 @@ def test_worklist_never_reads_pages(spark, tmp_path):
     assert w.where("outcome = 'parse'").count() > 0
 
 
-def test_parse_join_broadcasts_the_worklist(spark, tmp_path):
-    """Pages are joined by broadcasting the (row-bounded) worklist into the
-    document scan; the only exchange is the explicit spread for text work."""
+def _exchanges(spark, df):
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning")], plan
+
+
+def test_pages_are_converted_where_they_are_read(spark, tmp_path):
+    """The worklist is broadcast into the document scan; no page is exchanged."""
     from floatline.plans import jobs as J
     from floatline.session import materialize
     fx = Fixtures(spark, "/root/testdata/sf0.001")
@@ -95,10 +99,52 @@ def test_parse_join_broadcasts_the_worklist(spark, tmp_path):
     fx["raw_documents"].write.parquet(path)
     docs = spark.read.parquet(path)
     work = materialize(FL.parse_worklist(fx["fx_issuers"], fx["fx_filings"], docs))
+    work = spark.createDataFrame(work.collect(), work.schema)  # of known, small size, as a stored table would be
     texts = J.parse_texts(work, docs)
-    plan = spark._jvm.PythonSQLUtils.explainString(texts._jdf.queryExecution(), "formatted")
-    tree = plan.split("\n\n")[0]
-    assert "BroadcastHashJoin" in tree and "BroadcastExchange" in tree
-    exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning")]
-    assert len(exchanges) == 1 and "filing_id" in exchanges[0]
+    exchanges, plan = _exchanges(spark, texts)
+    assert "BroadcastHashJoin" in plan and not exchanges
     assert texts.count() > 0
+
+
+def test_text_functions_do_not_move_texts(spark, tmp_path):
+    """On a table of enough files, and for the fixture texts: no exchange of a text column."""
+    from floatline.functions.text import html_to_text
+    from floatline.operators.partitioning import spread_small
+    from floatline.plans.catalog import QUERIES
+    path = str(tmp_path / "pages")
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    pages = spread_small(spark.read.parquet(path), "page_id")
+    assert not _exchanges(spark, pages.select(html_to_text("html").alias("t")))[0]
+    for name in ("lockup_days", "offer_price", "lockup_section"):
+        _, plan = _exchanges(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
+        sent = plan.split(") Exchange")[1:]
+        assert sent and not any("text" in part.split("\n")[1] for part in sent)
+
+
+def test_regexes_run_only_for_what_is_asked(spark):
+    """Statistics and worklists extract nothing; a table extracts its own fields."""
+    from floatline.functions import extract as X
+    from floatline.plans import jobs as J
+    from floatline.plans.catalog import _offering_job
+    calls = []
+    orig = X.with_offering_fields
+    X.with_offering_fields = lambda df, fields=None: calls.append(fields) or orig(df, fields=fields)
+    try:
+        res = _offering_job(spark, "/root/testdata/sf0.001")
+        res.stats.collect(), res.tables["worklist"].count(), res.tables["filings"].count()
+        assert calls == []
+        res.tables["capitalization"]
+        assert calls == [J.CAP_FIELDS] and "bookrunners" not in J.CAP_FIELDS and "offer_price" not in J.CAP_FIELDS
+    finally:
+        X.with_offering_fields = orig
+
+
+def test_every_constraint_is_broken_by_some_row(spark):
+    from floatline.plans.catalog import QUERIES
+    found = {(r["table_name"], r["check_name"]) for r in
+             QUERIES["constraint_violations"](spark, "/root/testdata/sf0.001").select("table_name", "check_name").distinct().collect()}
+    children = {(t, c) for t in ("offerings", "capitalization", "lockups") for c in ("primary_key", "fk_issuer", "fk_filing", "not_null_issuer_id")}
+    assert found == children | {("lockups", "enum_confidence")} | {
+        ("issuers", c) for c in ("primary_key", "unique_cik", "not_null_company_name", "enum_status")} | {
+        ("filings", c) for c in ("primary_key", "unique_filing", "fk_issuer", "not_null_issuer_id", "not_null_accession_no",
+                                 "not_null_form_type", "not_null_filing_date", "enum_form_type")}
