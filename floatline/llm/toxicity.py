@@ -42,8 +42,7 @@ PREFIXES = (4, 5)
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 12000
 MEMBERS = 3
-MIN_Z = 4.0  # standard errors by which a feature's share must differ to be used
-MIN_TEXTS = 3
+MIN_RATIO = 4.0  # root of the likelihood ratio that a feature must reach to be used
 EPOCHS = 300
 RATE = 0.05
 PIECE = 1 << 20
@@ -121,10 +120,12 @@ def screen(buckets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     long text would add up."""
     count = lambda mask: np.bincount(np.concatenate([b for b, m in zip(buckets, mask) if m] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
     n1, n0 = max(1, positive.sum()), max(1, (~positive).sum())
-    in1, in0 = count(positive), count(~positive)
-    share = (in1 + in0 + 0.5) / (n1 + n0 + 1)
-    z = (in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    return np.flatnonzero((np.abs(z) >= MIN_Z) & (in1 + in0 >= MIN_TEXTS))
+    in1, in0 = count(positive).astype(float), count(~positive).astype(float)
+    # Signed root of the likelihood ratio: unlike a normal score it is sound for rare features.
+    expect1, expect0 = (in1 + in0) * n1 / (n1 + n0), (in1 + in0) * n0 / (n1 + n0)
+    term = lambda seen, expected: seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12))
+    ratio = np.sqrt(np.maximum(0.0, 2 * (term(in1, expect1) + term(in0, expect0))))
+    return np.flatnonzero(ratio >= MIN_RATIO)
 
 
 def fit(buckets: list[np.ndarray], positive: np.ndarray, prior: float, seed: int,
