@@ -42,7 +42,7 @@ PREFIXES = (4, 5)
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 12000
 MEMBERS = 3
-MIN_RATIO = 4.0  # root of the likelihood ratio that a feature must reach to be used
+MIN_RATIO = 3.0  # root of the likelihood ratio that a feature must reach to be used
 EPOCHS = 300
 RATE = 0.05
 PIECE = 1 << 20
