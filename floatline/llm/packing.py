@@ -13,6 +13,7 @@ sequences of their own; the others are packed by bulk-synchronous best fit:
   What a range leaves over, pieces without a gap and gaps without a piece, is
   matched across ranges from per-range counts alone: one row a range goes to
   the driver, the leftovers are numbered and joined by number;
+* once all pieces and gaps left fit one range, its remaining rounds are run in place;
 * matched gaps shrink by the piece they took, the rest goes to the next
   round.  When a round leaves pieces that no gap can hold, the longest of
   them open as many new sequences as their tokens need.
@@ -31,6 +32,7 @@ they are computed with tiktoken over the same vocabulary, six times faster
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,6 +48,7 @@ from floatline.llm.common import staged, table, text_input
 LENGTH = 2048
 RANGE_ROWS = 20_000
 BUNDLE = 128
+FILLERS = 16  # one in so many short pieces stays single, to fill what bundles leave
 PIECE_LAYOUT = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -142,37 +145,60 @@ def _meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
 
 
 SWEPT = "id long, size long, kind int, mate long, mate_size long, part int, number long"
+GAP, PIECE, PLACED = 0, 1, 2
 
 
-def _round(gaps: DataFrame, items: DataFrame, n_rows: int, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gaps with what they took, unmatched gaps, unmatched pieces)."""
-    both = gaps.select("id", "size", F.lit(0).alias("kind")).union(items.select("id", "size", F.lit(1).alias("kind")))
+def _round(rows: DataFrame, n_rows: int, length: int, level: int) -> DataFrame:
+    """One sweep over gaps and pieces (id, size, kind): the gaps and pieces
+    after it, and a row for every piece placed (its sequence and offset)."""
+    spark = rows.sparkSession
     n = max(1, -(-n_rows // RANGE_ROWS))
     order = [F.col("size").desc(), F.col("kind").asc(), F.col("id").asc()]
-    swept = staged(both.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), label)
+    swept = staged(rows.select("id", "size", "kind").repartitionByRange(n, *order).sortWithinPartitions(*order)
+                   .mapInPandas(_sweep, SWEPT), f"sweep{level}")
     left = swept.where("mate < 0")
-    counts = left.groupBy("part").agg(F.sum(1 - F.col("kind")).alias("gaps"), F.sum("kind").alias("items")).orderBy("part")
+    counts = left.groupBy("part").agg(F.sum((F.col("kind") == GAP).cast("int")).alias("gaps"),
+                                      F.sum((F.col("kind") == PIECE).cast("int")).alias("items")).orderBy("part")
     plan = _meet([(r["part"], r["gaps"], r["items"]) for r in counts.collect()])  # a row a range
-    spark = gaps.sparkSession
-    taken = swept.where("mate >= 0 AND kind = 0").select("id", "size", F.col("mate").alias("item"), F.col("mate_size").alias("used"))
-    if not plan:
-        return taken, left.where("kind = 0").select("id", "size"), left.where("kind = 1").select("id", "size")
-    # Segments: at most two a range; the plan is broadcast, the rows join by pair number.
-    layout = "gpart int, gtop long, ipart int, ifirst long, n long, pair long"
-    segments, pair = [], 0
-    for row in plan:
-        segments.append((*row, pair))
-        pair += row[4]
-    seg = F.broadcast(spark.createDataFrame(segments, layout))
-    g = left.where("kind = 0").join(seg, (F.col("part") == F.col("gpart")) & (F.col("number") <= F.col("gtop"))
-                                    & (F.col("number") > F.col("gtop") - F.col("n")), "left") \
-        .select("id", "size", (F.col("pair") + F.col("gtop") - F.col("number")).alias("pair"))
-    i = left.where("kind = 1").join(seg, (F.col("part") == F.col("ipart")) & (F.col("number") >= F.col("ifirst"))
-                                    & (F.col("number") < F.col("ifirst") + F.col("n")), "left") \
-        .select("id", "size", (F.col("pair") + F.col("number") - F.col("ifirst")).alias("pair"))
-    met = g.where("pair IS NOT NULL").join(i.where("pair IS NOT NULL").select(F.col("id").alias("item"), F.col("size").alias("used"), "pair"), "pair")
-    taken = taken.union(met.select("id", "size", "item", "used"))
-    return taken, g.where("pair IS NULL").select("id", "size"), i.where("pair IS NULL").select("id", "size")
+    matched = swept.where((F.col("mate") >= 0) & (F.col("kind") == GAP)).select("id", "size", F.col("mate").alias("item"), F.col("mate_size").alias("used"))
+    rest = left.select("id", "size", "kind")
+    if plan:
+        # Segments: at most two a range; they are broadcast, the rows meet by pair number.
+        segments, pair = [], 0
+        for gpart, gtop, ipart, ifirst, many in plan:
+            segments += [(gpart, GAP, gtop - many + 1, gtop, pair + gtop, -1), (ipart, PIECE, ifirst, ifirst + many - 1, pair - ifirst, 1)]
+            pair += many
+        seg = F.broadcast(spark.createDataFrame(segments, "part int, kind int, low long, high long, base long, step int"))
+        numbered = left.join(seg, ["part", "kind"], "left").where("low IS NULL OR number BETWEEN low AND high") \
+            .select("id", "size", "kind", (F.col("base") + F.col("step") * F.col("number")).alias("pair"))
+        # a leftover beyond its range's segments has none of them
+        last = seg.groupBy("part", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        beyond = left.join(F.broadcast(last), ["part", "kind"]).where("number < low OR number > high").select("id", "size", "kind")
+        rest = numbered.where("pair IS NULL").select("id", "size", "kind").union(beyond)
+        g = numbered.where((F.col("pair").isNotNull()) & (F.col("kind") == GAP)).select("id", "size", "pair")
+        i = numbered.where((F.col("pair").isNotNull()) & (F.col("kind") == PIECE)).select(F.col("id").alias("item"), F.col("size").alias("used"), "pair")
+        matched = matched.union(g.join(i, "pair").select("id", "size", "item", "used"))
+    # a match gives two rows: the gap that is left, and the placed piece
+    both = matched.select(F.explode(F.array(
+        F.struct("id", (F.col("size") - F.col("used")).alias("size"), F.lit(GAP).alias("kind"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")),
+        F.struct(F.col("item").alias("id"), F.col("used").alias("size"), F.lit(PLACED).alias("kind"), F.col("id").alias("sequence_id"), (F.lit(length) - F.col("size")).alias("offset")))).alias("r")).select("r.*")
+    return both.union(rest.select("id", "size", "kind", F.lit(None).cast("long"), F.lit(None).cast("long")))
+
+
+def _finish(length: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The last pieces, longest first, each into its successor among the
+        gaps as they then are; one without a successor opens a sequence."""
+        pdf = pd.concat(parts, ignore_index=True)
+        open_ = sorted((s, i) for s, i, k in zip(pdf["size"], pdf["id"], pdf["kind"]) if k == GAP)
+        rows = []
+        for size, uid in sorted(((s, i) for s, i, k in zip(pdf["size"], pdf["id"], pdf["kind"]) if k == PIECE), reverse=True):
+            at = bisect.bisect_left(open_, (size, -1))
+            room, sequence = open_.pop(at) if at < len(open_) else (length, uid)
+            rows.append((uid, sequence, length - room))
+            bisect.insort(open_, (room - size, sequence))
+        yield pd.DataFrame(rows, columns=["id", "sequence_id", "offset"])
+    return run
 
 
 def _bundle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,6 +215,17 @@ def _bundle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(bundle=tied, place=place)
 
 
+def _opened(rows: DataFrame, opens, length: int) -> DataFrame:
+    """(id, size, kind, sequence_id, offset): pieces for which ``opens`` holds
+    start a sequence, whose room left becomes a gap."""
+    none = F.lit(None).cast("long")
+    new = (F.col("kind") == PIECE) & opens
+    first = F.struct("id", "size", F.lit(PLACED).alias("kind"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    room = F.struct("id", (F.lit(length) - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), none.alias("sequence_id"), none.alias("offset"))
+    same = F.struct("id", "size", "kind", none.alias("sequence_id"), none.alias("offset"))
+    return rows.select(F.explode(F.when(new, F.array(first, room)).otherwise(F.array(same))).alias("r")).select("r.*")
+
+
 def best_fit(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
     """``sizes`` (id long, size long; ids distinct, 0 < size <= length) placed:
     id, sequence_id, offset.  A sequence is named after its first piece."""
@@ -197,50 +234,50 @@ def best_fit(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
     stat = items.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).first()
     tied = None
     if stat["n"] and stat["tokens"] / stat["n"] < BUNDLE:
-        short = items.where(F.col("size") < BUNDLE // 2)
+        tie = (F.col("size") < BUNDLE // 2) & (F.pmod(F.xxhash64("id"), F.lit(FILLERS)) > 0)
+        short = items.where(tie)
         parts = max(1, -(-stat["n"] // (10 * RANGE_ROWS)))
         tied = staged(short.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id")
                       .mapInPandas(_bundle, "id long, size long, bundle long, place long"), "bundles")
         bundles = tied.groupBy(F.col("bundle").alias("id")).agg(F.sum("size").alias("size"))
-        items = staged(items.where(F.col("size") >= BUNDLE // 2).union(bundles), "tied")
-    half = F.col("size") > length // 2
-    first = items.where(half)
-    placed = [first.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    gaps = first.select("id", (F.lit(length) - F.col("size")).alias("size"))
-    items = items.where(~half)
-    n_items, tokens, shortest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.min("size")).first()
-    level = 0
-    while n_items:
-        gaps = gaps.where(F.col("size") >= shortest)  # others are closed for good
-        n_gaps, largest = gaps.agg(F.count(F.lit(1)), F.max("size")).first()
-        longest = items.agg(F.max("size")).first()[0]
-        if not n_gaps or largest < longest:
+        items = staged(items.where(~tie).union(bundles), "tied")
+    opens = F.col("size") > length // 2
+    placed, level = [], 0
+    state = _opened(items.select("id", "size", F.lit(PIECE).alias("kind")), opens, length)
+    state = staged(state, "state0")
+    while True:
+        placed.append(state.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset"))
+        is_gap, is_piece = F.col("kind") == GAP, F.col("kind") == PIECE
+        stat = state.agg(F.count_if(is_gap).alias("gaps"), F.count_if(is_piece).alias("pieces"), F.max(F.when(is_gap, F.col("size"))).alias("largest"),
+                         F.max(F.when(is_piece, F.col("size"))).alias("longest"), F.min(F.when(is_piece, F.col("size"))).alias("shortest")).first()
+        if not stat["pieces"]:
+            break
+        usable = is_gap & (F.col("size") >= stat["shortest"])  # other gaps are closed for good
+        rows = state.where(is_piece | usable).select("id", "size", "kind")
+        if stat["pieces"] + stat["gaps"] <= RANGE_ROWS or stat["pieces"] + rows.where(usable).count() <= RANGE_ROWS:
+            # what is left is one range: its rounds are run in place
+            placed.append(rows.repartition(1).mapInPandas(_finish(length), "id long, sequence_id long, offset long"))
+            break
+        bound = stat["largest"] or 0
+        if bound < stat["longest"]:
             # pieces above every gap: the longest of them open what their tokens need
-            bound = largest or 0
-            over = items.where(F.col("size") > bound)
-            by_size = {r["size"]: r["n"] for r in over.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+            over = rows.where(is_piece & (F.col("size") > bound)).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+            by_size = {r["size"]: r["n"] for r in over.collect()}  # a row a length
             need = -(-sum(s * n for s, n in by_size.items()) // length)
-            limit, count = 0, 0
-            for s in sorted(by_size, reverse=True):
-                limit, before, count = s, count, count + by_size[s]
+            limit = before = count = 0
+            for limit in sorted(by_size, reverse=True):
+                before, count = count, count + by_size[limit]
                 if count >= need:
                     break
-            share = (need - before) / by_size[limit]
             # of the last length, about as many as are missing, by a hash of the id
-            pick = (F.col("size") > limit) | ((F.col("size") == limit) & ((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20)))))
-            opened = over.where(pick)
-            if not opened.limit(1).count():
-                opened = over.where(F.col("size") == limit)
-                pick = F.col("size") == limit
-            opened = staged(opened, "opened")
-            placed.append(opened.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-            gaps = gaps.union(opened.select("id", (F.lit(length) - F.col("size")).alias("size")))
-            items = items.where(~((F.col("size") > bound) & pick))
-        taken, idle, items = _round(gaps, items, n_gaps + n_items, f"sweep{level}")
-        taken, items = staged(taken, "taken"), staged(items, "items")
-        placed.append(taken.select(F.col("item").alias("id"), F.col("id").alias("sequence_id"), (F.lit(length) - F.col("size")).alias("offset")))
-        gaps = staged(idle.union(taken.select("id", (F.col("size") - F.col("used")).alias("size"))), "gaps")
-        n_items, tokens, shortest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.min("size")).first()
+            share = F.lit(int((need - before) / by_size[limit] * (1 << 20)))
+            some = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 20)) <= share
+            rows = _opened(rows, (F.col("size") > limit) | ((F.col("size") == limit) & some), length)
+        else:
+            rows = _opened(rows, F.lit(False), length)
+        rows = staged(rows, f"rows{level}")
+        placed.append(rows.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset"))
+        state = staged(_round(rows.where(F.col("kind") != PLACED), stat["gaps"] + stat["pieces"], length, level), f"state{level + 1}")
         level += 1
     out = placed[0]
     for part in placed[1:]:
