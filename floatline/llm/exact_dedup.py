@@ -56,6 +56,11 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def files(self) -> DataFrame:
+        """The same entries without their buckets: a join with them is shuffled
+        on both sides, so that Spark can split a group of copies over tasks."""
+        return self.spark.read.schema(INDEX_COLUMNS).parquet(self.path)
+
     def ingest(self, rows: DataFrame, batch: int = 0) -> DataFrame:
         """Add the digests of ``rows`` (see ``digests``) that are not indexed
         yet; returns the index entries of this batch."""
@@ -73,11 +78,12 @@ class DigestIndex:
 def decide(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Every row with the row that stays for its digest: doc_id, keep_id,
     group_size, kept, digest, n_points."""
-    joined = rows.join(entries.select("digest", "keep_id", F.col("n_points").alias("keep_points"), "group_size"), "digest")
-    at_top = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-    same = Window.partitionBy("digest", "doc_id", "n_points").orderBy(F.lit(1))
-    return joined.select("doc_id", "keep_id", "group_size", "n_points", "digest",
-                         (at_top & (F.row_number().over(same) == 1)).alias("kept"))
+    # Numbered before the join, so that repeated rows, not equal texts, meet in a task.
+    same = Window.partitionBy("doc_id", "digest", "n_points").orderBy(F.lit(1))
+    numbered = rows.withColumn("again", F.row_number().over(same))
+    joined = numbered.join(entries.select("digest", "keep_id", F.col("n_points").alias("keep_points"), "group_size"), "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")) & (F.col("again") == 1)
+    return joined.select("doc_id", "keep_id", "group_size", "n_points", "digest", kept.alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
@@ -85,7 +91,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: int =
     index = index or DigestIndex(docs.sparkSession)
     rows = staged(digests(docs), "digests")
     index.ingest(rows, batch)
-    return decide(rows, index.entries())
+    return decide(rows, index.files())
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
