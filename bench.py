@@ -41,6 +41,8 @@ HEADLINE = [
     "lockup_days",            # X10 over all fixture texts
     "bookrunners",            # X6 over all fixture texts
     "constraint_violations",  # D9
+    "filing_sync_incremental",  # T1
+    "discover_from_calendars",  # J1 from the landed calendars
 ]
 
 
