@@ -111,8 +111,9 @@ def _runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
     """(uid, place) of the runs that are repeated as a whole, and one row of
     every distinct run in groups that need a further digit."""
-    stats = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("low"), F.max("u").alias("high")).where("n > 1")
-    live = staged(rows.join(stats, "g").select("uid", "g", "u", "place", (F.col("low") < F.col("high")).alias("mixed")), label)
+    # Written first: a join with the written counts is shuffled on both sides, so that Spark can split a large group.
+    stats = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("low"), F.max("u").alias("high")).where("n > 1"), f"{label}-groups")
+    live = staged(maybe_in(rows, "g", stats).join(stats, "g").select("uid", "g", "u", "place", (F.col("low") < F.col("high")).alias("mixed")), label)
     mixed = live.where("mixed")
     kinds = staged(mixed.groupBy("g", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")), f"{label}-kinds")
     twice = mixed.join(kinds.where("n > 1").select("g", "u"), ["g", "u"]).select("uid", "place")
@@ -177,7 +178,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     if one.count() < docs.select("key", "doc_id").distinct().count() or docs.groupBy("key", "doc_id").count().where("count > 1").limit(1).count():
         bytes_ = bytes_.dropDuplicates(["uid", "place"])
     context = staged(bytes_, "contexts")
-    found, ask = settle(context.mapInPandas(_blocks, ROW), "digit2")
+    found, ask = settle(staged(context.mapInPandas(_blocks, ROW), "blocks"), "digit2")
     covered.append(found)
     ask = ask.withColumn("p", F.shiftright("place", 20))
     want = staged(ask.groupBy("uid", "p").agg(F.collect_list("place").alias("places")), "asked2")
@@ -185,8 +186,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     inside = held.join(want, ["uid", "p"]).withColumn("places", F.expr(
         "filter(places, x -> ((x >> 10) & 1023) >= ((place >> 10) & 1023) AND (x & 1023) <= (place & 1023))"))
     single = staged(inside.select("uid", "place", "places", "bytes").mapInPandas(_windows, ROW), "digit3")
-    twice = single.groupBy("g", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "u")
-    covered.append(single.join(twice, ["g", "u"]).select("uid", "place"))
+    twice = staged(single.groupBy("g", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "u"), "digit3-groups")
+    covered.append(maybe_in(single, ["g", "u"], twice).join(twice, ["g", "u"]).select("uid", "place"))
     p = F.shiftright("place", 20)
     ranges = reduce(DataFrame.union, covered).groupBy("uid").agg(F.collect_list(F.struct(
         (p - F.col("place").bitwiseAND(1023)).alias("start"),
