@@ -16,13 +16,21 @@ from floatline.session import ensure_checkpoint_dir, parallelism
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver found it:
-    its sources go to the executors once per context, as ``--py-files`` would."""
+    its sources go to the executors once per context, as ``--py-files`` would.
+
+    Also bounds the batches that travel to them: whole texts make the default
+    10,000 rows tens of MB, held several times over beside the executor's heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_floatline_shipped", False):
         return
