@@ -79,6 +79,21 @@ def test_documents_round_trip(spark):
     check_places([{**r.asDict(), "size": r["length"]} for r in got], 2048)
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>", " \n<|endoftext|>\t ", "<|endoftext|",
+                                  "a" + " " * 1_000_000 + "b <|endoftext|> c", "x" + "\n\u00a0" * 150_000])
+def test_added_token_and_long_white_space(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_added_token_in_documents(spark):
+    r, = packing.pack_documents(frame(spark, [(1, "hello <|endoftext|> world")])).collect()
+    ids = np.array([31373, 220, 50256, 995, 0], "<u4")
+    assert (r["length"], r["ids_crc32"]) == (5, zlib.crc32(ids))
+
+
 def test_sequences_hold_the_documents(spark):
     docs = frame(spark, [(i, "some words here " * (i * 37 % 400)) for i in range(60)])
     packed = packing.pack_documents(docs)
