@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,15 @@ BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver found it:
     its sources go to the executors once per context, as ``--py-files`` would.
+    Spark notes the shipped files when a Python function is put into a plan, so
+    every public operator calls this first.
 
     Also bounds the batches that travel to them: whole texts make the default
     10,000 rows tens of MB, held several times over beside the executor's heap."""
@@ -70,6 +76,7 @@ def text_key(text: Column) -> Column:
 
 def text_input(docs: DataFrame) -> DataFrame:
     """(doc_id long, text) of any document table; other columns are ignored."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -112,3 +119,50 @@ def maybe_in(df: DataFrame, on: str | list[str], wanted: DataFrame) -> DataFrame
     byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position("_h") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), F.bitmap_bit_position("_h") % 8).cast("int")) != 0
     return probe.join(F.broadcast(bits), "_bucket").where(hit).select(*df.columns)
+
+
+VECTOR_LAYOUT = "slice int, shard long, vec binary"
+
+
+def _fold(dtype: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for pdf in batches:
+            for part, shard, vec in zip(pdf["slice"], pdf["into"], pdf["vec"]):
+                if key != (part, shard):
+                    if key is not None:
+                        yield pd.DataFrame({"slice": [key[0]], "shard": [key[1]], "vec": [total.tobytes()]})
+                    key, total = (part, shard), np.frombuffer(vec, dtype).copy()
+                else:
+                    total += np.frombuffer(vec, dtype)
+        if key is not None:
+            yield pd.DataFrame({"slice": [key[0]], "shard": [key[1]], "vec": [total.tobytes()]})
+    return run
+
+
+def tree_sum(parts: DataFrame, dtype: str, fan: int = 16) -> DataFrame:
+    """Dense vectors (slice, shard, vec) added up slice by slice in two levels:
+    first into ``fan`` sums a slice, then into one.  A task holds one slice at a
+    time and adds shards in their order, so equal input gives equal floats."""
+    ship_package(parts.sparkSession)
+    for into in (F.col("shard") % fan, F.lit(0).cast("long")):
+        parts = (parts.withColumn("into", into).repartition("slice", "into")
+                 .sortWithinPartitions("slice", "into", "shard").mapInPandas(_fold(dtype), VECTOR_LAYOUT))
+    return parts.select("slice", "vec")
+
+
+def gathered(sums: DataFrame, size: int, step: int, dtype: str) -> np.ndarray:
+    """The whole vector of ``size`` entries on the driver; its size is fixed by a model's parameters."""
+    out = np.zeros(size, dtype)
+    rows = sums.toPandas()
+    for part, vec in zip(rows["slice"], rows["vec"]):
+        out[part * step:part * step + len(vec) // out.itemsize] = np.frombuffer(vec, dtype)
+    return out
+
+
+def slices(shard: int, vec: np.ndarray, step: int) -> Iterator[pd.DataFrame]:
+    """Rows of ``tree_sum``'s input for one dense vector, empty slices left out."""
+    for at in range(0, len(vec), step):
+        part = vec[at:at + step]
+        if part.any():
+            yield pd.DataFrame({"slice": [at // step], "shard": [shard], "vec": [part.tobytes()]})

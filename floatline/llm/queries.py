@@ -11,6 +11,7 @@ from floatline.llm.nearest import op7_hilbert_neighbours
 from floatline.llm.packing import op6_best_fit_packing
 from floatline.llm.passages import op9_fuzzy_passages
 from floatline.llm.suffix_dedup import op3_suffix_dedup
+from floatline.llm.token_alignment import op13_token_alignment
 from floatline.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_zip_warc": op8_zip_warc,
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {"op5_exact_dedup": OP5_SQL, "op8_zip_warc": OP8_SQL}
