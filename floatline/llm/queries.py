@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from floatline.llm.archive import OP8_SQL, op8_zip_warc
+from floatline.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from floatline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from floatline.llm.jaccard_join import op10_jaccard_join
 from floatline.llm.language_id import op4_language_id
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_zip_warc": op8_zip_warc,
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLE = {"op5_exact_dedup": OP5_SQL, "op8_zip_warc": OP8_SQL}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op8_zip_warc": OP8_SQL, "op11_conversation_repair": OP11_SQL}
