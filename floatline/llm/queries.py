@@ -7,6 +7,7 @@ from floatline.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from floatline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from floatline.llm.jaccard_join import op10_jaccard_join
 from floatline.llm.language_id import op4_language_id
+from floatline.llm.maxent_scoring import op12_maxent_scoring
 from floatline.llm.mixing import op1_mix_sources
 from floatline.llm.nearest import op7_hilbert_neighbours
 from floatline.llm.packing import op6_best_fit_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_maxent_scoring": op12_maxent_scoring,
     "op13_token_alignment": op13_token_alignment,
 }
 
