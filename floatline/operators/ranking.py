@@ -7,10 +7,10 @@ rows costs one row per task in the exchange, not a third of the data in one
 task.
 
 ``assign_ids`` numbers rows in a global order without a single-partition
-window: a range-partitioned sort is checkpointed (fixing the partitions, and
-cutting lineage so a lost executor recomputes nothing upstream), each row
-takes its index inside its partition, and per-partition offsets come from a
-table with one row per partition.
+window: rows are sorted by range and written with their partition and their
+index inside it (which fixes both, and cuts lineage so a lost executor
+recomputes nothing upstream); per-partition offsets come from a table with one
+row per partition.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floatline.session import ensure_checkpoint_dir
+from floatline.session import materialize
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,12 +33,9 @@ def assign_ids(df: DataFrame, order: list[Column], start, id_col: str = "id") ->
 
     ``start`` is the current maximum id (see ``max_id``).  Order must be total.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranked = df.orderBy(*order).checkpoint(eager=True)
     part = F.spark_partition_id()
     local = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
-    numbered = ranked.withColumn("_pid", part).withColumn("_local", local)
+    numbered = materialize(df.orderBy(*order).withColumn("_pid", part).withColumn("_local", local))
     # One row per partition: bounded by the partition count, safe to broadcast.
     sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(

@@ -359,7 +359,7 @@ NASDAQ = f"""nq as (
   select *, row_number() over (partition by month, page, section order by row_key) - 1 as pos,
     case section when 'priced' then 0 when 'upcoming' then 1 when 'filed' then 2 end as section_rank
   from nasdaq_rows
-  where month between strftime(cast(date_trunc('month', {AS_OF_SQL}) - interval 1 month as date), '%Y-%m')
+  where not (cast(substring(month, 6, 2) as integer) + page * 3) % 5 = 1 and month between strftime(cast(date_trunc('month', {AS_OF_SQL}) - interval 1 month as date), '%Y-%m')
     and strftime(cast(date_trunc('month', {AS_OF_SQL}) + interval 2 month as date), '%Y-%m')),
 nq1 as ({top1("(select * from nq where section <> 'withdrawn')", "coalesce(dealID, '')", 'month, section_rank, page, pos')[1:-1]}),
 nasdaq_c as (
@@ -370,7 +370,7 @@ nasdaq_c as (
     nullif(dateText, '') as raw_date_text
   from nq1)"""
 
-NYSE = f"""ny as (select *, row_number() over (partition by page order by row_key) - 1 as pos from nyse_rows),
+NYSE = f"""ny as (select *, row_number() over (partition by page order by row_key) - 1 as pos from nyse_rows where page % 3 <> 1),
 nyse_c as (
   select 1 as source_rank, lpad(cast(page as varchar), 19, '0') || '/' || lpad(cast(pos as varchar), 19, '0') as ord, {strip("coalesce(issuer_nm, '')")} as company_name,
     {blank_null('symbol')} as ticker, {blank_null('custom_group_exchange_nm')} as exchange,
@@ -378,15 +378,19 @@ nyse_c as (
     cast(coalesce({epoch_to_date('price_dt')}, {epoch_to_date('init_file_dt')}) as varchar) as raw_date_text
   from ny where deal_status_flg is distinct from 'W')"""
 
+# The landed submissions documents that cannot be read (sources/landing.py).
+UNREADABLE_SUBMISSION = "((try_cast(cik as bigint) * 7 + page * 3) % 61 = 5)"
+
 SUBMISSIONS = f"""sr as (
   select *, row_number() over (partition by cik, page order by row_key) - 1 as pos,
     row_number() over (partition by cik, page order by row_key desc) as _rev
   from sec_filing_rows),
+unread as (select distinct cik, page from sec_filing_rows where {UNREADABLE_SUBMISSION}),
 target as (
   select {normalize_cik('cik')} as cik10, page, pos, accession_no, form as form_type, filingDate as filing_date,
     case when page % 5 = 0 and _rev = 1 then null else nullif(primaryDocument, '') end as primary_doc,
     cik as doc_cik
-  from sr where form in {inlist(TARGET_FORMS)}),
+  from sr where form in {inlist(TARGET_FORMS)} and not {UNREADABLE_SUBMISSION}),
 target2 as (
   select cik10, page, pos, accession_no, form_type, filing_date, primary_doc,
     {primary_url('doc_cik', 'accession_no', 'primary_doc')} as primary_doc_url,
@@ -599,13 +603,24 @@ select issuer_id, old_status, new_status, old_status is distinct from new_status
     q["status_transition_incremental"] = q["status_transition"]
     q["sync_failures"] = W(SYNC) + f"""
 select issuer_id, cik10, case when cik10 is null then 'invalid_cik' else 'no_document' end as reason from keyed k
-where k.cik10 is null or k.cik10 not in (select distinct {normalize_cik('cik')} from sec_filing_rows)"""
+where k.cik10 is null or k.cik10 not in (select distinct {normalize_cik('cik')} from sec_filing_rows)
+union all
+select distinct k.issuer_id, k.cik10, 'unreadable_document' from keyed k
+join (select {normalize_cik('cik')} as cik10 from unread) u on u.cik10 = k.cik10"""
+    q["sync_quarantine"] = W(SYNC) + f"""
+select 'submissions' as source, {normalize_cik('cik')} || '/' || cast(page as varchar) as document, 'unreadable_document' as reason from unread"""
+    q["calendar_quarantine"] = W() + """
+select distinct 'nasdaq' as source, month || '/' || cast(page as varchar) as document, 'unreadable_document' as reason
+from nasdaq_rows where (cast(substring(month, 6, 2) as integer) + page * 3) % 5 = 1
+union all
+select distinct 'nyse', cast(page as varchar), 'unreadable_document' from nyse_rows where page % 3 = 1"""
     q["sync_stats"] = W(SYNC) + f"""
 select (select count(*) from fx_issuers where cik is not null) as issuer_count,
   (select count(*) from new_rows) as filings_inserted,
   (select count(*) from valid) - (select count(*) from new_rows) as filings_skipped,
   (select count(*) from keyed k where k.cik10 is null
-     or k.cik10 not in (select distinct {normalize_cik('cik')} from sec_filing_rows)) as filings_failed"""
+     or k.cik10 not in (select distinct {normalize_cik('cik')} from sec_filing_rows)
+     or k.cik10 in (select {normalize_cik('cik')} from unread)) as filings_failed"""
 
     # Parse jobs
     q["parse_worklist"] = W(worklist(False, None)) + """

@@ -234,6 +234,13 @@ def q_nyse_candidates(spark, sf_dir):
     return CAL.nyse_candidates(_nyse_docs(_fx(spark, sf_dir)))
 
 
+def q_calendar_quarantine(spark, sf_dir):
+    """The calendar pages set apart because they cannot be read."""
+    fx = _fx(spark, sf_dir)
+    pages = CAL.unreadable_nasdaq(_nasdaq_docs(fx)).unionByName(CAL.unreadable_nyse(_nyse_docs(fx)))
+    return pages.select("source", "document", "reason")
+
+
 def q_candidates_union(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return C.union_sources(CAL.nasdaq_candidates(_nasdaq_docs(fx), _as_of()),
@@ -376,6 +383,11 @@ def q_sync_failures(spark, sf_dir):
     return _sync(spark, sf_dir).tables["failures"]
 
 
+def q_sync_quarantine(spark, sf_dir):
+    """The submissions documents set apart because they cannot be read."""
+    return _sync(spark, sf_dir).tables["quarantine"].select("source", "document", "reason")
+
+
 def q_sync_stats(spark, sf_dir):
     return _sync(spark, sf_dir).stats
 

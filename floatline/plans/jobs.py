@@ -66,12 +66,12 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
     """Landed submissions -> new filings (idempotent) + status changes.
 
     The documents are parsed once into the found filings, which are written.
-    Issuers with a CIK but no landed document, or a CIK that is not an
-    integer, count as failed (the fetch would fail); ``failures`` lists them
-    with the reason."""
+    Issuers with a CIK but no landed document, one that cannot be read, or a
+    CIK that is not an integer, count as failed; ``failures`` lists them with
+    the reason, ``quarantine`` the unreadable documents.  A failure is the
+    document's own: an issuer's readable documents are used."""
     with_cik = issuers.where(F.col("cik").isNotNull())
     found, failed = sec.issuer_filings(with_cik, submissions)
-    found = materialize(found)
     new, counts = FL.new_filings(found, filings)
 
     @cache
@@ -88,7 +88,8 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
     return JobResult(LazyTables({"filings": lambda: filings.unionByName(numbered(), allowMissingColumns=True),
                                  "new_filings": numbered,
                                  "issuers": lambda: FL.apply_status(issuers, transitions),
-                                 "transitions": transitions, "failures": failed}), stats())
+                                 "transitions": transitions, "failures": failed,
+                                 "quarantine": lambda: sec.unreadable_submissions(submissions)}), stats())
 
 
 # ── J3 / J4 shared text ───────────────────────────────────────────────────────

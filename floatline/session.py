@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -83,10 +84,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def materialize(df):
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     Used at the job boundaries whose output feeds several consumers (the
-    worklist, the parsed fields): each is computed once, and a lost executor
-    later recomputes nothing upstream of it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    worklist, the parsed fields): each is computed once, a lost executor later
+    recomputes nothing upstream of it, and a consumer reads its columns only."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

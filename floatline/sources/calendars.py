@@ -6,14 +6,13 @@ with a declared schema, rows come out with ``posexplode`` (map-only).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floatline.functions.scalars import blank_to_null, epoch_ms_to_date, py_strip
 from floatline.operators.ranking import first_per_key
+from floatline.sources.payloads import parsed, quarantine
 
 # FIXED VALUES: source pages credited on each candidate.
 NASDAQ_SOURCE_URL = "https://www.nasdaq.com/market-activity/ipos"
@@ -43,20 +42,29 @@ def month_window(as_of: Column, lookback: int = 1, lookahead: int = 2) -> tuple[
 
 
 def nasdaq_rows(docs: DataFrame, as_of: Column, lookback: int = 1, lookahead: int = 2) -> DataFrame:
-    """All calendar rows of the months in the window, with their read order."""
+    """All calendar rows of the months in the window, with their read order.
+    A page is parsed once; an unreadable page has no rows."""
     lo, hi = month_window(as_of, lookback, lookahead)
-    parsed = docs.where(F.col("month").between(lo, hi)).select(
-        "month", "page", F.from_json("json", NASDAQ_SCHEMA).alias("d"))
     paths = {"priced": "d.data.priced.rows", "upcoming": "d.data.upcoming.upcomingTable.rows",
              "filed": "d.data.filed.rows"}
-    parts = []
-    for rank, (section, date_key) in enumerate(NASDAQ_SECTIONS):
-        parts.append(parsed.select(
-            "month", "page", F.lit(rank).alias("section_rank"),
-            F.posexplode(F.col(paths[section])).alias("pos", "r"))
-            .select("month", "page", "section_rank", "pos", "r.*",
-                    F.col(f"r.{date_key}").alias("raw_date_text")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    sections = F.array(*[F.struct(F.lit(rank).alias("section_rank"), F.col(paths[section]).alias("rows"))
+                         for rank, (section, _) in enumerate(NASDAQ_SECTIONS)])
+    pages = parsed(docs.where(F.col("month").between(lo, hi)), NASDAQ_SCHEMA, "month", "page")
+    rows = (pages.select("month", "page", F.explode(sections).alias("s"))
+            .select("month", "page", "s.section_rank", F.posexplode("s.rows").alias("pos", "r")))
+    date = None
+    for rank, (_, date_key) in enumerate(NASDAQ_SECTIONS):
+        date = (F.when if date is None else date.when)(F.col("section_rank") == rank, F.col(f"r.{date_key}"))
+    return rows.select("month", "page", "section_rank", "pos", "r.*", date.alias("raw_date_text"))
+
+
+def unreadable_nasdaq(docs: DataFrame) -> DataFrame:
+    """The calendar pages that cannot be read, as they landed."""
+    return quarantine(docs, NASDAQ_SCHEMA, "nasdaq", "month", "page")
+
+
+def unreadable_nyse(docs: DataFrame) -> DataFrame:
+    return quarantine(docs, NYSE_SCHEMA, "nyse", "page")
 
 
 def _place(c: str) -> Column:
@@ -84,7 +92,7 @@ def nasdaq_candidates(docs: DataFrame, as_of: Column, lookback: int = 1, lookahe
 def nyse_candidates(docs: DataFrame) -> DataFrame:
     """Every non-withdrawn row; date = pricing date, else first filing
     date (epoch ms, placeholders read as missing)."""
-    rows = docs.select("page", F.posexplode(F.from_json("json", NYSE_SCHEMA)["calendarList"]).alias("pos", "r"))
+    rows = parsed(docs, NYSE_SCHEMA, "page").select("page", F.posexplode("d.calendarList").alias("pos", "r"))
     kept = rows.where(~F.col("r.deal_status_flg").eqNullSafe("W"))
     date = F.coalesce(epoch_ms_to_date(F.col("r.price_dt")), epoch_ms_to_date(F.col("r.init_file_dt")))
     return kept.select(

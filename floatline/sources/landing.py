@@ -3,7 +3,8 @@
 A payload groups rows under a key (calendar month, CIK, ...).  Documents are
 built per (key, page) with ``page`` derived from a row id, so one document
 never holds more than a page of rows however hot the key: the largest group
-collected is bounded by the page size, not by the data.
+collected is bounded by the page size, not by the data.  Some documents land
+unreadable, in six ways.
 """
 
 from __future__ import annotations
@@ -32,6 +33,31 @@ def ordered_list(value: Column, order: Column, where: Column | None = None) -> C
     return F.transform(F.sort_array(F.collect_list(item)), lambda s: s["v"])
 
 
+def _broken(json: Column, kind: Column) -> Column:
+    """A payload that went wrong on its way: cut off, empty, null, a list, an
+    error page, or with something behind it."""
+    half = F.substring(json, F.lit(1), (F.length(json) / 2).cast("int"))
+    kinds = [half, F.lit(""), F.lit("null"), F.concat(F.lit("["), json, F.lit("]")),
+             F.lit("<html><body>503 Service Unavailable</body></html>"), F.concat(json, F.lit(" {}"))]
+    out = F.when(kind == 0, kinds[0])
+    for k, text in enumerate(kinds[1:], start=1):
+        out = out.when(kind == k, text)
+    return out
+
+
+# Which landed documents are unreadable (the same rules in SQL are in oracle.py).
+def _nasdaq_broken() -> Column:
+    return (F.substring("month", 6, 2).cast("int") + F.col("page") * 3) % 5 == 1
+
+
+def _nyse_broken() -> Column:
+    return F.col("page") % 3 == 1
+
+
+def _submissions_broken() -> Column:
+    return (F.col("cik").cast("long") * 7 + F.col("page") * 3) % 61 == 5
+
+
 def land_nasdaq(rows: DataFrame) -> DataFrame:
     """(month, page, json): ``{"data": {priced, upcoming.upcomingTable, filed,
     withdrawn}}`` with calendar rows; absent fields are left out."""
@@ -52,7 +78,8 @@ def land_nasdaq(rows: DataFrame) -> DataFrame:
         .alias("upcoming"),
         F.struct(section("filed", "filedDate").alias("rows")).alias("filed"),
         F.struct(section("withdrawn", "withdrawnDate").alias("rows")).alias("withdrawn"))
-    return docs.select("month", "page", F.to_json(F.struct(data.alias("data"))).alias("json"))
+    json = F.to_json(F.struct(data.alias("data")))
+    return docs.select("month", "page", F.when(_nasdaq_broken(), _broken(json, F.col("page") % 6)).otherwise(json).alias("json"))
 
 
 def land_nyse(rows: DataFrame) -> DataFrame:
@@ -60,7 +87,8 @@ def land_nyse(rows: DataFrame) -> DataFrame:
     item = F.struct("issuer_nm", "symbol", "custom_group_exchange_nm", "deal_status_flg",
                     "price_dt", "init_file_dt")
     docs = _by(rows, "page").groupBy("page").agg(ordered_list(item, F.col("row_key")).alias("calendarList"))
-    return docs.select("page", F.to_json(F.struct("calendarList")).alias("json"))
+    json = F.to_json(F.struct("calendarList"))
+    return docs.select("page", F.when(_nyse_broken(), _broken(json, F.col("page") % 6)).otherwise(json).alias("json"))
 
 
 def land_submissions(rows: DataFrame) -> DataFrame:
@@ -77,7 +105,9 @@ def land_submissions(rows: DataFrame) -> DataFrame:
     recent = F.struct(col("accession_no").alias("accessionNumber"), col("form").alias("form"),
                       col("filingDate").alias("filingDate"), primary.alias("primaryDocument"))
     payload = F.struct(F.col("cik"), F.struct(recent.alias("recent")).alias("filings"))
-    return docs.select(normalize_cik("cik").alias("cik10"), "page", F.to_json(payload).alias("json"))
+    json = F.to_json(payload)
+    return docs.select(normalize_cik("cik").alias("cik10"), "page",
+                       F.when(_submissions_broken(), _broken(json, F.col("cik").cast("long") % 6)).otherwise(json).alias("json"))
 
 
 COMPANY_FIELDS = ["cik", "name", "ticker", "exchange"]

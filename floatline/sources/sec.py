@@ -16,6 +16,7 @@ from floatline.functions.scalars import (filing_index_url, filing_primary_doc_ur
 from floatline.operators.filings import TARGET_FORMS
 from floatline.operators.ranking import first_per_key
 from floatline.session import materialize
+from floatline.sources.payloads import UNREADABLE, parsed, quarantine
 
 _SA = T.ArrayType(T.StringType())
 SUBMISSIONS_SCHEMA = T.StructType([
@@ -27,37 +28,53 @@ COMPANY_LIST_SCHEMA = T.StructType([
     T.StructField("fields", _SA), T.StructField("data", T.ArrayType(_SA))])
 
 
-def submission_rows(docs: DataFrame) -> DataFrame:
-    """S3 (parse): cik10, page, pos and the filing fields of every listed
-    filing of a target form, with URLs.  Short arrays pad with null."""
-    d = docs.select("cik10", "page", F.from_json("json", SUBMISSIONS_SCHEMA).alias("d"))
+def _listed_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``submission_rows``, and one row with ``unreadable`` set for
+    every document that cannot be read."""
     r = "d.filings.recent"
-    z = d.select("cik10", "page", F.coalesce(F.col("d.cik"), F.lit("0")).alias("doc_cik"),
-                 F.posexplode(F.arrays_zip(
-                     F.col(f"{r}.accessionNumber").alias("accession_no"),
-                     F.col(f"{r}.form").alias("form_type"),
-                     F.col(f"{r}.filingDate").alias("filing_date"),
-                     F.col(f"{r}.primaryDocument").alias("primary_doc"))).alias("pos", "z"))
-    rows = z.where(F.col("z.form_type").isin(*TARGET_FORMS))
+    z = parsed(docs, SUBMISSIONS_SCHEMA, "cik10", "page").select(
+        "cik10", "page", "unreadable", F.coalesce(F.col("d.cik"), F.lit("0")).alias("doc_cik"),
+        F.posexplode_outer(F.arrays_zip(
+            F.col(f"{r}.accessionNumber").alias("accession_no"),
+            F.col(f"{r}.form").alias("form_type"),
+            F.col(f"{r}.filingDate").alias("filing_date"),
+            F.col(f"{r}.primaryDocument").alias("primary_doc"))).alias("pos", "z"))
+    rows = z.where(F.col("unreadable") | F.col("z.form_type").isin(*TARGET_FORMS))
     doc = F.nullif(F.col("z.primary_doc"), F.lit(""))
     return rows.select(
         "cik10", "page", F.col("pos").cast("long").alias("pos"), F.col("z.accession_no").alias("accession_no"),
         F.col("z.form_type").alias("form_type"), F.col("z.filing_date").alias("filing_date"),
         doc.alias("primary_doc"),
         filing_primary_doc_url(F.col("doc_cik"), F.col("z.accession_no"), doc).alias("primary_doc_url"),
-        filing_index_url(F.col("doc_cik"), F.col("z.accession_no")).alias("filing_index_url"))
+        filing_index_url(F.col("doc_cik"), F.col("z.accession_no")).alias("filing_index_url"), "unreadable")
+
+
+def submission_rows(docs: DataFrame) -> DataFrame:
+    """S3 (parse): cik10, page, pos and the filing fields of every listed
+    filing of a target form, with URLs.  Short arrays pad with null; an
+    unreadable document lists none."""
+    return _listed_rows(docs).where(~F.col("unreadable")).drop("unreadable")
+
+
+def unreadable_submissions(docs: DataFrame) -> DataFrame:
+    """The submissions documents that cannot be read, as they landed."""
+    return quarantine(docs, SUBMISSIONS_SCHEMA, "submissions", "cik10", "page")
 
 
 def issuer_filings(issuers: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3 (per issuer): filing rows of each issuer's landed documents, and
     the issuers that fail, with the ``reason``: ``invalid_cik`` (not an
-    integer) or ``no_document`` (none landed)."""
+    integer), ``no_document`` (none landed) or ``unreadable_document``.
+
+    Documents are parsed once; the rows of both outputs are written."""
     keyed = issuers.select(F.col("id").alias("issuer_id"), normalize_cik("cik").alias("cik10"))
+    rows = materialize(_listed_rows(docs).join(keyed.where(F.col("cik10").isNotNull()), "cik10"))
+    broken = rows.where("unreadable").select("issuer_id", "cik10").distinct()
     landed = docs.select("cik10").distinct()
     reason = F.when(F.col("cik10").isNull(), F.lit("invalid_cik")).otherwise(F.lit("no_document"))
     failed = keyed.join(landed, "cik10", "left_anti").select("issuer_id", "cik10", reason.alias("reason"))
-    found = submission_rows(docs).join(keyed.where(F.col("cik10").isNotNull()), "cik10")
-    return found, failed
+    return (rows.where(~F.col("unreadable")).drop("unreadable"),
+            failed.unionByName(broken.withColumn("reason", F.lit(UNREADABLE))))
 
 
 def _grams(col, n: int):
@@ -113,7 +130,7 @@ def search_companies(companies: DataFrame, queries: DataFrame, max_results: int
 
 def company_list_rows(docs: DataFrame) -> DataFrame:
     """S4 (parse): page, pos and the named fields of each company row."""
-    d = docs.select("page", F.from_json("json", COMPANY_LIST_SCHEMA).alias("d"))
+    d = parsed(docs, COMPANY_LIST_SCHEMA, "page")
     e = d.select("page", F.col("d.fields").alias("fields"), F.posexplode("d.data").alias("pos", "row"))
     n = F.least(F.size("fields"), F.size("row"))
     m = F.map_from_arrays(F.slice("fields", 1, n), F.slice("row", 1, n))

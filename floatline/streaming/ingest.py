@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floatline.operators.filings import apply_status, derive_status, new_filings, number_filings
-from floatline.session import materialize
 from floatline.sources import sec
 
 LANDED_SCHEMA = T.StructType([
@@ -49,7 +48,6 @@ def ingest_filings(spark: SparkSession, landing_dir: str, filings_dir: str, chec
     def batch(docs: DataFrame, batch_id: int) -> None:
         table = spark.read.parquet(filings_dir)
         found, _failed = sec.issuer_filings(issuers.where("cik is not null"), docs)
-        found = materialize(found)
         # Only the batch's issuers can hold its keys.
         stored = table.join(found.select("issuer_id").distinct(), "issuer_id", "left_semi")
         new, _counts = new_filings(found, stored)
