@@ -70,9 +70,9 @@ def new_filings(found: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFr
     return new, counts
 
 
-def number_filings(new: DataFrame, filings: DataFrame) -> DataFrame:
-    """D5 (insert): new rows numbered after the stored max id, in job order."""
-    return assign_ids(new, _sync_order(), max_id(filings)).select(
+def number_filings(new: DataFrame, start: int) -> DataFrame:
+    """D5 (insert): new rows numbered after ``start``, the highest id so far, in job order."""
+    return assign_ids(new, _sync_order(), start).select(
         "id", "issuer_id", "accession_no", "form_type",
         F.col("filing_date").try_cast("date").alias("filing_date"),
         "primary_doc_url", "filing_index_url", F.lit(False).alias("is_parsed"))
@@ -81,7 +81,7 @@ def number_filings(new: DataFrame, filings: DataFrame) -> DataFrame:
 def sync_filings(found: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new filing rows with ids, per-issuer counts)."""
     new, counts = new_filings(found, filings)
-    return number_filings(new, filings), counts
+    return number_filings(new, max_id(filings)), counts
 
 
 def derive_status(found: DataFrame, issuers: DataFrame) -> DataFrame:

@@ -607,6 +607,9 @@ where k.cik10 is null or k.cik10 not in (select distinct {normalize_cik('cik')}
 union all
 select distinct k.issuer_id, k.cik10, 'unreadable_document' from keyed k
 join (select {normalize_cik('cik')} as cik10 from unread) u on u.cik10 = k.cik10"""
+    q["sync_failures_incremental"] = W(SYNC) + f"""
+select k.issuer_id, k.cik10, u.page, 'unreadable_document' as reason from keyed k
+join (select {normalize_cik('cik')} as cik10, page from unread) u on u.cik10 = k.cik10"""
     q["sync_quarantine"] = W(SYNC) + f"""
 select 'submissions' as source, {normalize_cik('cik')} || '/' || cast(page as varchar) as document, 'unreadable_document' as reason from unread"""
     q["calendar_quarantine"] = W() + """

@@ -21,7 +21,7 @@ from floatline.operators.constraints import constraint_violations
 from floatline.operators.partitioning import spread_small
 from floatline.plans import jobs as J
 from floatline.plans import reports as R
-from floatline.session import apply_job_conf
+from floatline.session import apply_job_conf, parallelism
 from floatline.sources import calendars as CAL
 from floatline.sources import landing as L
 from floatline.sources import sec
@@ -355,7 +355,8 @@ def _ingest(spark, sf_dir):
     n_files = max(4, docs.count() // LANDED_DOCS_PER_FILE)
     docs.repartition(n_files, "cik10", "page").write.parquet(f"{root}/landing")
     ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/_checkpoint", fx["fx_issuers"],
-                   files_per_batch=-(-n_files // 4), transitions_dir=f"{root}/transitions")
+                   files_per_batch=-(-n_files // 4), transitions_dir=f"{root}/transitions", failures_dir=f"{root}/failures",
+                   state_partitions=parallelism(spark))
     return fx, stored, root
 
 
@@ -375,6 +376,12 @@ def q_status_transition_incremental(spark, sf_dir):
                                              (~F.col("old_status").eqNullSafe(F.col("new_status"))).alias("changed"))
 
 
+def q_sync_failures_incremental(spark, sf_dir):
+    """The unreadable documents that the micro-batches met."""
+    _, _, root = _ingest(spark, sf_dir)
+    return spark.read.parquet(f"{root}/failures").select("issuer_id", "cik10", F.col("page").cast("long").alias("page"), "reason")
+
+
 def q_status_transition(spark, sf_dir):
     return _sync(spark, sf_dir).tables["transitions"]
 

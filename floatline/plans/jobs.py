@@ -18,6 +18,7 @@ from floatline.functions.text import html_to_text
 from floatline.operators import candidates as C
 from floatline.operators import filings as FL
 from floatline.operators import upserts as U
+from floatline.operators.ranking import max_id
 from floatline.plans import reports as R
 from floatline.session import materialize
 from floatline.sources import sec
@@ -76,7 +77,7 @@ def sync_sec_filings(issuers: DataFrame, filings: DataFrame, submissions: DataFr
 
     @cache
     def numbered() -> DataFrame:
-        return FL.number_filings(new, filings)
+        return FL.number_filings(new, max_id(filings))
 
     def stats() -> DataFrame:
         return (with_cik.agg(F.count(F.lit(1)).alias("issuer_count"))

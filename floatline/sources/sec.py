@@ -28,7 +28,7 @@ COMPANY_LIST_SCHEMA = T.StructType([
     T.StructField("fields", _SA), T.StructField("data", T.ArrayType(_SA))])
 
 
-def _listed_rows(docs: DataFrame) -> DataFrame:
+def listed_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``submission_rows``, and one row with ``unreadable`` set for
     every document that cannot be read."""
     r = "d.filings.recent"
@@ -53,7 +53,7 @@ def submission_rows(docs: DataFrame) -> DataFrame:
     """S3 (parse): cik10, page, pos and the filing fields of every listed
     filing of a target form, with URLs.  Short arrays pad with null; an
     unreadable document lists none."""
-    return _listed_rows(docs).where(~F.col("unreadable")).drop("unreadable")
+    return listed_rows(docs).where(~F.col("unreadable")).drop("unreadable")
 
 
 def unreadable_submissions(docs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def issuer_filings(issuers: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
 
     Documents are parsed once; the rows of both outputs are written."""
     keyed = issuers.select(F.col("id").alias("issuer_id"), normalize_cik("cik").alias("cik10"))
-    rows = materialize(_listed_rows(docs).join(keyed.where(F.col("cik10").isNotNull()), "cik10"))
+    rows = materialize(listed_rows(docs).join(keyed.where(F.col("cik10").isNotNull()), "cik10"))
     broken = rows.where("unreadable").select("issuer_id", "cik10").distinct()
     landed = docs.select("cik10").distinct()
     reason = F.when(F.col("cik10").isNull(), F.lit("invalid_cik")).otherwise(F.lit("no_document"))

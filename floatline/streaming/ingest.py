@@ -1,63 +1,194 @@
-"""Incremental filing ingest with Structured Streaming.
-
-New landed submissions files are read with ``readStream`` and each
-micro-batch runs the same D5 operator as the batch sync against the current
-filings table, appending only unseen keys.  Re-running a batch (after a
-failure) appends nothing twice: the anti join against the table already
-holds the rows of the first attempt.  ``trigger(availableNow=True)``
-processes what has landed and stops, so the daily run is a bounded job with
-a checkpointed file log.
+"""Incremental filing ingest with Structured Streaming and keyed state.
+
+New landed submissions files are read with ``readStream``, parsed (S3) and
+grouped by CIK.  What the sync has to know about an issuer lives in the
+stream's state: its id, its status, and one entry per stored filing key.  The
+tables are read once, as the state's first content; from then on a batch reads
+the files that landed and the state entries of their issuers, however large
+the tables have grown.  The state survives restarts with the checkpoint.
+
+A batch's outcome (new filings, status changes, unreadable documents) is
+written to a folder of its own before anything else is done with it, and ids
+go on from the end noted by the batches before.  A batch that runs again after
+a failure overwrites its folders, and looks once at the table for the rows its
+first attempt may have appended.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from floatline.operators.filings import apply_status, derive_status, new_filings, number_filings
+from floatline.functions.scalars import normalize_cik
+from floatline.operators.filings import FILING_FORMS, NO_DOWNGRADE, apply_status, number_filings
+from floatline.operators.ranking import max_id
 from floatline.sources import sec
+from floatline.sources.payloads import UNREADABLE
 
 LANDED_SCHEMA = T.StructType([
     T.StructField("cik10", T.StringType()),
     T.StructField("page", T.LongType()),
     T.StructField("json", T.StringType()),
 ])
+OUTCOME = ("kind string, cik10 string, issuer_id long, page long, pos long, accession_no string, form_type string, "
+           "filing_date string, primary_doc_url string, filing_index_url string, old_status string, new_status string")
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _processor() -> StatefulProcessor:
+    """The state of one CIK and what a batch's rows do to it.
+
+    Defined in here, so that it travels to the workers by value and they need
+    no copy of this package."""
+    fields = [c.split()[0] for c in OUTCOME.split(", ")]
+    filing_forms, no_downgrade = set(FILING_FORMS), set(NO_DOWNGRADE)
+
+    def outcome(kind: str, **values) -> Row:
+        return Row(**{f: values.get(f) for f in fields} | {"kind": kind})
+
+    class FilingState(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.issuer = handle.getValueState("issuer", "issuer_id long, status string")
+            self.stored = handle.getMapState("stored", "accession_no string, form_type string", "stored boolean")
+
+        def handleInitialState(self, key, row, timers) -> None:
+            if row.accession_no is None:
+                self.issuer.update((row.issuer_id, row.status))
+            else:
+                self.stored.updateValue((row.accession_no, row.form_type), (True,))
+
+        def handleInputRows(self, key, rows, timers):
+            found = list(rows)
+            if not self.issuer.exists():
+                yield outcome("unknown_issuer", cik10=key[0])
+                return
+            issuer_id, status = self.issuer.get()
+            for page in sorted({r.page for r in found if r.unreadable}):
+                yield outcome("unreadable", cik10=key[0], issuer_id=issuer_id, page=page)
+            found = [r for r in found if not r.unreadable]
+            valid = [r for r in found if r.accession_no and r.form_type]
+            # latest date first, then the documents' order: of a key listed twice the first counts
+            valid.sort(key=lambda r: (r.page, r.pos))
+            valid.sort(key=lambda r: r.filing_date or "", reverse=True)
+            for r in valid:
+                if not self.stored.containsKey((r.accession_no, r.form_type)):
+                    self.stored.updateValue((r.accession_no, r.form_type), (True,))
+                    yield outcome("filing", cik10=key[0], issuer_id=issuer_id, page=r.page, pos=r.pos,
+                                  accession_no=r.accession_no, form_type=r.form_type, filing_date=r.filing_date,
+                                  primary_doc_url=r.primary_doc_url, filing_index_url=r.filing_index_url)
+            if found:
+                now = status or "candidate"
+                forms = {r.form_type for r in valid}
+                if "RW" in forms:
+                    now = "withdrawn"
+                elif now not in no_downgrade and now != "withdrawn" and forms & filing_forms:
+                    now = "filed"
+                yield outcome("status", cik10=key[0], issuer_id=issuer_id, old_status=status, new_status=now)
+                if now != status:
+                    self.issuer.update((issuer_id, now))
+
+        def close(self) -> None:
+            pass
 
+    return FilingState()
 
-def current_issuers(spark: SparkSession, issuers: DataFrame, transitions_dir: str, before: int | None = None) -> DataFrame:
-    """``issuers`` with the status that the batches (before ``before``) left."""
+
+def _first_state(issuers: DataFrame, filings: DataFrame) -> DataFrame:
+    """(cik10, issuer_id, status, accession_no, form_type): a row per issuer
+    with a CIK, without accession, and one per stored filing key."""
+    keyed = issuers.where("cik is not null").select(normalize_cik("cik").alias("cik10"), F.col("id").alias("issuer_id"), "status")
+    keyed = keyed.where("cik10 is not null")
+    keys = (filings.where("accession_no is not null and form_type is not null").select("issuer_id", "accession_no", "form_type")
+            .join(keyed, "issuer_id").select("cik10", "issuer_id", "status", "accession_no", "form_type"))
+    none = F.lit(None).cast("string")
+    return keyed.select("*", none.alias("accession_no"), none.alias("form_type")).unionByName(keys)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing written there yet
+        return None
+
+
+@contextmanager
+def _state_store(spark: SparkSession, partitions: int | None):
+    """Keyed state needs the RocksDB store, which keeps it on disk beside each task."""
+    wanted = {_PROVIDER: _ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        log = spark.read.parquet(transitions_dir)
-    except AnalysisException:  # no batch has written yet
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def current_issuers(spark: SparkSession, issuers: DataFrame, transitions_dir: str) -> DataFrame:
+    """``issuers`` with the status that the batches left."""
+    log = _read(spark, transitions_dir)
+    if log is None:
         return issuers
-    log = log if before is None else log.where(F.col("batch") < before)
     last = log.groupBy("issuer_id").agg(F.max_by("new_status", "batch").alias("new_status")).withColumn("changed", F.lit(True))
     return apply_status(issuers, last)
 
 
 def ingest_filings(spark: SparkSession, landing_dir: str, filings_dir: str, checkpoint_dir: str,
-                   issuers: DataFrame, files_per_batch: int = 1, transitions_dir: str | None = None) -> None:
+                   issuers: DataFrame, files_per_batch: int = 1, transitions_dir: str | None = None,
+                   failures_dir: str | None = None, state_partitions: int | None = None) -> None:
     """Process every landed submissions file not yet seen: append new filings
-    to the parquet table at ``filings_dir`` (which must exist), and, where
-    ``transitions_dir`` is given, write each batch's status changes (D8) there,
-    a folder per batch, derived from the status the batches before it left.
-    A batch that runs again replaces its folder."""
-
-    def batch(docs: DataFrame, batch_id: int) -> None:
-        table = spark.read.parquet(filings_dir)
-        found, _failed = sec.issuer_filings(issuers.where("cik is not null"), docs)
-        # Only the batch's issuers can hold its keys.
-        stored = table.join(found.select("issuer_id").distinct(), "issuer_id", "left_semi")
-        new, _counts = new_filings(found, stored)
+    (D5) to the parquet table at ``filings_dir`` (which must exist); write each
+    batch's status changes (D8) to ``transitions_dir`` and its failed documents
+    to ``failures_dir`` where given, a folder per batch.  ``trigger(availableNow)``
+    processes what has landed and stops.
+
+    ``issuers`` and the table are read by a checkpoint's first batch only.  A
+    document of a CIK unknown then is listed among the failures with the reason
+    ``unknown_issuer``; a new checkpoint takes new issuers up.  The state is
+    spread over ``state_partitions`` (by default the shuffle partitions) for as
+    long as the checkpoint lives; each costs a Python worker a batch."""
+    batches = f"{checkpoint_dir.rstrip('/')}-batches"
+
+    def batch(outcomes: DataFrame, batch_id: int) -> None:
+        again = _read(spark, f"{batches}/outcomes/batch={batch_id}") is not None
+        outcomes.write.mode("overwrite").parquet(f"{batches}/outcomes/batch={batch_id}")
+        done = spark.read.schema(outcomes.schema).parquet(f"{batches}/outcomes/batch={batch_id}")
         if transitions_dir:
-            now = current_issuers(spark, issuers, transitions_dir, batch_id).where("cik is not null")
-            derive_status(found, now).write.mode("overwrite").parquet(f"{transitions_dir}/batch={batch_id}")
-        number_filings(new, table).write.mode("append").parquet(filings_dir)
+            changed = (~F.col("old_status").eqNullSafe(F.col("new_status"))).alias("changed")
+            done.where("kind = 'status'").select("issuer_id", "old_status", "new_status", changed) \
+                .write.mode("overwrite").parquet(f"{transitions_dir}/batch={batch_id}")
+        if failures_dir:
+            reason = F.when(F.col("kind") == "unreadable", F.lit(UNREADABLE)).otherwise(F.col("kind"))
+            done.where("kind in ('unreadable', 'unknown_issuer')").select("issuer_id", "cik10", "page", reason.alias("reason")) \
+                .write.mode("overwrite").parquet(f"{failures_dir}/batch={batch_id}")
+        ends = _read(spark, f"{batches}/ends")
+        start = ends.where(F.col("batch") < batch_id).agg(F.max("last_id")).first()[0] if ends is not None else None
+        if start is None:
+            start = max_id(spark.read.parquet(filings_dir))
+            spark.createDataFrame([(start,)], "last_id long").write.mode("overwrite").parquet(f"{batches}/ends/batch=-1")
+        new = done.where("kind = 'filing'")
+        numbered = number_filings(new, start)
+        if again:
+            key = ["issuer_id", "accession_no", "form_type"]
+            numbered = numbered.join(spark.read.parquet(filings_dir).select(*key), key, "left_anti").select(*numbered.columns)
+        numbered.write.mode("append").parquet(filings_dir)
+        end = start + new.count()
+        spark.createDataFrame([(end,)], "last_id long").write.mode("overwrite").parquet(f"{batches}/ends/batch={batch_id}")
 
-    stream = (spark.readStream.schema(LANDED_SCHEMA)
+    landed = (spark.readStream.schema(LANDED_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch).parquet(landing_dir))
-    q = (stream.writeStream.foreachBatch(batch).trigger(availableNow=True)
-         .option("checkpointLocation", checkpoint_dir).start())
-    q.awaitTermination()
+    rows = sec.listed_rows(landed).drop("primary_doc")
+    with _state_store(spark, state_partitions):
+        outcomes = rows.groupBy("cik10").transformWithState(
+            _processor(), OUTCOME, "Append", "None",
+            initialState=_first_state(issuers, spark.read.parquet(filings_dir)).groupBy("cik10"))
+        q = (outcomes.writeStream.foreachBatch(batch).outputMode("append").trigger(availableNow=True)
+             .option("checkpointLocation", checkpoint_dir).start())
+        q.awaitTermination()

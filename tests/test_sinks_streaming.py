@@ -68,3 +68,62 @@ def test_report_csv_as_python_reads_it(spark, tmp_path):
         assert head == ["i", "n", "v", "b"]
         rows += body
     assert rows == [[str(i), n or "", "" if v is None else repr(v), str(i % 2 == 0)] for i, (n, v) in enumerate(zip(names, values))]
+
+
+def test_a_batch_reads_state_not_the_table(spark, tmp_path):
+    """With the stored rows gone from the table, the same checkpoint still
+    knows them: a batch looks at its own files and the state only."""
+    import json
+    root = str(tmp_path)
+
+    def land(name, *docs):
+        rows = [("%010d" % cik, page, json.dumps({"cik": str(cik), "filings": {"recent": {
+            "accessionNumber": [f[0] for f in filings], "form": [f[1] for f in filings],
+            "filingDate": [f[2] for f in filings], "primaryDocument": ["d.htm"] * len(filings)}}})[:None if filings else 9])
+                for cik, page, filings in docs]
+        spark.createDataFrame(rows, "cik10 string, page long, json string").coalesce(1).write.parquet(f"{root}/{name}")
+        for part in glob.glob(f"{root}/{name}/part-*"):
+            os.makedirs(f"{root}/landing", exist_ok=True)
+            os.rename(part, f"{root}/landing/{name}.parquet")
+
+    def run():
+        ingest_filings(spark, f"{root}/landing", f"{root}/{table}", f"{root}/ck", issuers,
+                       transitions_dir=f"{root}/transitions", failures_dir=f"{root}/failures")
+        return {tuple(r) for r in spark.read.parquet(f"{root}/{table}").select("id", "issuer_id", "accession_no", "form_type").collect()}
+
+    issuers = spark.createDataFrame([(1, "1", "priced"), (2, "2", None), (3, "x", None)], "id long, cik string, status string")
+    layout = "id long, issuer_id long, accession_no string, form_type string, filing_date date, primary_doc_url string, " \
+             "filing_index_url string, is_parsed boolean"
+    table = "filings"
+    spark.createDataFrame([(7, 1, "a", "S-1", None, None, None, False)], layout).write.parquet(f"{root}/filings")
+    land("one", (1, 0, [("a", "S-1", "2001-01-01"), ("b", "S-1", "2001-01-02"), ("b", "S-1", "2001-01-03"), ("", "S-1", "")]),
+         (2, 0, []), (9, 0, [("z", "S-1", "2001-01-01")]))
+    assert run() == {(7, 1, "a", "S-1"), (8, 1, "b", "S-1")}
+    assert [str(r[0]) for r in spark.read.parquet(f"{root}/filings").where("id = 8").select("filing_date").collect()] == ["2001-01-03"]
+    table = "emptied"
+    spark.createDataFrame([], layout).write.parquet(f"{root}/emptied")
+    land("two", (1, 1, [("a", "S-1", "2001-01-01"), ("b", "S-1", "2001-01-02"), ("c", "424B4", "2001-02-01")]))
+    land("three", (1, 2, [("c", "424B4", "2001-02-01"), ("d", "RW", "2001-03-01")]), (2, 1, [("e", "10-K", "2001-01-01"), ("f", "F-1", None)]))
+    assert run() == {(9, 1, "c", "424B4"), (10, 1, "d", "RW"), (11, 2, "f", "F-1")}
+    log = spark.read.parquet(f"{root}/transitions").orderBy("batch", "issuer_id").select("issuer_id", "old_status", "new_status", "changed")
+    assert [tuple(r) for r in log.collect()] == [(1, "priced", "priced", False), (1, "priced", "priced", False),
+                                                 (1, "priced", "withdrawn", True), (2, None, "filed", True)]
+    failed = {tuple(r) for r in spark.read.parquet(f"{root}/failures").select("issuer_id", "cik10", "reason").collect()}
+    assert failed == {(2, "0000000002", "unreadable_document"), (None, "0000000009", "unknown_issuer")}
+
+
+def test_a_batch_that_runs_again_appends_nothing_twice(spark, tmp_path):
+    """The files of a batch whose commit was lost are read again."""
+    fx = Fixtures(spark, SF001)
+    root = str(tmp_path)
+    stored = (fx["fx_filings"].where(F.col("filing_date") < F.lit(SYNC_STORED_BEFORE).cast("date"))
+              .withColumn("filing_index_url", F.lit(None).cast("string")).select(*FL.FILING_COLS))
+    stored.write.parquet(f"{root}/filings")
+    _submissions(fx).coalesce(1).write.parquet(f"{root}/landing")
+    ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/ck", fx["fx_issuers"])
+    after = {tuple(r) for r in spark.read.parquet(f"{root}/filings").collect()}
+    for commit in glob.glob(f"{root}/ck/commits/0") + glob.glob(f"{root}/ck/commits/.0.crc"):
+        os.remove(commit)
+    ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/ck", fx["fx_issuers"])
+    rows = [tuple(r) for r in spark.read.parquet(f"{root}/filings").collect()]
+    assert len(rows) == len(after) and set(rows) == after
