@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from floatline.functions import patterns as P
+from floatline.functions.literals import Gate
 from floatline.functions.scalars import PY_WS, col_of, parse_number, py_strip
 from floatline.functions.text import lockup_section, lockup_section_start
 
@@ -20,17 +21,31 @@ def jp(p: str, dotall: bool = True) -> Column:
     return F.lit(P.java_pattern(p, dotall=dotall))
 
 
-def first_match(text, patterns: list[str], group: int = 1, dotall: bool = True) -> Column:
+def _gated(value: Column, gate: Gate | None, pattern: str, otherwise: Column | None = None) -> Column:
+    """``value`` where the pattern's words occur, else ``otherwise`` (null)."""
+    if gate is None:
+        return value
+    out = F.when(gate.open(pattern), value)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def first_match(text, patterns: list[str], group: int = 1, dotall: bool = True, gate: Gate | None = None) -> Column:
     """the group of the first pattern that matches; null if none does."""
     t = col_of(text)
-    return F.coalesce(*[F.nullif(F.regexp_extract(t, P.java_pattern(p, dotall=dotall), group),
-                                 F.lit("")) for p in patterns])
+    return F.coalesce(*[_gated(F.nullif(F.regexp_extract(t, P.java_pattern(p, dotall=dotall), group), F.lit("")), gate, p)
+                        for p in patterns])
+
+
+def _all_matches(text: Column, pattern: str, dotall: bool, gate: Gate | None) -> Column:
+    found = F.regexp_extract_all(text, jp(pattern, dotall), F.lit(1))
+    # no text, no list: only a text without the words has an empty one
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return _gated(found, gate, pattern, none)
 
 
-def all_numbers(text, pattern: str, dotall: bool = False) -> Column:
+def all_numbers(text, pattern: str, dotall: bool = False, gate: Gate | None = None) -> Column:
     """every non-overlapping match, parsed; unparsable ones dropped."""
-    vals = F.transform(F.regexp_extract_all(col_of(text), jp(pattern, dotall), F.lit(1)),
-                       lambda s: parse_number(s))
+    vals = F.transform(_all_matches(col_of(text), pattern, dotall, gate), lambda s: parse_number(s))
     return F.filter(vals, lambda v: v.isNotNull())
 
 
@@ -77,12 +92,9 @@ def greenshoe_shares(text) -> Column:
     return parse_number(first_match(text, P.GREENSHOE))
 
 
-def bookrunners(text) -> Column:
+def bookrunners(text, gate: Gate | None = None) -> Column:
     """X6: "A; B; C" from the cover-page block (else the managers heading)."""
-    t = col_of(text)
-    block = F.coalesce(
-        F.nullif(F.regexp_extract(t, P.java_pattern(P.BOOKRUNNER_BLOCK, dotall=False), 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, P.java_pattern(P.BOOKRUNNER_FALLBACK, dotall=False), 1), F.lit("")))
+    block = first_match(text, [P.BOOKRUNNER_BLOCK, P.BOOKRUNNER_FALLBACK], dotall=False, gate=gate)
     lines = F.split(block, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]")
     cleaned = F.transform(lines, lambda s: py_strip(F.regexp_replace(py_strip(s), r"\*+\z", "")))
     skip = P.java_pattern(P.BOOKRUNNER_SKIP_LINE, dotall=False)
@@ -112,10 +124,10 @@ def fully_diluted_shares(text) -> Column:
 
 # ── Lock-up fields ────────────────────────────────────────────────────────────
 
-def lockup_day_votes(haystack) -> Column:
+def lockup_day_votes(haystack, gate: Gate | None = None) -> Column:
     """Every day count of every pattern, pattern-major, within 30..730."""
     h = col_of(haystack)
-    per_pattern = [F.regexp_extract_all(h, jp(p, dotall), F.lit(1))
+    per_pattern = [_all_matches(h, p, dotall, gate)
                    for p, dotall in zip(P.LOCKUP_DAYS, P.LOCKUP_DAYS_DOTALL)]
     days = F.transform(F.flatten(F.array(*per_pattern)), lambda s: s.try_cast("int"))
     return F.filter(days, lambda d: d.between(P.LOCKUP_DAYS_MIN, P.LOCKUP_DAYS_MAX))
@@ -144,22 +156,22 @@ def lockup_days(text) -> Column:
     return mode_first(lockup_votes(text))
 
 
-def staged_unlock(section) -> Column:
+def staged_unlock(section, gate: Gate | None = None) -> Column:
     """X11: any staged-release phrase in the lock-up section."""
     s = col_of(section)
-    hits = [s.rlike(P.java_pattern(p, dotall=d)) for p, d in zip(P.STAGED_UNLOCK, P.STAGED_UNLOCK_DOTALL)]
+    hits = [_gated(s.rlike(P.java_pattern(p, dotall=d)), gate, p, F.lit(False)) for p, d in zip(P.STAGED_UNLOCK, P.STAGED_UNLOCK_DOTALL)]
     out = hits[0]
     for h in hits[1:]:
         out = out | h
     return F.coalesce(out, F.lit(False))
 
 
-def unlock_notes(section) -> Column:
+def unlock_notes(section, gate: Gate | None = None) -> Column:
     """First sentence per note pattern, whitespace collapsed, distinct,
     the first two joined by " | ", cut to 300 characters."""
     s = col_of(section)
-    notes = [F.nullif(F.regexp_replace(py_strip(F.regexp_extract(s, P.java_pattern(p, dotall=False), 0)),
-                                       rf"[{PY_WS}]+", " "), F.lit(""))
+    notes = [_gated(F.nullif(F.regexp_replace(py_strip(F.regexp_extract(s, P.java_pattern(p, dotall=False), 0)),
+                                              rf"[{PY_WS}]+", " "), F.lit("")), gate, p)
              for p in P.UNLOCK_NOTES]
     kept = F.slice(F.array_distinct(F.filter(F.array(*notes), lambda x: x.isNotNull())),
                    1, P.UNLOCK_NOTES_MAX_NOTES)
@@ -179,7 +191,9 @@ def lockup_confidence(days, staged) -> Column:
 # Each field's regex output is projected first and parsed in a second
 # projection, so an expensive match is evaluated once per document even when
 # its value is read several times (Catalyst keeps such projections apart
-# rather than inlining a costly expression into many uses).
+# rather than inlining a costly expression into many uses).  Before them, the
+# words that the wanted patterns cannot match without are looked up, and a
+# pattern runs only where its words occur (see ``literals``).
 
 OFFERING_FIELDS = ["offer_price", "price_range_low", "price_range_high", "shares_offered_direct",
                    "shares_primary", "shares_secondary", "greenshoe_shares", "bookrunners",
@@ -187,39 +201,40 @@ OFFERING_FIELDS = ["offer_price", "price_range_low", "price_range_high", "shares
 LOCKUP_FIELDS = ["lockup_days", "is_staged_unlock", "unlock_notes", "confidence"]
 
 
+_FIRST = {"offer_price": P.OFFER_PRICE, "shares_offered_direct": P.SHARES_OFFERED_TOTAL, "shares_primary": P.SHARES_PRIMARY,
+          "shares_secondary": P.SHARES_SECONDARY, "greenshoe_shares": P.GREENSHOE,
+          "shares_outstanding_pre_ipo": P.PRE_IPO, "fully_diluted_shares": P.FULLY_DILUTED}
+
+
 def with_offering_fields(df, text: str = "text", fields: list[str] | None = None):
     """Add X1-X9 columns (``shares_offered_direct`` is X3 before D12)."""
     want = set(fields or OFFERING_FIELDS)
+    prices = bool(want & {"price_range_low", "price_range_high"})
+    post = "shares_outstanding_post_ipo" in want
+    gate = Gate(*[p for f in _FIRST if f in want for p in _FIRST[f]], *(P.PRICE_RANGE if prices else []),
+                *(P.POST_IPO_TIER1 + P.POST_IPO_TIER2 if post else []),
+                *([P.BOOKRUNNER_BLOCK, P.BOOKRUNNER_FALLBACK] if "bookrunners" in want else []))
     t = F.col(text)
-    raw = {
-        "offer_price": first_match(t, P.OFFER_PRICE),
-        "shares_offered_direct": first_match(t, P.SHARES_OFFERED_TOTAL),
-        "shares_primary": first_match(t, P.SHARES_PRIMARY),
-        "shares_secondary": first_match(t, P.SHARES_SECONDARY),
-        "greenshoe_shares": first_match(t, P.GREENSHOE),
-        "shares_outstanding_pre_ipo": first_match(t, P.PRE_IPO),
-        "fully_diluted_shares": first_match(t, P.FULLY_DILUTED),
-    }
-    stage1 = [raw[f].alias(f"_raw_{f}") for f in raw if f in want]
-    if want & {"price_range_low", "price_range_high"}:
+    stage1 = [first_match(t, _FIRST[f], gate=gate).alias(f"_raw_{f}") for f in _FIRST if f in want]
+    if prices:
         for i, p in enumerate(P.PRICE_RANGE):
             jpat = P.java_pattern(p, dotall=False)
-            stage1 += [F.regexp_extract(t, jpat, 1).alias(f"_pr{i}_1"), F.regexp_extract(t, jpat, 2).alias(f"_pr{i}_2")]
-    if "shares_outstanding_post_ipo" in want:
-        stage1 += [first_match(t, P.POST_IPO_TIER1).alias("_post1"),
-                   F.concat(*[all_numbers(t, p) for p in P.POST_IPO_TIER2]).alias("_post2")]
+            stage1 += [_gated(F.regexp_extract(t, jpat, k), gate, p).alias(f"_pr{i}_{k}") for k in (1, 2)]
+    if post:
+        stage1 += [first_match(t, P.POST_IPO_TIER1, gate=gate).alias("_post1"),
+                   F.concat(*[all_numbers(t, p, gate=gate) for p in P.POST_IPO_TIER2]).alias("_post2")]
     if "bookrunners" in want:
-        stage1.append(bookrunners(t).alias("bookrunners"))
-    s1 = df.select("*", *stage1)
-    out = [parse_number(F.col(f"_raw_{f}")).alias(f) for f in raw if f in want]
-    if want & {"price_range_low", "price_range_high"}:
+        stage1.append(bookrunners(t, gate).alias("bookrunners"))
+    s1 = gate.add(df, text).select(*df.columns, *stage1)
+    out = [parse_number(F.col(f"_raw_{f}")).alias(f) for f in _FIRST if f in want]
+    if prices:
         low = high = None
         for i in range(len(P.PRICE_RANGE)):
             g1, g2 = F.col(f"_pr{i}_1"), F.col(f"_pr{i}_2")
             low = (F.when if low is None else low.when)(g1 != "", g1)
             high = (F.when if high is None else high.when)(g1 != "", g2)
         out += [parse_number(low).alias("price_range_low"), parse_number(high).alias("price_range_high")]
-    if "shares_outstanding_post_ipo" in want:
+    if post:
         out.append(F.when(F.col("_post1").isNotNull(), parse_number(F.col("_post1")))
                    .otherwise(F.array_max("_post2")).alias("shares_outstanding_post_ipo"))
     helpers = [c for c in s1.columns if c.startswith(("_raw_", "_pr", "_post"))]
@@ -230,25 +245,29 @@ def with_lockup_fields(df, text: str = "text", fields: list[str] | None = None):
     """Add X10-X13 columns: lockup_days, is_staged_unlock, unlock_notes, confidence."""
     want = set(fields or LOCKUP_FIELDS)
     t = F.col(text)
-    s1 = df.select("*", lockup_section_start(t).alias("_start"))
+    days, stages = bool(want & {"lockup_days", "confidence"}), bool(want & {"is_staged_unlock", "confidence"})
+    gate = Gate(*(P.LOCKUP_DAYS if days else []), *(P.STAGED_UNLOCK if stages else []),
+                *(P.UNLOCK_NOTES if "unlock_notes" in want else []))
+    # The section is part of the text: a word missing in the text is missing there.
+    s1 = gate.add(df, text).select("*", lockup_section_start(t).alias("_start"))
     s2 = s1.select("*", lockup_section(t, F.col("_start")).alias("_section"))
     sec = F.col("_section")
     stage3 = []
-    if want & {"lockup_days", "confidence"}:
-        stage3.append(lockup_day_votes(sec).alias("_vs"))
-    if want & {"is_staged_unlock", "confidence"}:
-        stage3.append(staged_unlock(sec).alias("is_staged_unlock"))
+    if days:
+        stage3.append(lockup_day_votes(sec, gate).alias("_vs"))
+    if stages:
+        stage3.append(staged_unlock(sec, gate).alias("is_staged_unlock"))
     if "unlock_notes" in want:
-        stage3.append(unlock_notes(sec).alias("unlock_notes"))
+        stage3.append(unlock_notes(sec, gate).alias("unlock_notes"))
     s3 = s2.select("*", *stage3)
-    if want & {"lockup_days", "confidence"}:
+    if days:
         votes = (F.when(F.size("_vs") > 0, F.col("_vs"))
-                 .when(F.col("_start").isNotNull(), lockup_day_votes(t)).otherwise(F.col("_vs")))
+                 .when(F.col("_start").isNotNull(), lockup_day_votes(t, gate)).otherwise(F.col("_vs")))
         s4 = s3.select("*", votes.alias("_v"))
         s3 = s4.select("*", mode_first(F.col("_v")).alias("lockup_days"))
     if "confidence" in want:
         s3 = s3.select("*", lockup_confidence("lockup_days", "is_staged_unlock").alias("confidence"))
-    keep = [c for c in s3.columns if c not in ("_start", "_section", "_vs", "_v")]
+    keep = [c for c in s3.columns if c not in ("_start", "_section", "_vs", "_v", gate.COLUMN)]
     out = s3.select(*keep)
     extra = {"is_staged_unlock", "lockup_days"} - want
     return out.drop(*[c for c in extra if c in out.columns and c not in df.columns])

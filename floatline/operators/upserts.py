@@ -1,8 +1,7 @@
 """Keyed upserts into the parsed tables, and derived measures.
 
-Plain parquet has no MERGE, so an upsert is a full outer join of the stored
-table with the new rows on the logical key, written as a new snapshot
-(see ``floatline.sinks.snapshots``).  New rows are numbered after the
+Plain parquet has no MERGE, so an upsert is one full outer join of the stored
+table with the new rows on the logical key, written as a new table.  New rows are numbered after the
 current max id in issuer order, as the tracked job inserts them.
 """
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from floatline.functions.scalars import keep_new
 from floatline.operators.ranking import assign_ids, max_id
+from floatline.session import materialize
 
 OFFERING_COLS = ["id", "issuer_id", "filing_id", "source_form_type", "offer_price",
                  "pricing_date", "expected_trade_date", "price_range_low", "price_range_high",
@@ -52,30 +52,33 @@ def derived_measures(price: Column, total: Column, primary: Column, secondary: C
 
 
 def _upsert(stored: DataFrame, fresh: DataFrame, cols: list[str], set_cols: list[str],
-            as_of: Column, keep_nulls: bool) -> DataFrame:
+            as_of: Column, keep_nulls: bool, insert_only: bool = False) -> DataFrame:
     """Stored rows matched on KEY take the fresh values (null keeps the old
-    value unless ``keep_nulls``) and parsed_at = as_of; unmatched fresh rows
-    are inserted with new ids."""
+    value unless ``keep_nulls``) and parsed_at = as_of, or stay as they are with
+    ``insert_only``; unmatched fresh rows are inserted with new ids.
+
+    One full outer join on KEY, written once: the stored table is scanned once,
+    and not shuffled where it is bucketed by KEY.  The new rows are then
+    numbered after the highest id of what was written."""
     f = fresh.select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in set_cols]).withColumn("_hit", F.lit(True))
-    j = stored.join(f, KEY, "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    j = stored.withColumn("_old", F.lit(True)).join(f, KEY, "full_outer")
+    new = F.col("_old").isNull()
+    set_ = new if insert_only else F.coalesce(F.col("_hit"), F.lit(False))
 
     def merged(c: str) -> Column:
+        kind = stored.schema[c].dataType
+        if c == "parsed_at":
+            return F.when(set_, as_of.cast(kind)).otherwise(F.col(c))
         if c not in set_cols:
             return F.col(c)
-        new = F.col(f"_new_{c}")
-        return F.when(hit, new if keep_nulls else keep_new(new, F.col(c))).otherwise(F.col(c))
+        value = F.col(f"_new_{c}").cast(kind)
+        return F.when(set_, value if keep_nulls else keep_new(value, F.col(c))).otherwise(F.col(c))
 
-    kept = j.select(*[merged(c).alias(c) if c != "parsed_at"
-                      else F.when(hit, as_of).otherwise(F.col(c)).alias(c) for c in cols])
-    new = fresh.join(stored.select(*KEY), KEY, "left_anti")
-    numbered = assign_ids(new, [F.col("issuer_id"), F.col("filing_id")], max_id(stored))
-    inserted = numbered.select(*[F.col(c) if c in fresh.columns or c == "id"
-                                 else (as_of.alias(c) if c == "parsed_at"
-                                       else F.lit(None).cast(stored.schema[c].dataType).alias(c))
-                                 for c in cols])
-    return kept.unionByName(inserted.select(*[inserted[c].cast(stored.schema[c].dataType).alias(c)
-                                              for c in cols]))
+    out = materialize(j.select(*[merged(c).alias(c) for c in cols], new.alias("_inserted")))
+    inserted = out.where("_inserted").drop("id", "_inserted")
+    numbered = assign_ids(inserted, [F.col("issuer_id"), F.col("filing_id")], max_id(out))
+    kind = stored.schema["id"].dataType
+    return out.where("NOT _inserted").select(*cols).unionByName(numbered.withColumn("id", F.col("id").cast(kind)).select(*cols))
 
 
 def upsert_offerings(stored: DataFrame, fresh: DataFrame, as_of: Column) -> DataFrame:
@@ -89,9 +92,14 @@ def upsert_capitalization(stored: DataFrame, fresh: DataFrame, as_of: Column) ->
 
 
 def upsert_lockups(stored: DataFrame, fresh: DataFrame, as_of: Column, force: bool = False) -> DataFrame:
-    """Without force only new keys are inserted (the worklist already
-    skipped existing ones); with force stored rows are overwritten including
-    nulls, unlock_shares_estimate kept."""
-    if not force:
-        fresh = fresh.join(stored.select(*KEY), KEY, "left_anti")
-    return _upsert(stored, fresh, LOCKUP_COLS, LOCKUP_SET, as_of, keep_nulls=True)
+    """Without force only new keys are inserted; with force stored rows are
+    overwritten including nulls, unlock_shares_estimate kept."""
+    return _upsert(stored, fresh, LOCKUP_COLS, LOCKUP_SET, as_of, keep_nulls=True, insert_only=not force)
+
+
+def store_bucketed(table: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``table`` as the catalog table ``name``, hashed on KEY into ``buckets``
+    sorted files: upserts into it shuffle their few fresh rows only."""
+    (table.repartition(buckets, *KEY).write.mode("overwrite").bucketBy(buckets, *KEY).sortBy(*KEY)
+     .format("parquet").saveAsTable(name))
+    return table.sparkSession.table(name)

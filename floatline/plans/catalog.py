@@ -21,7 +21,7 @@ from floatline.operators.constraints import constraint_violations
 from floatline.operators.partitioning import spread_small
 from floatline.plans import jobs as J
 from floatline.plans import reports as R
-from floatline.session import apply_job_conf, parallelism
+from floatline.session import apply_job_conf, materialize, parallelism
 from floatline.sources import calendars as CAL
 from floatline.sources import landing as L
 from floatline.sources import sec
@@ -351,7 +351,7 @@ def _ingest(spark, sf_dir):
     stored = fx["fx_filings"].where(F.col("filing_date") < F.lit(SYNC_STORED_BEFORE).cast("date"))
     stored = stored.withColumn("filing_index_url", F.lit(None).cast("string")).select(*FL.FILING_COLS)
     stored.write.parquet(f"{root}/filings")
-    docs = _submissions(fx)
+    docs = materialize(_submissions(fx))
     n_files = max(4, docs.count() // LANDED_DOCS_PER_FILE)
     docs.repartition(n_files, "cik10", "page").write.parquet(f"{root}/landing")
     ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/_checkpoint", fx["fx_issuers"],

@@ -2,8 +2,7 @@
 
 New landed submissions files are read with ``readStream``, parsed (S3) and
 grouped by CIK.  What the sync has to know about an issuer lives in the
-stream's state: its id, its status, and one entry per stored filing key.  The
-tables are read once, as the state's first content; from then on a batch reads
+stream's state: its id, its status, and the stored filing keys.  The tables are read once, as the state's first content; from then on a batch reads
 the files that landed and the state entries of their issuers, however large
 the tables have grown.  The state survives restarts with the checkpoint.
 
@@ -37,6 +36,7 @@ LANDED_SCHEMA = T.StructType([
 ])
 OUTCOME = ("kind string, cik10 string, issuer_id long, page long, pos long, accession_no string, form_type string, "
            "filing_date string, primary_doc_url string, filing_index_url string, old_status string, new_status string")
+NEAR_BY = 256  # filing keys kept in one entry with the issuer
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -46,29 +46,43 @@ def _processor() -> StatefulProcessor:
 
     Defined in here, so that it travels to the workers by value and they need
     no copy of this package."""
-    fields = [c.split()[0] for c in OUTCOME.split(", ")]
+    fields, near_by = [c.split()[0] for c in OUTCOME.split(", ")], NEAR_BY
     filing_forms, no_downgrade = set(FILING_FORMS), set(NO_DOWNGRADE)
 
     def outcome(kind: str, **values) -> Row:
         return Row(**{f: values.get(f) for f in fields} | {"kind": kind})
 
     class FilingState(StatefulProcessor):
+        """The first filing keys lie beside the issuer's id and status, one
+        entry to fetch for most; those beyond have an entry each."""
+
         def init(self, handle) -> None:
-            self.issuer = handle.getValueState("issuer", "issuer_id long, status string")
-            self.stored = handle.getMapState("stored", "accession_no string, form_type string", "stored boolean")
+            self.issuer = handle.getValueState("issuer", "issuer_id long, status string, keys array<string>, more boolean")
+            self.others = handle.getMapState("others", "key string", "stored boolean")
 
         def handleInitialState(self, key, row, timers) -> None:
-            if row.accession_no is None:
-                self.issuer.update((row.issuer_id, row.status))
-            else:
-                self.stored.updateValue((row.accession_no, row.form_type), (True,))
+            held = self.issuer.get()
+            keys = list(held[2]) if held else []
+            more = bool(held[3]) if held else False
+            more |= self.add(keys, row.keys or [])
+            self.issuer.update((row.issuer_id, row.status, keys, more))
+
+        def add(self, keys: list, new: list) -> bool:
+            """Whether some had to go to entries of their own."""
+            room = max(0, near_by - len(keys))
+            keys.extend(new[:room])
+            for k in new[room:]:
+                self.others.updateValue((k,), (True,))
+            return len(new) > room
 
         def handleInputRows(self, key, rows, timers):
             found = list(rows)
-            if not self.issuer.exists():
+            held = self.issuer.get()
+            if held is None:
                 yield outcome("unknown_issuer", cik10=key[0])
                 return
-            issuer_id, status = self.issuer.get()
+            issuer_id, status, keys, more = held[0], held[1], list(held[2]), held[3]
+            known, added = set(keys), []
             for page in sorted({r.page for r in found if r.unreadable}):
                 yield outcome("unreadable", cik10=key[0], issuer_id=issuer_id, page=page)
             found = [r for r in found if not r.unreadable]
@@ -77,11 +91,14 @@ def _processor() -> StatefulProcessor:
             valid.sort(key=lambda r: (r.page, r.pos))
             valid.sort(key=lambda r: r.filing_date or "", reverse=True)
             for r in valid:
-                if not self.stored.containsKey((r.accession_no, r.form_type)):
-                    self.stored.updateValue((r.accession_no, r.form_type), (True,))
+                k = f"{r.form_type} {r.accession_no}"
+                if k not in known and not (more and self.others.containsKey((k,))):
+                    known.add(k)
+                    added.append(k)
                     yield outcome("filing", cik10=key[0], issuer_id=issuer_id, page=r.page, pos=r.pos,
                                   accession_no=r.accession_no, form_type=r.form_type, filing_date=r.filing_date,
                                   primary_doc_url=r.primary_doc_url, filing_index_url=r.filing_index_url)
+            now = status
             if found:
                 now = status or "candidate"
                 forms = {r.form_type for r in valid}
@@ -90,8 +107,9 @@ def _processor() -> StatefulProcessor:
                 elif now not in no_downgrade and now != "withdrawn" and forms & filing_forms:
                     now = "filed"
                 yield outcome("status", cik10=key[0], issuer_id=issuer_id, old_status=status, new_status=now)
-                if now != status:
-                    self.issuer.update((issuer_id, now))
+            if added or now != status:
+                more |= self.add(keys, added)
+                self.issuer.update((issuer_id, now, keys, more))
 
         def close(self) -> None:
             pass
@@ -100,14 +118,15 @@ def _processor() -> StatefulProcessor:
 
 
 def _first_state(issuers: DataFrame, filings: DataFrame) -> DataFrame:
-    """(cik10, issuer_id, status, accession_no, form_type): a row per issuer
-    with a CIK, without accession, and one per stored filing key."""
+    """(cik10, issuer_id, status, keys): the issuers with a CIK and their stored
+    filing keys, in lists of about ``NEAR_BY``: an issuer with more has several rows."""
     keyed = issuers.where("cik is not null").select(normalize_cik("cik").alias("cik10"), F.col("id").alias("issuer_id"), "status")
-    keyed = keyed.where("cik10 is not null")
-    keys = (filings.where("accession_no is not null and form_type is not null").select("issuer_id", "accession_no", "form_type")
-            .join(keyed, "issuer_id").select("cik10", "issuer_id", "status", "accession_no", "form_type"))
-    none = F.lit(None).cast("string")
-    return keyed.select("*", none.alias("accession_no"), none.alias("form_type")).unionByName(keys)
+    stored = filings.where("accession_no is not null and form_type is not null").select(
+        "issuer_id", F.concat_ws(" ", "form_type", "accession_no").alias("key"))
+    counts = stored.groupBy("issuer_id").agg(F.ceil(F.count(F.lit(1)) / NEAR_BY).alias("lists"))
+    lists = (stored.join(counts, "issuer_id").groupBy("issuer_id", F.pmod(F.xxhash64("key"), F.col("lists")).alias("list"))
+             .agg(F.collect_list("key").alias("keys")))
+    return keyed.where("cik10 is not null").join(lists, "issuer_id", "left").select("cik10", "issuer_id", "status", "keys")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

@@ -4,6 +4,7 @@ import csv
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from floatline.operators import filings as FL
@@ -11,6 +12,7 @@ from floatline.plans.catalog import SYNC_STORED_BEFORE, _submissions
 from floatline.sinks import csv as K
 from floatline.sinks.snapshots import read_latest, versions, write_snapshot
 from floatline.sources.fixtures import Fixtures
+from floatline.streaming import ingest
 from floatline.streaming.ingest import ingest_filings
 from tests.conftest import SF001
 
@@ -70,10 +72,12 @@ def test_report_csv_as_python_reads_it(spark, tmp_path):
     assert rows == [[str(i), n or "", "" if v is None else repr(v), str(i % 2 == 0)] for i, (n, v) in enumerate(zip(names, values))]
 
 
-def test_a_batch_reads_state_not_the_table(spark, tmp_path):
+@pytest.mark.parametrize("near_by", [256, 1])
+def test_a_batch_reads_state_not_the_table(spark, tmp_path, monkeypatch, near_by):
     """With the stored rows gone from the table, the same checkpoint still
     knows them: a batch looks at its own files and the state only."""
     import json
+    monkeypatch.setattr(ingest, "NEAR_BY", near_by)
     root = str(tmp_path)
 
     def land(name, *docs):
