@@ -7,6 +7,7 @@ whole-stage codegen on the executors; no per-row Python.
 from __future__ import annotations
 
 import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -78,8 +79,18 @@ def _remap_c1(n: Column) -> Column:
     return out.otherwise(n)
 
 
+def _named_refs() -> Column:
+    """The named references as a map of maps, by their first letter: a map is
+    walked from its start, so a look-up passes some tens of entries, not all."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, value in NAMED_REFS.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
 def decode_refs(x: Column) -> Column:
-    names = F.from_json(F.lit(json.dumps(NAMED_REFS)), "map<string,string>")
+    names = _named_refs()
+    look_up = lambda name: F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
     valid = lambda n: (n >= 1) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
 
     def numeric(c):
@@ -93,8 +104,7 @@ def decode_refs(x: Column) -> Column:
 
     def named(c):
         bare = F.regexp_extract(c, BARE_NAMES, 1)
-        return F.coalesce(F.try_element_at(names, c),
-                          F.concat(F.try_element_at(names, bare), F.substr(c, F.length(bare) + 1)),
+        return F.coalesce(look_up(c), F.concat(look_up(bare), F.substr(c, F.length(bare) + 1)),
                           F.concat(F.lit("&"), c))
 
     chars = F.transform(F.regexp_extract_all(x, F.lit(CHAR_REF), F.lit(1)),
@@ -125,22 +135,25 @@ def html_to_text(html) -> Column:
 
 # ── F8: generic section finder ────────────────────────────────────────────────
 
+def _title_window(title: str, window: int) -> str:
+    """Pattern of the title, whatever its case, and the characters after it that fill the window."""
+    return "(?iu)" + re.escape(title) + rf"(?s:.{{0,{max(0, window - len(title))}}})"
+
+
 def find_section(text, titles: list[str], window: int = P.SECTION_WINDOW_CHARS) -> Column:
     """F8: from the first title (list order) found case-insensitively, up to
     ``window`` characters, cut after the first heading-like line at index
     >= 3 (that line included); null when no title occurs."""
     t = col_of(text)
-    low = F.lower(t)
-    pos = F.coalesce(*[F.when(F.locate(title.lower(), low) > 0, F.locate(title.lower(), low))
-                       for title in titles])
-    win = F.substring(t, pos, window)
+    # The title is searched in the text itself: lower case would shift what follows some characters.
+    win = F.coalesce(*[F.nullif(F.regexp_extract(t, _title_window(title, window), 0), F.lit("")) for title in titles])
     lines = F.split(win, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]")
     boundary = "(?U)" + P.SECTION_BOUNDARY
     flags = F.transform(lines, lambda line, i: (i >= P.SECTION_BOUNDARY_FROM_LINE)
                         & py_strip(line).rlike(boundary))
     cut = F.array_position(flags, True)
     kept = F.when(cut > 0, F.slice(lines, 1, cut.cast("int"))).otherwise(lines)
-    return F.when(pos.isNotNull(), py_strip(F.array_join(kept, "\n")))
+    return F.when(win.isNotNull(), py_strip(F.array_join(kept, "\n")))
 
 
 # ── F9: lock-up section ───────────────────────────────────────────────────────

@@ -10,6 +10,7 @@ text and return SQL text.
 
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 from floatline.functions import patterns as P
@@ -133,7 +134,9 @@ LINE_SPLIT = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 def find_section(t: str, titles: list[str], window: int = P.SECTION_WINDOW_CHARS) -> str:
     """Needs ``t`` to be a column name (used inside lambdas)."""
-    pos = "coalesce(" + ", ".join(f"nullif(strpos(lower({t}), {lit(x.lower())}), 0)" for x in titles) + ")"
+    found = [f"case when regexp_matches({t}, {lit('(?i)' + re.escape(x))}) then "
+             f"length(regexp_extract({t}, {lit('(?is)^(.*?)' + re.escape(x))}, 1)) + 1 end" for x in titles]
+    pos = "coalesce(" + ", ".join(found) + ")"
     lines = f"string_split_regex(substring({t}, {pos}, {window}), {lit(LINE_SPLIT)})"
     flags = (f"list_transform({lines}, lambda l, i: i - 1 >= {P.SECTION_BOUNDARY_FROM_LINE} "
              f"and regexp_matches({strip('l')}, {lit(P.SECTION_BOUNDARY)}))")

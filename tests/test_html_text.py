@@ -33,3 +33,22 @@ def test_references_as_the_standard_library_decodes_them(spark):
     ("<p don't>x</p>y", "x\ny"), ("<a href='u\">q</a> z", "q\n z"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2")])
 def test_quoted_attributes(spark, raw, want):
     assert one_column(spark, [raw], html_to_text) == [want]
+
+
+def test_find_section_keeps_its_place_behind_letters_that_change_length(spark):
+    """A capital I with a dot is two characters in lower case."""
+    import re as _re
+
+    from floatline.functions import text as TX
+
+    def plain(text, titles, window):
+        for title in titles:
+            m = _re.search(_re.escape(title), text, _re.IGNORECASE)
+            if m:
+                return text[m.start():m.start() + window].strip()
+
+    texts = ["\u0130\u0130\u0130 before. UNDERWRITING terms follow", "\U0001F600\U0001F600 x underWriting a\U0001F600b" + "y" * 50,
+             "no title", "", "Risk (a+b) factors", "Under\u0130 writing", "UNDERWRIT\u0130NG or underwriting here"]
+    titles = ["underwriting", "risk (A+B)"]
+    got = one_column(spark, texts, lambda c: TX.find_section(c, titles, 24))
+    assert got == [plain(t, titles, 24) for t in texts]

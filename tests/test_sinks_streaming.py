@@ -28,6 +28,18 @@ def test_report_csv(spark, tmp_path):
                     ["Acme", "34.0", "True", ""], ["Beta", "", "False", "x"]]
 
 
+def test_export_runs_each_report_once_and_counts_what_it_wrote(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def noted(part):
+        runs.add(1)
+        yield from part
+    one = spark.createDataFrame(spark.range(40, numPartitions=1).rdd.mapPartitions(noted), "id long")
+    empty = spark.range(0).where("id > 5")
+    out = K.export({"one.csv": one, "none.csv": empty}, str(tmp_path))
+    assert out["row_counts"] == {"one.csv": 40, "none.csv": 0} and runs.value == 1
+
+
 def test_snapshots_are_versioned(spark, tmp_path):
     t = str(tmp_path / "issuers")
     assert versions(spark, t) == []
