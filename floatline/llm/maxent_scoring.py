@@ -74,7 +74,9 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
         words, carry = raw.split(), b""                      # and the six white-space characters only
         if at + PIECE < len(text) and raw and not raw[-1:].isspace():
             carry = words.pop()
-        yield [w if len(w) <= LONG_WORD else b"\0" + hashlib.md5(w).digest() for w in words]
+        if words and max(map(len, words)) > LONG_WORD:
+            words = [w if len(w) <= LONG_WORD else b"\0" + hashlib.md5(w).digest() for w in words]
+        yield words
 
 
 END = b""
@@ -136,20 +138,31 @@ class Corpus(NamedTuple):
         return self.tokens - int(self.counts[:MODELLED].sum()) + 0.5 * (self.distinct - self.modelled() + 1)
 
 
+class _Numbers(dict):
+    """Ids of known words, -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def _tokenize(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         uid = TaskContext.get().partitionId() << 40
         words, counts = shared.value
-        number = {w: i for i, w in enumerate(words)}
+        number = _Numbers((w, i) for i, w in enumerate(words)).__getitem__
         logs = np.log10(counts + 0.5)
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(),
-                 pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "ids", "rest"]
         rows, size = [], 0
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            *columns, rests = zip(*rows)
+            ends = np.cumsum([0] + [len(r) for r in rests])
+            pairs = pa.StructArray.from_arrays([pa.array([w for r in rests for w in r], pa.binary()),
+                                                pa.array([n for r in rests for n in r.values()], pa.int64())], ["word", "n"])
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)),
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=names)
             rows.clear()
             return out
 
@@ -159,15 +172,17 @@ def _tokenize(shared):
                 rest: Counter = Counter()
                 ids = []
                 for found in (*words_of(text.as_py()), [END]):
-                    some = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))
-                    for i in np.flatnonzero(some < 0):
-                        rest[found[i]] += 1
-                        some[i] = KNOWN + zlib.crc32(found[i]) % (START - KNOWN)
+                    some = np.fromiter(map(number, found), np.int64, len(found))
+                    other = np.flatnonzero(some < 0)
+                    if len(other):
+                        unknown = [found[i] for i in other.tolist()]
+                        rest.update(unknown)
+                        some[other] = [KNOWN + zlib.crc32(w) % (START - KNOWN) for w in unknown]
                     ids.append(some)
                 ids = np.concatenate(ids)
                 known = ids[ids < KNOWN]
                 rows.append((uid, doc_id, held_out, len(ids), len(known), float(logs[known].sum()),
-                             ids.astype("<u2").tobytes(), [{"word": w, "n": n} for w, n in rest.items()]))
+                             ids.astype("<u2").tobytes(), rest))
                 uid += 1
                 size += len(ids)
                 if size >= PIECE or len(rows) >= 500:
@@ -322,10 +337,12 @@ class Updates:
             several = np.take(gradient, order[np.repeat(many, size)], axis=0)
             g[many] = np.add.reduceat(several, np.append(0, np.cumsum(size[many])[:-1]), axis=0)
         row = ranked[at].astype(np.intp)
-        self.squares[row] += np.einsum("ij,ij->i", g, g)
+        squares = self.squares[row] + np.einsum("ij,ij->i", g, g)
+        self.squares[row] = squares
         self.times[row] += size
-        g *= (STEP / np.sqrt(self.squares[row] + 1e-6))[:, None]
-        self.weights[row] = np.take(self.weights, row, axis=0) - g
+        g *= (-STEP / np.sqrt(squares + 1e-6))[:, None]
+        g += np.take(self.weights, row, axis=0)
+        self.weights[row] = g
 
     def summed(self) -> list[np.ndarray]:
         return [((self.weights - self.start) * self.times[:, None]).ravel(), self.times]
