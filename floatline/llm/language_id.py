@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floatline.llm.common import staged, table
+from floatline.llm.common import ship_package, staged, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -185,6 +185,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those rejected: no language found, or one that is less
     than half sure.  All columns stay; rows are judged where they are read."""
+    ship_package(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     langs, logp = train(plain.where(_fold(5) != 0))
     model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logp.T)))
