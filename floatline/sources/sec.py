@@ -90,30 +90,38 @@ def search_companies(companies: DataFrame, queries: DataFrame, max_results: int
     ``queries``: query_id, query.  An exact substring match by equi-joins on
     character n-grams, whatever the number of queries:
 
-    * names are exploded once, into those grams that some query uses;
     * a query of one or two letters is its own gram and needs the gram's first
-      ``max_results`` companies only (cut per map task before the shuffle);
-    * a longer one joins on its rarest trigram and the names are verified;
+      ``max_results`` companies only;
+    * a longer one joins on its rarest trigram, the names are verified, and its
+      first ``max_results`` companies are kept;
+    * both cuts are made in the map tasks, so shuffled rows are at most that many
+      a query (a gram) and task;
     * an empty query matches every name: the first ``max_results`` companies.
 
-    Only (gram, company, lower-case name) travels; the other columns join the
+    The list is parsed and written once; only (gram, company, lower-case name) travels; the other columns join the
     at most ``max_results`` rows of each query at the end."""
     q = queries.select("query_id", F.lower(py_strip(F.coalesce("query", F.lit("")))).alias("q"))
+    companies = materialize(companies.select("page", "pos", "cik", "name", "ticker", "exchange"))
     c = companies.select("page", "pos", F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
                          F.lower(F.coalesce("ticker", F.lit(""))).alias("_ticker"))
     filled = q.where(F.length("q") > 0)
     wanted = filled.select("query_id", "q", F.explode(F.when(F.length("q") >= 3, _grams(F.col("q"), 3))
                                                       .otherwise(F.array(F.col("q")))).alias("_g"))
-    names = c.select("page", "pos", "_name", F.explode(F.array_distinct(F.concat(
-        _grams(F.col("_name"), 1), _grams(F.col("_name"), 2), _grams(F.col("_name"), 3)))).alias("_g"))
-    used = materialize(names.join(wanted.select("_g").distinct(), "_g", "left_semi"))
-    by_list = Window.partitionBy("_g").orderBy("page", "pos")
-    first = used.where(F.length("_g") < 3).withColumn("_n", F.row_number().over(by_list)).where(F.col("_n") <= max_results)
-    short = first.join(filled.where(F.length("q") < 3).withColumnRenamed("q", "_g"), "_g").select("query_id", "page", "pos")
-    freq = used.where(F.length("_g") == 3).groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = first_per_key(wanted.where(F.length("q") >= 3).join(freq, "_g"), ["query_id"], [F.col("_df"), F.col("_g")])
-    long = used.join(rarest.select("query_id", "q", "_g"), "_g").where(F.col("_name").contains(F.col("q"))).select("query_id", "page", "pos")
-    ticker = c.join(filled, F.col("_ticker") == F.col("q")).select("query_id", "page", "pos")
+    grams = lambda *sizes: c.select("page", "pos", "_name", F.explode(F.array_distinct(F.concat(
+        *[_grams(F.col("_name"), n) for n in sizes]))).alias("_g"))
+    # Each branch keeps the first companies of a query (of a gram): Spark cuts
+    # them in the map tasks, so that a gram all names share is not shuffled.
+    first = lambda rows, by: rows.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(by).orderBy("page", "pos"))).where(F.col("_n") <= max_results).drop("_n")
+    asked = filled.where(F.length("q") < 3)
+    short = first(grams(1, 2).join(asked.select(F.col("q").alias("_g")).distinct(), "_g", "left_semi"), "_g") \
+        .join(asked.withColumnRenamed("q", "_g"), "_g").select("query_id", "page", "pos")
+    long_grams = wanted.where(F.length("q") >= 3)
+    freq = grams(3).join(long_grams.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = first_per_key(long_grams.join(freq, "_g"), ["query_id"], [F.col("_df"), F.col("_g")])
+    long = first(grams(3).join(rarest.select("query_id", "q", "_g"), "_g")
+                 .where(F.col("_name").contains(F.col("q"))).select("query_id", "page", "pos"), "query_id")
+    ticker = first(c.join(filled, F.col("_ticker") == F.col("q")).select("query_id", "page", "pos"), "query_id")
     # The first companies in list order: a distributed top-k (limit is the feature here).
     top = c.select("page", "pos").orderBy("page", "pos").limit(max_results)
     slots = top.withColumn("_slot", F.row_number().over(Window.orderBy("page", "pos")) - 1)
