@@ -248,9 +248,9 @@ def with_lockup_fields(df, text: str = "text", fields: list[str] | None = None):
     days, stages = bool(want & {"lockup_days", "confidence"}), bool(want & {"is_staged_unlock", "confidence"})
     gate = Gate(*(P.LOCKUP_DAYS if days else []), *(P.STAGED_UNLOCK if stages else []),
                 *(P.UNLOCK_NOTES if "unlock_notes" in want else []))
-    # The section is part of the text: a word missing in the text is missing there.
-    s1 = gate.add(df, text).select("*", lockup_section_start(t).alias("_start"))
-    s2 = s1.select("*", lockup_section(t, F.col("_start")).alias("_section"))
+    s1 = df.select("*", lockup_section_start(t).alias("_start"))
+    # Words are looked up in the section, which is the whole text where it has no title.
+    s2 = gate.add(s1.select("*", lockup_section(t, F.col("_start")).alias("_section")), "_section")
     sec = F.col("_section")
     stage3 = []
     if days:
@@ -262,7 +262,7 @@ def with_lockup_fields(df, text: str = "text", fields: list[str] | None = None):
     s3 = s2.select("*", *stage3)
     if days:
         votes = (F.when(F.size("_vs") > 0, F.col("_vs"))
-                 .when(F.col("_start").isNotNull(), lockup_day_votes(t, gate)).otherwise(F.col("_vs")))
+                 .when(F.col("_start").isNotNull(), lockup_day_votes(t)).otherwise(F.col("_vs")))
         s4 = s3.select("*", votes.alias("_v"))
         s3 = s4.select("*", mode_first(F.col("_v")).alias("lockup_days"))
     if "confidence" in want:
