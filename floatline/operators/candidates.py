@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floatline.functions.scalars import blank_to_null, py_strip
+from floatline.operators.name_patterns import has_wildcard, least_match
 from floatline.operators.ranking import assign_ids, first_per_key, max_id
 
 CANDIDATE_COLS = ["source_rank", "ord", "company_name", "ticker", "exchange", "source_url"]
@@ -50,9 +51,11 @@ def _prepared(cands: DataFrame) -> DataFrame:
         F.when(F.col("source_url") != "", F.col("source_url")).alias("source_url"))
 
 
-def match_issuers(cands: DataFrame, issuers: DataFrame) -> DataFrame:
+def match_issuers(cands: DataFrame, issuers: DataFrame, patterns: bool = False) -> DataFrame:
     """D3: issuer by exact ticker when the candidate has one, else (or when
-    that finds nothing) by case-insensitive name; lowest id wins."""
+    that finds nothing) by case-insensitive name; lowest id wins.  With
+    ``patterns``, ``%`` and ``_`` in a candidate's name are wildcards, as the
+    tracked job reads them; names without any are matched by equality as before."""
     c = _prepared(cands)
     by_ticker = (issuers.where(F.col("ticker").isNotNull())
                  .groupBy(F.col("ticker").alias("_t")).agg(F.min("id").alias("_tid")))
@@ -60,7 +63,15 @@ def match_issuers(cands: DataFrame, issuers: DataFrame) -> DataFrame:
     # Candidates without a ticker cannot match by it; kept out of the join they do not meet on one key.
     with_id = c.where(F.col("ticker").isNotNull()).join(by_ticker, F.col("ticker") == F.col("_t"), "left").drop("_t")
     without = c.where(F.col("ticker").isNull()).withColumn("_tid", F.lit(None).cast("long"))
-    m = with_id.unionByName(without).join(by_name, F.lower("company_name") == F.col("_n"), "left")
+    m = with_id.unionByName(without)
+    if patterns:
+        asked = m.where(has_wildcard(F.col("company_name")) & F.col("_tid").isNull())
+        found = least_match(asked.select(F.lower("company_name").alias("_p")),
+                            by_name.select(F.col("_n").alias("_name"), F.col("_nid").alias("_id")))
+        # A pattern that is also a name matches that name itself, so its row replaces the equal one.
+        by_name = by_name.where(~has_wildcard(F.col("_n"))).unionByName(
+            found.select(F.col("_p").alias("_n"), F.col("_id").alias("_nid")))
+    m = m.join(by_name, F.lower("company_name") == F.col("_n"), "left")
     return m.select(
         *c.columns,
         F.coalesce("_tid", "_nid").alias("issuer_id"),

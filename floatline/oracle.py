@@ -588,6 +588,13 @@ where not exists (select 1 from raw_documents d where d.url = u.url)"""
     # Candidates
     q["candidate_dedup"] = W(CANDIDATES) + f"select {cand_cols} from dd"
     q["issuer_match"] = W(CANDIDATES) + "select source_rank, ord, company_name, ticker, issuer_id, match_kind from matched"
+    wildcard = CANDIDATES[:CANDIDATES.index("bn as (")].replace("fx_candidates", "wildcard_candidates")
+    q["issuer_match_patterns"] = W(wildcard + """bn as (
+  select p.source_rank as _r, p.ord as _o, min(i.id) as _nid from prep p
+  join fx_issuers i on lower(i.company_name) like lower(p.company_name) group by all)""") + """
+select p.source_rank, p.ord, p.company_name, p.ticker, coalesce(_tid, _nid) as issuer_id,
+  case when _tid is not null then 'ticker' when _nid is not null then 'name' end as match_kind
+from prep p left join bt on p.ticker = bt._t left join bn on bn._r = p.source_rank and bn._o = p.ord"""
     q["issuer_upsert"] = W(CANDIDATES) + "select * from new_issuers"
     q["discover_from_calendars"] = W(NASDAQ, NYSE, f"cal as (select {cand_cols} from nasdaq_c union all select {cand_cols} from nyse_c)",
                                      candidates_block("cal")) + "select * from new_issuers"
@@ -703,6 +710,19 @@ where o.offer_price is not null and o.pricing_date >= cast({AS_OF_SQL} - {R.RECE
     q["report_counts"] = W() + "select 'upcoming_ipos.csv' as report, count(*) as rows from (" + upcoming_ipos("fx_offerings") + """)
 union all select 'recent_ipos.csv', count(*) from (""" + q["recent_ipos"][len(W()):] + """)
 union all select 'upcoming_unlocks.csv', count(*) from (""" + upcoming_unlocks("fx_lockups") + ")"
+    q["issuer_state_merged"] = W(BEST, f"""forms as (
+  select issuer_id, bool_or(form_type = 'RW') as rw, bool_or(form_type in {inlist(FILING_FORMS)}) as filed
+  from fx_filings group by issuer_id),
+lf as (select issuer_id, id from (select *, row_number() over (partition by issuer_id order by filing_date desc nulls last, id) as _n
+  from fx_filings) where _n = 1),
+lo as (select * from {latest('fx_offerings')} _l)""") + """
+select f.issuer_id, case when i.id is null then null when rw then 'withdrawn'
+    when i.status in ('priced', 'trading') then i.status
+    when filed and coalesce(i.status, 'candidate') <> 'withdrawn' then 'filed' else coalesce(i.status, 'candidate') end as new_status,
+  b.id as best_id, b.form_type as best_form, b.filing_date as best_date, lf.id as latest_filing_id,
+  lo.id as latest_offering_id, lo.offer_price as latest_offer_price
+from forms f left join fx_issuers i on i.id = f.issuer_id left join best b on b.issuer_id = f.issuer_id
+left join lf on lf.issuer_id = f.issuer_id left join lo on lo.issuer_id = f.issuer_id"""
     q["latest_per_issuer"] = W() + f"select issuer_id, id as offering_id, parsed_at, offer_price from {latest('fx_offerings')}"
     q["daily_unlocks"] = W(lockup_fields_ctes(), fresh_lk, "new_lockups as (" + upsert_sql(
         "fx_lockups", "fresh_lk", LOCKUP_COLS, LOCKUP_SET, keep_nulls=True) + ")") + upcoming_unlocks("new_lockups")

@@ -298,6 +298,13 @@ def q_issuer_match(spark, sf_dir):
     return m.select("source_rank", "ord", "company_name", "ticker", "issuer_id", "match_kind")
 
 
+def q_issuer_match_patterns(spark, sf_dir):
+    """D3 with wildcards in the candidates' names."""
+    fx = _fx(spark, sf_dir)
+    m = C.match_issuers(C.dedup_candidates(fx["wildcard_candidates"]), fx["fx_issuers"], patterns=True)
+    return m.select("source_rank", "ord", "company_name", "ticker", "issuer_id", "match_kind")
+
+
 def _discover(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return J.discover_candidates(fx["fx_issuers"], fx["fx_candidates"], as_of=_as_of())
@@ -485,6 +492,31 @@ def q_latest_per_issuer(spark, sf_dir):
     return R.latest_per_issuer(o).select("issuer_id", F.col("id").alias("offering_id"), "parsed_at", "offer_price")
 
 
+def q_issuer_state_merged(spark, sf_dir):
+    """D8, D10 and R4 from the stored state: states of the filings and
+    offerings before a day are stored, then later ones are merged in by two runs."""
+    import uuid
+
+    from floatline.operators import issuer_state as ST
+    from floatline.session import ensure_checkpoint_dir
+    fx = _fx(spark, sf_dir)
+    f, o, day = fx["fx_filings"], fx["fx_offerings"], F.lit(SYNC_STORED_BEFORE).cast("date")
+    cols = ["id", "parsed_at", "offer_price"]
+    stored = ST.day_states(f.where(F.col("filing_date") < day), o.where(F.col("parsed_at") < day), cols)
+    states = ST.IssuerStates(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/issuer-states-{uuid.uuid4().hex}", stored.schema)
+    states.create(stored)
+    for early in (True, False):
+        def arrives(date):
+            return (F.col(date) >= day) & ((F.dayofmonth(date) <= 15) == F.lit(early))
+        states.merge(ST.day_states(f.where(arrives("filing_date")), o.where(arrives("parsed_at")), cols))
+    s = states.read().drop("bucket")
+    status = ST.state_status(s, fx["fx_issuers"]).select("issuer_id", "new_status")
+    return s.join(status, "issuer_id", "left").select(
+        "issuer_id", "new_status", F.col("best.v.id").alias("best_id"), F.col("best.v.form_type").alias("best_form"),
+        F.col("best.v.filing_date").alias("best_date"), F.col("latest_filing.v.id").alias("latest_filing_id"),
+        F.col("latest_offering.v.id").alias("latest_offering_id"), F.col("latest_offering.v.offer_price").alias("latest_offer_price"))
+
+
 def q_report_counts(spark, sf_dir):
     """K2: rows per exported report (the three reports at the report date)."""
     from floatline.sinks.csv import row_counts

@@ -53,10 +53,11 @@ class JobResult:
 # ── J1 ────────────────────────────────────────────────────────────────────────
 
 def discover_candidates(issuers: DataFrame, *sources: DataFrame | None,
-                        as_of: Column | str | None = None) -> JobResult:
-    """Union sources -> dedup -> match (once, written) -> fill/insert issuers."""
+                        as_of: Column | str | None = None, patterns: bool = False) -> JobResult:
+    """Union sources -> dedup -> match (once, written) -> fill/insert issuers.
+    ``patterns``: ``%`` and ``_`` in candidate names are wildcards (D3)."""
     unique = C.dedup_candidates(C.union_sources(*sources))
-    matched = materialize(C.match_issuers(unique, issuers))
+    matched = materialize(C.match_issuers(unique, issuers, patterns))
     new_issuers, actions = C.upsert_issuers(matched, issuers, as_of=R.as_of_col(as_of))
     return JobResult(LazyTables({"issuers": new_issuers, "actions": actions}), C.candidate_stats(actions))
 

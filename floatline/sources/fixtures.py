@@ -284,6 +284,24 @@ select source_rank, ord, company_name, ticker, exchange, source_url from (
 ) u"""
 
 
+def wildcard_candidates(d: Dialect) -> str:
+    """Candidates whose names are written with wildcards, one per customer, the
+    kind of pattern by market segment; every seventh has a known ticker too."""
+    return f"""
+select 0 as source_rank, c_custkey as ord,
+  case c_mktsegment
+    when 'BUILDING' then '%' || substring(c_name, 10)
+    when 'AUTOMOBILE' then upper(substring(c_name, 1, 15)) || '%'
+    when 'MACHINERY' then replace(c_name, '0', '_')
+    when 'HOUSEHOLD' then 'CUST%' || substring(c_name, 16) || case when c_custkey % 2 = 0 then '' else '%' end
+    else case c_custkey % 6 when 0 then '%' || substring(c_name, 17) || '%' when 1 then repeat('_', 18)
+      when 2 then repeat('_', c_custkey % 40) || '%' when 3 then c_name || '!_' when 4 then c_name else '_' || substring(c_name, 2, 8) || '%9' end
+  end as company_name,
+  case when c_custkey % 7 = 0 then 'T' || cast(c_custkey as string) end as ticker,
+  'NYSE' as exchange, 'https://example.test/s/w' as source_url
+from {d.t('customer')}"""
+
+
 def raw_documents(d: Dialect) -> str:
     """Landed filing documents: one HTML page per filing URL (some missing),
     with its size recorded at landing so sizing work never reads the HTML."""
@@ -421,6 +439,7 @@ VIEWS = {
     "fx_capitalization": fx_capitalization,
     "fx_lockups": fx_lockups,
     "fx_candidates": fx_candidates,
+    "wildcard_candidates": wildcard_candidates,
     "raw_documents": raw_documents,
     "nasdaq_rows": nasdaq_rows,
     "nyse_rows": nyse_rows,
