@@ -17,7 +17,8 @@ large one; the recall stays.
 
 Equal vectors are one class (its 21 smallest vec_ids are kept, more can never
 be answers), so a vector repeated any number of times is one row in the
-orders and ties go to the smaller vec_id exactly.
+orders.  A class carries its smallest vec_id, and every cut is made by (score,
+that vec_id), so of the candidates compared ties go to the smaller vec_id exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, as queries or candidates; neither do those of
@@ -46,6 +47,7 @@ TARGET_RECALL = 0.95
 BLOCKS = 16          # of an order, at least
 BLOCK_ROWS = 1 << 16  # of an order, at most
 QUERY_ROWS = 1 << 14  # in one product, at most
+FOUND = "q long, cid long, score double, least long"
 
 
 def hilbert_key(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -106,39 +108,48 @@ def _orders(norm: float):
     return run
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k largest scores."""
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(len(ids)), (len(scores), 1))
-
-
-def _nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+def _nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray) -> pd.DataFrame:
+    """The k best rows of ``v`` for each query, of equal scores those with the
+    smaller ``least`` (smallest vec_id of the class)."""
     out = []
+    v_norm = np.sqrt((v * v).sum(axis=1)).max(initial=0.0)
     for at in range(0, len(q), 256):
-        best = _top(q[at:at + 256] @ v.T, ids, k)
-        exact = (q[at:at + 256, None, :] * v[best]).sum(axis=2)  # the same sum wherever a pair meets
-        out.append(pd.DataFrame({"q": np.repeat(qid[at:at + 256], best.shape[1]), "cid": ids[best].ravel(), "score": exact.ravel()}))
+        ask = q[at:at + 256]
+        scores = ask @ v.T
+        row, col = np.divmod(np.arange(scores.size), max(1, len(v)))
+        if len(v) > k:
+            # Products of a matrix differ from sums of pairs in the last places:
+            # all that may tie with the k-th are summed again, then cut.
+            slack = 4 * v.shape[1] * np.finfo(float).eps * v_norm * np.sqrt((ask * ask).sum(axis=1))
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(scores >= (kth - slack)[:, None])
+        exact = np.concatenate([(ask[row[i:i + 65536]] * v[col[i:i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        order = np.lexsort((least[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pd.DataFrame({"q": qid[at:at + 256][row[kept]], "cid": ids[col[kept]], "score": exact[kept], "least": least[col[kept]]}))
     return pd.concat(out)
 
 
 def _compare(k: int):
     def run(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(ask):
-            return pd.DataFrame({"q": [], "cid": [], "score": []}).astype({"q": "int64", "cid": "int64", "score": "float64"})
+            return pd.DataFrame({"q": [], "cid": [], "score": [], "least": []}).astype({"q": "int64", "cid": "int64", "score": "float64", "least": "int64"})
         return _nearest(ask["cid"].to_numpy(), np.stack(ask["v"].to_numpy()).astype(float),
-                        data["cid"].to_numpy(), np.stack(data["v"].to_numpy()).astype(float), k)
+                        data["cid"].to_numpy(), np.stack(data["v"].to_numpy()).astype(float), k, data["least"].to_numpy())
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best classes of each query class; each pair once."""
-    once = found.groupBy("q", "cid").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "cid"))
-    return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    """The k best classes of each query class, ties to the smaller vec_id; each pair once."""
+    once = found.groupBy("q", "cid").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "least", "cid"))
+    return once.withColumn("r", rank).where(F.col("r") <= k).drop("r", "least")
 
 
 def classes_of(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int]:
     """(classes of equal vectors, dimension): cid, v, ids (the k + 1 smallest
-    vec_ids), asks (holds a query)."""
+    vec_ids), least (the smallest of them; nulls last), asks (holds a query)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     v = v.where(F.col("v").isNotNull() & (F.size("v") > 0)
                 & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -150,7 +161,8 @@ def classes_of(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int]:
     few = v.dropDuplicates(["vec_id", "h"]).withColumn("r", rank).where(F.col("r") <= k + 1)
     groups = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("least"))
     asking = v.where((F.col("vec_id") % every == 0)).select("h").distinct().withColumn("asks", F.lit(True))
-    out = groups.join(asking, "h", "left").select("h", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    out = groups.join(asking, "h", "left").select("h", "v", "ids", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"),
+                                                  F.coalesce("asks", F.lit(False)).alias("asks"))
     return staged(out.withColumn("cid", F.monotonically_increasing_id()), "classes"), dim
 
 
@@ -181,9 +193,9 @@ def measure_window(classes: DataFrame, ranks: DataFrame, k: int, target: float,
     def brute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                yield _nearest(qid, q, pdf["cid"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(float), k + 1)
+                yield _nearest(qid, q, pdf["cid"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(float), k + 1, pdf["least"].to_numpy())
 
-    true = _best(classes.select("cid", "v").mapInPandas(brute, "q long, cid long, score double"), k + 1).where("q <> cid").select("q", "cid")
+    true = _best(classes.select("cid", "v", "least").mapInPandas(brute, FOUND), k + 1).where("q <> cid").select("q", "cid")
     # at most sample * (k + 1) pairs, on every curve
     here = ranks.where("query").select(F.col("cid").alias("q"), "curve", F.col("rank").alias("qrank"))
     there = ranks.where("NOT query").select("cid", "curve", "rank")
@@ -213,7 +225,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     size = max(1, -(-n // blocks))
     n_asks = classes.where("asks").count()
     chunks = max(1, -(-int(n_asks * min(1.0, (2 * window + size) / n)) // QUERY_ROWS))
-    vec = classes.select("cid", "v")
+    vec = classes.select("cid", "v", "least")
     data = ranks.where("NOT query").select("curve", F.floor(F.col("rank") / size).alias("block"), "cid") \
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     low = F.greatest(F.lit(0), F.floor((F.col("rank") - window) / size))
@@ -223,8 +235,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     keys = ["curve", "block", "chunk"]
     n_parts = max(2 * spark.sparkContext.defaultParallelism, CURVES * blocks * chunks // 4)
     data = data.join(vec, "cid").repartition(n_parts, *keys)
-    ask = ask.join(vec, "cid").select(*[F.col(c).alias(c) for c in (*keys, "cid", "v")]).repartition(n_parts, *keys)
-    found = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(_compare(k + 1), "q long, cid long, score double")
+    ask = ask.join(vec.drop("least"), "cid").select(*[F.col(c).alias(c) for c in (*keys, "cid", "v")]).repartition(n_parts, *keys)
+    found = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(_compare(k + 1), FOUND)
     best = staged(_best(staged(found, "candidates"), k + 1), "nearest")
     members = classes.select("cid", "ids")
     # every query of a query class: not only its smallest ids

@@ -56,6 +56,28 @@ def test_small_table_with_ties_is_exact(spark):
         assert np.allclose([s for *_, s in got[q]], [s for *_, s in want[q]], atol=1e-12)
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark, monkeypatch):
+    """Vectors of +-1 have few different scores; every candidate is compared."""
+    monkeypatch.setattr(nearest, "measure_window", lambda classes, ranks, *a, **b: (100_000, 1.0))
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(3000)[:1200]
+    rows = [(int(i), [float(x) for x in rng.choice([-1.0, 1.0], size=12)]) for i in ids]
+    got, want = answers(nearest.nearest(frame(spark, rows))), brute(rows)
+    assert got == want and len(got) > 40
+
+
+def test_ties_of_inexact_products_are_summed_before_the_cut():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(400, 24))
+    v = np.concatenate([base, -base, base[:, ::-1]])
+    least = rng.permutation(len(v)).astype(np.int64)
+    out = nearest._nearest(np.arange(300), v[:300], np.arange(len(v)), v, 7, least)
+    for q, rows in out.groupby("q"):
+        exact = (v[q] * v).sum(axis=1)
+        assert rows["cid"].tolist() == np.lexsort((least, -exact))[:7].tolist()
+        assert rows["score"].tolist() == np.sort(exact)[::-1][:7].tolist()
+
+
 def test_fewer_candidates_than_asked(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [-1.0, 0.0])]
     assert answers(nearest.nearest(frame(spark, rows))) == {0: [(1, 1, 0.5), (2, 3, -1.0)]}
