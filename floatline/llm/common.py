@@ -166,3 +166,15 @@ def slices(shard: int, vec: np.ndarray, step: int) -> Iterator[pd.DataFrame]:
         part = vec[at:at + step]
         if part.any():
             yield pd.DataFrame({"slice": [at // step], "shard": [shard], "vec": [part.tobytes()]})
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it (Spark
+    compares names without case), so that a column added beside them replaces none."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floatline.llm.common import WHITE_SPACE, shared_path, shuffle_partitions, staged, table
+from floatline.llm.common import WHITE_SPACE, free_names, shared_path, shuffle_partitions, staged, table
 
 INDEX_COLUMNS = "digest STRING, keep_id BIGINT, n_points INT, group_size BIGINT, batch INT"
 
@@ -97,16 +97,17 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: int =
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact dedup drops, all columns kept."""
     fate = staged(exact_dedup(docs), "fates").select("doc_id", "n_points", "digest", "kept")
-    per_key = fate.groupBy("doc_id", "n_points", "digest").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
-    per_key = per_key.select(*[F.col(c).alias(f"_x_{c}") for c in per_key.columns])
-    keyed = docs.withColumns({"_d_id": F.col("doc_id").cast("long"), "_d_digest": digest_of(F.col("text")),
-                              "_d_points": F.length(F.coalesce("text", F.lit("")))})
-    match = (F.col("_d_digest") == F.col("_x_digest")) & F.col("_d_id").eqNullSafe(F.col("_x_doc_id")) & \
-            (F.col("_d_points") == F.col("_x_n_points"))
-    out = keyed.join(per_key.where("NOT _x_any_kept"), match, "left_anti")
-    repeated = per_key.where("_x_any_kept AND _x_n > 1")
+    d_id, d_digest, d_points, x_id, x_points, x_digest, x_kept, x_n = free_names(
+        docs, "_d_id", "_d_digest", "_d_points", "_x_id", "_x_points", "_x_digest", "_x_kept", "_x_n")
+    per_key = fate.groupBy(F.col("doc_id").alias(x_id), F.col("n_points").alias(x_points), F.col("digest").alias(x_digest)) \
+        .agg(F.max("kept").alias(x_kept), F.count(F.lit(1)).alias(x_n))
+    keyed = docs.withColumns({d_id: F.col("doc_id").cast("long"), d_digest: digest_of(F.col("text")),
+                              d_points: F.length(F.coalesce("text", F.lit("")))})
+    match = (F.col(d_digest) == F.col(x_digest)) & F.col(d_id).eqNullSafe(F.col(x_id)) & (F.col(d_points) == F.col(x_points))
+    out = keyed.join(per_key.where(~F.col(x_kept)), match, "left_anti")
+    repeated = per_key.where(F.col(x_kept) & (F.col(x_n) > 1))
     if repeated.limit(1).count():  # whole rows repeated: one of each goes on
-        once = out.join(repeated, match, "left_semi").dropDuplicates(["_d_digest", "_d_id", "_d_points"])
+        once = out.join(repeated, match, "left_semi").dropDuplicates([d_digest, d_id, d_points])
         out = out.join(repeated, match, "left_anti").unionByName(once)
     return out.select(*docs.columns)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floatline.llm.common import components, maybe_in, shuffle_partitions, staged, table, text_input, text_key
+from floatline.llm.common import components, free_names, maybe_in, shuffle_partitions, staged, table, text_input, text_key
 from floatline.llm.vectext import batches, shingles, word_hashes
 
 SHINGLE = 5
@@ -216,14 +216,15 @@ def keep_class_representatives(docs: DataFrame) -> DataFrame:
     """One document of each class: that with the smallest doc_id (of repeated
     rows with that doc_id, one).  Blank texts and null doc_ids stay."""
     found = staged(jaccard_classes(docs), "fates")
-    drop = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_j_id"), F.col("text_key").alias("_j_key")).distinct()
-    keyed = docs.withColumns({"_d_id": F.col("doc_id").cast("long"), "_d_key": text_key(F.col("text"))})
-    out = keyed.join(drop, (F.col("_d_id") == F.col("_j_id")) & (F.col("_d_key") == F.col("_j_key")), "left_anti")
-    again = found.where("doc_id = class_id AND class_size > 1").groupBy("class_id").agg(F.count(F.lit(1)).alias("_j_n")) \
-        .where("_j_n > 1").select(F.col("class_id").alias("_j_id"))
+    d_id, d_key, j_id, j_key, j_n, j_r = free_names(docs, "_d_id", "_d_key", "_j_id", "_j_key", "_j_n", "_j_r")
+    drop = found.where("doc_id <> class_id").select(F.col("doc_id").alias(j_id), F.col("text_key").alias(j_key)).distinct()
+    keyed = docs.withColumns({d_id: F.col("doc_id").cast("long"), d_key: text_key(F.col("text"))})
+    out = keyed.join(drop, (F.col(d_id) == F.col(j_id)) & (F.col(d_key) == F.col(j_key)), "left_anti")
+    again = found.where("doc_id = class_id AND class_size > 1").groupBy("class_id").agg(F.count(F.lit(1)).alias(j_n)) \
+        .where(F.col(j_n) > 1).select(F.col("class_id").alias(j_id))
     if again.limit(1).count():  # rows that share the doc_id that stays: the first text of them stays
-        w = Window.partitionBy("_d_id").orderBy("_d_key")
-        one = out.join(again, F.col("_d_id") == F.col("_j_id"), "left_semi").withColumn("_j_r", F.row_number().over(w)) \
-            .where("_j_r = 1").drop("_j_r")
-        out = out.join(again, F.col("_d_id") == F.col("_j_id"), "left_anti").unionByName(one)
+        w = Window.partitionBy(d_id).orderBy(d_key)
+        one = out.join(again, F.col(d_id) == F.col(j_id), "left_semi").withColumn(j_r, F.row_number().over(w)) \
+            .where(F.col(j_r) == 1).drop(j_r)
+        out = out.join(again, F.col(d_id) == F.col(j_id), "left_anti").unionByName(one)
     return out.select(*docs.columns)

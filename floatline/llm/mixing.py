@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floatline.llm.common import staged, table
+from floatline.llm.common import free_names, staged, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
@@ -191,20 +191,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (rows it
     does not take are gone); all columns stay.  Rows of one doc_id, source and
     size are alike to the mix; their copies are given out in row order."""
-    name = {"doc_id": "_m_id", "source": "_m_source", "size": "_m_size"}
-    keyed = docs.withColumns({"_m_id": F.col("doc_id").cast("long"), "_m_source": F.col("source").cast("string"),
-                              "_m_size": word_count(F.col("text"))})
-    sized = keyed.select(*[F.col(v).alias(k) for k, v in name.items()])
+    names = free_names(docs, "_m_id", "_m_source", "_m_size", "_k_id", "_k_source", "_k_size", "_k_copies", "_m_n", "_m_r", "_m_i")
+    m_id, m_source, m_size, k_id, k_source, k_size, k_copies, m_n, m_r, m_i = names
+    keyed = docs.withColumns({m_id: F.col("doc_id").cast("long"), m_source: F.col("source").cast("string"),
+                              m_size: word_count(F.col("text"))})
+    sized = keyed.select(F.col(m_id).alias("doc_id"), F.col(m_source).alias("source"), F.col(m_size).alias("size"))
     taken = mix(sized).select("doc_id", "source", "size", "copies")
     per_key = staged(taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")), "copies")
-    per_key = per_key.select(*[F.col(c).alias(f"_k_{c}") for c in per_key.columns])
-    match = (F.col("_m_id").eqNullSafe(F.col("_k_doc_id")) & F.col("_m_source").eqNullSafe(F.col("_k_source"))
-             & (F.col("_m_size") == F.col("_k_size")))
+    per_key = per_key.select(F.col("doc_id").alias(k_id), F.col("source").alias(k_source), F.col("size").alias(k_size), F.col("copies").alias(k_copies))
+    match = (F.col(m_id).eqNullSafe(F.col(k_id)) & F.col(m_source).eqNullSafe(F.col(k_source))
+             & (F.col(m_size) == F.col(k_size)))
     joined = keyed.join(per_key, match)
-    single = joined.where(F.size("_k_copies") == 1).withColumn("_m_n", F.col("_k_copies")[0])
-    repeated = joined.where(F.size("_k_copies") > 1)
-    w = Window.partitionBy("_m_id", "_m_source", "_m_size").orderBy(F.xxhash64("text"))
-    repeated = repeated.withColumn("_m_r", F.row_number().over(w)).withColumn("_m_n", F.col("_k_copies")[F.col("_m_r") - 1])
-    out = single.select(*docs.columns, "_m_n").unionByName(repeated.select(*docs.columns, "_m_n"))
-    return (out.where("_m_n > 0").withColumn("_m_i", F.explode(F.sequence(F.lit(1), F.col("_m_n"))))
+    single = joined.where(F.size(k_copies) == 1).withColumn(m_n, F.col(k_copies)[0])
+    repeated = joined.where(F.size(k_copies) > 1)
+    w = Window.partitionBy(m_id, m_source, m_size).orderBy(F.xxhash64("text"))
+    repeated = repeated.withColumn(m_r, F.row_number().over(w)).withColumn(m_n, F.col(k_copies)[F.col(m_r) - 1])
+    out = single.select(*docs.columns, m_n).unionByName(repeated.select(*docs.columns, m_n))
+    return (out.where(F.col(m_n) > 0).withColumn(m_i, F.explode(F.sequence(F.lit(1), F.col(m_n))))
             .select(*docs.columns))
