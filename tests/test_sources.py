@@ -73,3 +73,18 @@ def test_company_list_search(spark):
                    ("a", 3, "0000000000", "Apple Pie"),
                    ("b", 1, "0001713445", "Reddit, Inc."),
                    ("c", 1, "0000320193", "Apple Inc."), ("c", 2, "0001713445", "Reddit, Inc.")]
+
+
+def test_company_grams_do_not_go_through_the_driver(spark, monkeypatch):
+    from floatline.operators import partitioning
+    comps = spark.sql("SELECT 0L page, id pos, string(id) cik, concat('Name ', id) name, concat('T', id) ticker, 'X' exchange FROM range(40)")
+    q = spark.sql("SELECT concat('q', id) query_id, concat('name ', id) query FROM range(12) UNION ALL VALUES ('e', ''), ('s', 'n'), ('t', 't5')")
+    rows, plans = [], []
+    for limit in (partitioning.SMALL_ROWS, 0):
+        monkeypatch.setattr(partitioning, "SMALL_ROWS", limit)
+        found = sec.search_companies(comps, q, max_results=3)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        rows.append(sorted(tuple(r) for r in found.collect()))
+    assert rows[0] == rows[1] and len(rows[0]) == (1 + 3 * 3 + 6 + 2) + 3 + 3 + 1
+    # of many queries only the first companies, which empty queries get, are sent to every task
+    assert plans[1].count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in plans[1]
