@@ -61,7 +61,8 @@ def match_issuers(cands: DataFrame, issuers: DataFrame, patterns: bool = False)
                  .groupBy(F.col("ticker").alias("_t")).agg(F.min("id").alias("_tid")))
     by_name = (issuers.groupBy(F.lower("company_name").alias("_n")).agg(F.min("id").alias("_nid")))
     # Candidates without a ticker cannot match by it; kept out of the join they do not meet on one key.
-    with_id = c.where(F.col("ticker").isNotNull()).join(by_ticker, F.col("ticker") == F.col("_t"), "left").drop("_t")
+    # Issuers are shuffled: by their file's size Spark would take them for small enough to go through the driver.
+    with_id = c.where(F.col("ticker").isNotNull()).join(by_ticker.hint("merge"), F.col("ticker") == F.col("_t"), "left").drop("_t")
     without = c.where(F.col("ticker").isNull()).withColumn("_tid", F.lit(None).cast("long"))
     m = with_id.unionByName(without)
     if patterns:
@@ -71,7 +72,7 @@ def match_issuers(cands: DataFrame, issuers: DataFrame, patterns: bool = False)
         # A pattern that is also a name matches that name itself, so its row replaces the equal one.
         by_name = by_name.where(~has_wildcard(F.col("_n"))).unionByName(
             found.select(F.col("_p").alias("_n"), F.col("_id").alias("_nid")))
-    m = m.join(by_name, F.lower("company_name") == F.col("_n"), "left")
+    m = m.join(by_name.hint("merge"), F.lower("company_name") == F.col("_n"), "left")
     return m.select(
         *c.columns,
         F.coalesce("_tid", "_nid").alias("issuer_id"),

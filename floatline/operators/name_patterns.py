@@ -51,12 +51,12 @@ def _by_gram(patterns: DataFrame, names: DataFrame) -> DataFrame:
         "_p", F.explode(F.array_distinct(F.flatten(F.transform("_runs", lambda r: grams(r, F.col("_n")))))).alias("_g"))
     marked = F.concat(F.lit(START), F.col("_name"), F.lit(END))
     posted = names.select("_name", "_id", F.explode(F.concat(*[grams(marked, n) for n in range(1, GRAM + 1)])).alias("_g")) \
-        .join(probes.select("_g").distinct(), "_g", "left_semi")
+        .hint("merge").join(probes.select("_g").distinct(), "_g", "left_semi")
     # A gram no name holds decides its pattern: nothing matches.
-    seen = probes.join(posted.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")), "_g", "left")
+    seen = probes.hint("merge").join(posted.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")), "_g", "left")
     rarest = first_per_key(seen, ["_p"], [F.coalesce("_df", F.lit(0)), F.col("_g")]).where(F.col("_df").isNotNull())
     # The least id is kept in the map tasks, so a gram of many names is not shuffled again.
-    return (posted.join(rarest.select("_p", "_g"), "_g").where(like(F.col("_name"), F.col("_p")))
+    return (posted.hint("merge").join(rarest.select("_p", "_g"), "_g").where(like(F.col("_name"), F.col("_p")))
             .groupBy("_p").agg(F.min("_id").alias("_id")))
 
 
@@ -64,20 +64,22 @@ def _by_length(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(_p, _id) of patterns made of wildcards alone: ``_`` sets the length, ``%`` makes it the least length."""
     least = F.length(F.regexp_replace("_p", "%", "")).alias("_len")
     lengths = names.groupBy(F.length("_name").alias("_len")).agg(F.min("_id").alias("_id"))
-    exact = patterns.where(~F.col("_p").contains("%")).select("_p", least).join(lengths, "_len").select("_p", "_id")
+    exact = patterns.where(~F.col("_p").contains("%")).select("_p", least).join(lengths.hint("merge"), "_len").select("_p", "_id")
     open_ = patterns.where(F.col("_p").contains("%")).select("_p", least)
     # One row a distinct length: the least id among the names at least as long.
     steps = lengths.unionByName(open_.select("_len", F.lit(None).cast("long").alias("_id")).distinct()) \
         .groupBy("_len").agg(F.min("_id").alias("_id"))
     longer = steps.select("_len", F.min("_id").over(Window.orderBy(F.desc("_len"))).alias("_id"))
-    return exact.unionByName(open_.join(longer, "_len").where(F.col("_id").isNotNull()).select("_p", "_id"))
+    return exact.unionByName(open_.join(longer.hint("merge"), "_len").where(F.col("_id").isNotNull()).select("_p", "_id"))
 
 
 def least_match(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """For every distinct pattern ``_p`` the least ``_id`` of the names
     (``_name``, ``_id``) it matches; patterns that match nothing have no row.
 
-    Both are compared as given: lower them for a match without case."""
+    Both are compared as given: lower them for a match without case.  All joins
+    shuffle: by its file size Spark takes a table of names, or their grams, for
+    small enough to go through the driver."""
     p = patterns.select("_p").where(F.col("_p").isNotNull()).distinct().withColumn("_runs", _runs(F.col("_p")))
     named = names.where(F.col("_name").isNotNull()).groupBy("_name").agg(F.min("_id").alias("_id"))
     return (_by_gram(p.where(F.size("_runs") > 0), named)

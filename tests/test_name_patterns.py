@@ -58,3 +58,12 @@ def test_empty_tables(spark):
     nothing, one = spark.createDataFrame([], "_p string"), spark.createDataFrame([], "_id long, _name string")
     assert least_match(nothing, one).count() == 0
     assert least_match(spark.createDataFrame([("%",), ("a%",)], "_p string"), one).count() == 0
+
+
+def test_names_do_not_go_through_the_driver(spark):
+    from floatline.operators.candidates import match_issuers
+    issuers = spark.sql("SELECT id, concat('Name ', id) company_name, concat('T', id) ticker FROM range(30)")
+    cands = spark.sql("SELECT 0 source_rank, id ord, concat('%e ', id) company_name, string(null) ticker, 'X' exchange, 'u' source_url FROM range(30)")
+    m = match_issuers(cands, issuers, patterns=True)
+    assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ord, r.issuer_id) for r in m.collect()) == [(i, i) for i in range(30)]
