@@ -143,3 +143,40 @@ def test_a_batch_that_runs_again_appends_nothing_twice(spark, tmp_path):
     ingest_filings(spark, f"{root}/landing", f"{root}/filings", f"{root}/ck", fx["fx_issuers"])
     rows = [tuple(r) for r in spark.read.parquet(f"{root}/filings").collect()]
     assert len(rows) == len(after) and set(rows) == after
+
+
+def test_a_slot_of_issuers_is_asked_for_once():
+    """State is fetched and stored once for all issuers of a slot, not for each."""
+    import pandas as pd
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            Value.calls += 1
+            return self.held
+
+        def update(self, value):
+            Value.calls += 1
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getMapState(self, name, key, value):
+            return None
+
+    p = ingest._processor()
+    p.init(Handle())
+    p.handleInitialState((0,), pd.DataFrame({"cik10": ["1", "2", "3"], "issuer_id": [1, 2, 3], "status": ["priced", None, None],
+                                             "keys": [["S-1 a"], None, None]}), None)
+    Value.calls = 0
+    rows = pd.DataFrame({"cik10": ["1", "1", "2", "4"], "page": [0, 0, 0, 0], "pos": [0, 1, 0, 0], "accession_no": ["a", "b", "c", "d"],
+                         "form_type": ["S-1"] * 4, "filing_date": ["2001-01-01"] * 4, "primary_doc_url": [None] * 4,
+                         "filing_index_url": [None] * 4, "unreadable": [False] * 4})
+    out = pd.concat(list(p.handleInputRows((0,), iter([rows[:2], rows[2:]]), None)))
+    assert Value.calls == 2
+    got = [(r.kind, r.cik10, None if pd.isna(r.issuer_id) else r.issuer_id, r.accession_no, r.new_status) for r in out.itertuples()]
+    assert got == [("filing", "1", 1, "b", None), ("status", "1", 1, None, "priced"), ("filing", "2", 2, "c", None),
+                   ("status", "2", 2, None, "filed"), ("unknown_issuer", "4", None, None, None)]
