@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from floatline.functions import extract as X
 from floatline.functions import patterns as P
-from floatline.functions.literals import holds, required
+from floatline.functions.literals import Gate, holds, required
 from floatline.sources.fixtures import RULE_SENTENCES, Fixtures
 from tests.conftest import SF001
 
@@ -65,3 +65,13 @@ def test_gated_fields_equal_ungated_ones(spark):
                          X.unlock_notes(sec).alias("unlock_notes"))
     gated = X.with_lockup_fields(texts).select(*plain.columns)
     assert sorted(map(str, gated.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_the_lower_case_copy_is_made_once(spark):
+    """Not again for every word, inside the list of words."""
+    gate = Gate("alpha beta", "gamma (?:delta|epsilon)")
+    df = gate.add(spark.sql("SELECT 'Some ALPHA BETA' text UNION ALL VALUES ('gamma'), (null)"), "text")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    transforms = [line for line in plan.splitlines() if "transform(" in line]
+    assert transforms and all("lower(" not in line for line in transforms)
+    assert [r[1] is None for r in df.collect()] == [False, False, True]
