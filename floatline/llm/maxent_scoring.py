@@ -35,6 +35,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -57,7 +58,9 @@ STEP = 0.6
 LIMIT = 60.0             # of a logit
 SLICE = 1 << 18
 LONG_WORD = 64           # bytes
-PIECE = 1 << 20          # characters split at once
+PIECE = 1 << 20          # bytes split at once
+SOFT = 2048              # tokens of a softmax at once: their exponentials stay in the processor's cache
+SHORT = 8                # gradients of a row that are added up in layers
 HELD_WORDS = 200_000     # distinct words a task counts before it hands them on
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 TOKEN_LAYOUT = ("uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, ids binary, "
@@ -66,12 +69,12 @@ TOKEN_LAYOUT = ("uid long, doc_id long, held_out boolean, n_tokens long, n_known
 
 # ---------------------------------------------------------------- words, ids
 
-def words_of(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text, a piece at a time; a long one as a digest of fixed size."""
-    text, carry = text or "", b""
+def words_of(text: str | bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text (bytes are its UTF-8), a piece at a time; a long one as a digest of fixed size."""
+    text, carry = text.encode() if isinstance(text, str) else text or b"", b""
     for at in range(0, max(1, len(text)), PIECE):
-        raw = carry + text[at:at + PIECE].encode().lower()  # bytes: A-Z only
-        words, carry = raw.split(), b""                      # and the six white-space characters only
+        raw = carry + text[at:at + PIECE].lower()  # bytes: A-Z only
+        words, carry = raw.split(), b""            # and the six white-space characters only
         if at + PIECE < len(text) and raw and not raw[-1:].isspace():
             carry = words.pop()
         if words and max(map(len, words)) > LONG_WORD:
@@ -92,7 +95,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for part in batches:
-        for text in part.column("text"):
+        for text in part.column("text").cast(pa.binary()):
             counts[END] += 1
             for words in words_of(text.as_py()):
                 counts.update(words)
@@ -138,19 +141,12 @@ class Corpus(NamedTuple):
         return self.tokens - int(self.counts[:MODELLED].sum()) + 0.5 * (self.distinct - self.modelled() + 1)
 
 
-class _Numbers(dict):
-    """Ids of known words, -1 for any other."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def _tokenize(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         uid = TaskContext.get().partitionId() << 40
         words, counts = shared.value
-        number = _Numbers((w, i) for i, w in enumerate(words)).__getitem__
+        number = {w: i for i, w in enumerate(words)}.get
         logs = np.log10(counts + 0.5)
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "ids", "rest"]
@@ -168,11 +164,11 @@ def _tokenize(shared):
 
         for part in batches:
             for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(),
-                                              part.column("text")):
+                                              part.column("text").cast(pa.binary())):
                 rest: Counter = Counter()
                 ids = []
                 for found in (*words_of(text.as_py()), [END]):
-                    some = np.fromiter(map(number, found), np.int64, len(found))
+                    some = np.fromiter(map(number, found, repeat(-1)), np.int64, len(found))
                     other = np.flatnonzero(some < 0)
                     if len(other):
                         unknown = [found[i] for i in other.tolist()]
@@ -308,14 +304,35 @@ def _slot_row(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return ((g ^ (g >> np.uint32(14))) % np.uint32(ROWS)).astype(np.uint16)
 
 
-def _softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = bias + np.take(weights, rows[0], axis=0)
-    for r in rows[1:]:
-        z += np.take(weights, r, axis=0)
-    np.clip(z, -LIMIT, LIMIT, out=z)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _exponentials(bias: np.ndarray, of: np.ndarray | None, weights: np.ndarray, rows: list[np.ndarray],
+                  out: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(tokens, exponentials, their sums) of a softmax over ``bias``, or its rows
+    ``of``, plus the weights in ``rows``, some tokens at a time."""
+    n, width = len(rows[0]), weights.shape[1]
+    held = np.empty((2, min(n, SOFT), width), np.float32)
+    for s in range(0, n, SOFT):
+        some = slice(s, min(n, s + SOFT))
+        z, more = (held[0, :some.stop - s] if out is None else out[some]), held[1, :some.stop - s]
+        np.take(weights, rows[0][some], axis=0, out=z, mode="clip")
+        z += bias if of is None else np.take(bias, of[some], axis=0, out=more, mode="clip")
+        for r in rows[1:]:
+            z += np.take(weights, r[some], axis=0, out=more, mode="clip")
+        np.clip(z, -LIMIT, LIMIT, out=z)
+        np.exp(z, out=z)
+        yield some, z, z.sum(axis=1, keepdims=True)
+
+
+def _softmax(bias: np.ndarray, of: np.ndarray | None, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    p = np.empty((len(rows[0]), weights.shape[1]), np.float32)
+    for _, z, total in _exponentials(bias, of, weights, rows, p):
+        z /= total
+    return p
+
+
+def _chosen(bias: np.ndarray, of: np.ndarray | None, weights: np.ndarray, rows: list[np.ndarray], choice: np.ndarray) -> np.ndarray:
+    """Of each token the softmax's value at ``choice``."""
+    return np.concatenate([z[np.arange(len(z)), choice[some]] / total[:, 0]
+                           for some, z, total in _exponentials(bias, of, weights, rows)])
 
 
 class Updates:
@@ -331,9 +348,17 @@ class Updates:
         ranked = rows[order]
         at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         size = np.diff(at, append=len(ranked))
-        g = np.take(gradient, order[at], axis=0)
-        many = size > 1
-        if many.any():  # rows met once need no sum
+        g = np.take(gradient, order[at], axis=0)  # rows met once need no sum
+        few = np.flatnonzero((size > 1) & (size <= SHORT))
+        if len(few):  # the second of each, then the third of those that have one, ...
+            few = few[np.argsort(-size[few], kind="stable")]
+            rest = np.take(gradient, order[at[few] + 1], axis=0)
+            for k in range(2, int(size[few[0]])):
+                n = np.count_nonzero(size[few] > k)
+                rest[:n] += np.take(gradient, order[at[few[:n]] + k], axis=0)
+            g[few] += rest
+        many = size > SHORT
+        if many.any():
             several = np.take(gradient, order[np.repeat(many, size)], axis=0)
             g[many] = np.add.reduceat(several, np.append(0, np.cumsum(size[many])[:-1]), axis=0)
         row = ranked[at].astype(np.intp)
@@ -358,25 +383,31 @@ def log_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray,
         token = ids[s:s + BATCH]
         cls = model.cls[token]
         rows = [_class_row(h[s:s + BATCH]) for h in hashes]
-        p = _softmax(model.class_bias, learn[0].weights if learn else model.class_rows, rows)
-        n = np.arange(len(token))
-        out[s:s + BATCH] = np.log10(np.maximum(p[n, cls], 1e-30))
         if learn:
+            p = _softmax(model.class_bias, None, learn[0].weights, rows)
+            n = np.arange(len(token))
+            own_p = p[n, cls]
             p[n, cls] -= 1
             for r in rows:
                 learn[0].apply(r, p)
+        else:
+            own_p = _chosen(model.class_bias, None, model.class_rows, rows, cls)
+        out[s:s + BATCH] = np.log10(np.maximum(own_p, 1e-30))
         own = np.flatnonzero(cls < CLASSES - 1)
         if not len(own):
             continue
         cls, slot = cls[own], model.slot[token[own]]
         rows = [_slot_row(h[s:s + BATCH][own], cls) for h in hashes]
-        p = _softmax(model.slot_bias[cls], learn[1].weights if learn else model.slot_rows, rows)
-        n = np.arange(len(own))
-        out[s + own] += np.log10(np.maximum(p[n, slot], 1e-30))
         if learn:
+            p = _softmax(model.slot_bias, cls, learn[1].weights, rows)
+            n = np.arange(len(own))
+            own_p = p[n, slot]
             p[n, slot] -= 1
             for r in rows:
                 learn[1].apply(r, p)
+        else:
+            own_p = _chosen(model.slot_bias, cls, model.slot_rows, rows, slot)
+        out[s + own] += np.log10(np.maximum(own_p, 1e-30))
     return out
 
 
@@ -401,8 +432,10 @@ def train(tokens: DataFrame, corpus: Corpus) -> Model:
     shards = max(1, -(-corpus.tokens // (ROUNDS * SHARD_TOKENS)))
     for k in range(ROUNDS):
         part = tokens.where(F.pmod(F.xxhash64("uid"), F.lit(ROUNDS)) == k).select("ids").coalesce(shards)
-        updates = part.mapInArrow(_learn(context.broadcast(model)), VECTOR_LAYOUT)
+        shared = context.broadcast(model)
+        updates = part.mapInArrow(_learn(shared), VECTOR_LAYOUT)
         whole = gathered(staged(tree_sum(updates, "<f4"), "gradient-updates"), sum(sizes), SLICE, "<f4")
+        shared.destroy()  # the updates are written
         a, times_a, b, times_b = np.split(whole, np.cumsum(sizes)[:-1])
         model = model._replace(
             class_rows=model.class_rows + a.reshape(ROWS, CLASSES) / np.maximum(1, times_a)[:, None],
@@ -447,6 +480,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     corpus = Corpus(np.array([n for _, n in known], np.int64), tokens, distinct)
     shared = spark.sparkContext.broadcast(([w for w, _ in known], corpus.counts))
     held = staged(rows.mapInArrow(_tokenize(shared), TOKEN_LAYOUT), "word-ids")
+    shared.destroy()
 
     unseen = F.coalesce("c", F.lit(0))
     others = (held.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n")

@@ -83,6 +83,14 @@ def test_words_in_pieces(text, piece):
     assert got == plain_words(text)[:-1]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 100])
+def test_words_of_utf8_cut_anywhere(monkeypatch, piece):
+    monkeypatch.setattr(mx, "PIECE", piece)
+    text = "ÉtÉ été\u2028x\x0bAB \x1c c€\U0001f600 "
+    got = [w.decode() for words in mx.words_of(text.encode()) for w in words]
+    assert got == ["ÉtÉ", "été\u2028x", "ab", "\x1c", "c€\U0001f600"]
+
+
 def test_known_words_are_at_most_so_many(spark):
     counts = spark.createDataFrame([(b"", 1)] + [(b"w%03d" % i, 1 + i // 4) for i in range(400)], "word binary, n long")
     for most in (1, 2, 10, 57, 399, 401, 500):
@@ -164,6 +172,28 @@ def test_summed_updates_of_rows():
     assert np.allclose(learn.weights[3], [-mx.STEP, 0], atol=1e-5) and np.allclose(learn.weights[1], [0, -mx.STEP], atol=1e-5)
 
 
+def test_gradients_of_a_row_are_summed_whatever_their_number():
+    rng = np.random.default_rng(5)
+    rows = rng.permutation(np.repeat(np.arange(24), np.arange(24))).astype(np.uint16)  # row k comes k times
+    gradient = rng.normal(size=(len(rows), 3)).astype(np.float32)
+    learn = mx.Updates(np.zeros((24, 3), np.float32))
+    learn.apply(rows, gradient)
+    g = np.array([gradient[rows == k].sum(axis=0) for k in range(24)])
+    assert learn.times.tolist() == list(range(24))
+    assert np.allclose(learn.weights, -mx.STEP * g / np.sqrt((g * g).sum(axis=1, keepdims=True) + 1e-6), atol=1e-5)
+
+
+def test_softmax_in_parts(monkeypatch):
+    monkeypatch.setattr(mx, "SOFT", 3)
+    rng = np.random.default_rng(6)
+    bias, weights = rng.normal(size=(5, 4)).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32)
+    of, rows, choice = rng.integers(0, 5, 10), [rng.integers(0, 9, 10) for _ in range(3)], rng.integers(0, 4, 10)
+    z = np.exp(bias[of] + sum(weights[r] for r in rows))
+    want = z / z.sum(axis=1, keepdims=True)
+    assert np.allclose(mx._softmax(bias, of, weights, rows), want, atol=1e-6)
+    assert np.allclose(mx._chosen(bias, of, weights, rows, choice), want[np.arange(10), choice], atol=1e-6)
+
+
 def test_classes_are_balanced_and_follow_profiles():
     rng = np.random.default_rng(1)
     n = mx.MODELLED
