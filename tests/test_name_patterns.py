@@ -67,3 +67,22 @@ def test_names_do_not_go_through_the_driver(spark):
     m = match_issuers(cands, issuers, patterns=True)
     assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.ord, r.issuer_id) for r in m.collect()) == [(i, i) for i in range(30)]
+
+
+def test_anchored_patterns_do_not_ask_like(spark, monkeypatch):
+    """Thousands of patterns, each with a gram that many names hold: LIKE is not asked name by name."""
+    from floatline.operators import name_patterns
+    real = name_patterns.like
+    monkeypatch.setattr(name_patterns, "like", lambda name, pattern: F.when(pattern.contains("%"), F.raise_error(F.lit("asked")).cast("boolean")).otherwise(real(name, pattern)))
+    names = spark.sql("SELECT id _id, concat('Customer#', lpad(id, 6, '0')) _name FROM range(4000)")
+    asked = spark.sql("""SELECT explode(array(concat('%', lpad(id, 6, '0')), concat('Customer#', lpad(id, 6, '0'), '%'), concat('Customer#', replace(lpad(id, 6, '0'), '0', '_')),
+                         concat('Cust%', lpad(id % 1000, 3, '0')), concat('Customer#', lpad(id % 100, 5, '0'), '_'), concat('Customer#', lpad(id, 6, '0'), '%0'))) _p FROM range(4000)""")
+    got = {r["_p"]: r["_id"] for r in least_match(asked, names).collect()}
+    all_names = {f"Customer#{i:06d}": i for i in range(4000)}
+    assert all(got[f"%{i:06d}"] == got[f"Customer#{i:06d}%"] == i for i in range(4000))
+    assert all(got[f"Cust%{i:03d}"] == i for i in range(1000)) and all(got[f"Customer#{i:05d}_"] == 10 * i for i in range(100))
+    rng = random.Random(6)
+    for i in rng.sample(range(4000), 40):
+        p = f"Customer#{i:06d}".replace("0", "_")
+        assert got[p] == min(v for k, v in all_names.items() if like(k, p))
+    assert len(got) == 4000 * 3 + 1000 + 100
